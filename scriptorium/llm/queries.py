@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, mixing, neardup, pii, tokens, topk, url_filter
+from scriptorium.llm import chat, decontaminate, licenses, mixing, neardup, pii, tokens, topk, toxicity, url_filter
 from scriptorium.llm.common import table
 
 QUERIES = {
     "op1_pii": lambda spark, d: pii.op1_pii(table(spark, d, "documents")),
     "op2_neardup": lambda spark, d: neardup.op2_neardup(table(spark, d, "documents")),
+    "op3_license": lambda spark, d: licenses.op3_license(table(spark, d, "documents")),
     "op4_chat": lambda spark, d: chat.op4_chat(table(spark, d, "conversations")),
     "op5_topk": lambda spark, d: topk.op5_topk(table(spark, d, "embeddings")),
     "op6_tokens": lambda spark, d: tokens.op6_tokens(table(spark, d, "documents")),
+    "op7_decontaminate": lambda spark, d: decontaminate.op7_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_urls": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")),
     "op9_mix": lambda spark, d: mixing.op9_mix(table(spark, d, "documents")),
+    "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 ORACLE_SQL = {

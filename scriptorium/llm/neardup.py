@@ -7,9 +7,9 @@ connected class is the centre of a star, and only centre-member pairs are candid
 the two full sets, computed again from the texts.
 
 A star can miss a link between two members whose common centre is like only one of them. Members that were not
-confirmed against their centre are therefore compared with the members of their bucket in other groups, unless sizes
-or the triangle inequality of the Jaccard distance rule a link out. What remains is the chance that a pair shares no
-band: (1 - 0.8**ROWS)**BANDS = 3e-6 at a similarity of exactly 0.8, less above.
+confirmed against their centre are therefore compared with the members of their bucket in other groups, unless a bound
+rules a link out: two sets of n and m shingles are linked only if they differ in at most (n + m) / 9, and they differ
+in at least as many as their parity bitmaps do. What remains is the chance that a pair shares no band: (1 - 0.8**ROWS)**BANDS = 3e-6 at a similarity of exactly 0.8, less above.
 
 Defined cases: null and empty texts have the empty set and no links; a text of under four words has one shingle;
 repeated rows are exact copies and give a row each; a group's component_id is its smallest id, null only if no
@@ -34,6 +34,8 @@ BINS = BANDS * ROWS
 #: Similarity as a fraction of whole numbers: PART * intersection >= NEED * union.
 PART, NEED = 100, 80
 MEMO = 1 << 18
+#: Bits of a parity bitmap.
+PARITY = 1024
 _random = np.random.default_rng(20_240_517)
 STEPS = _random.integers(0, 2**63, WIDTH + ROWS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Which bin an empty bin copies, attempt by attempt.
@@ -97,22 +99,30 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return mixed(rows.sum(axis=1) + np.arange(1, BANDS + 1, dtype=np.uint64) * STEPS[-2])
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of shingles fall on it. Two bitmaps differ in no more bits than their sets in shingles."""
+    odd = np.bincount((shingles % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key, bands): key names the shingle set; key and bands are null for the empty set."""
+    """(id, n_shingles, key, bands, bits): key names the shingle set; the last three are null for the empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for b in it:
-            n, keys, bands = [], [], []
+            n, keys, bands, bits = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text or b"", words)
                 n.append(len(s))
                 keys.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 bands.append(band_hashes(signature(s)).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "key", "bands"])
+                bits.append(parity(s) if len(s) else None)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(bits, longs)], names=["id", "n_shingles", "key", "bands", "bits"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(batches, f"id {kind}, n_shingles long, key binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(batches, f"id {kind}, n_shingles long, key binary, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -176,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     prep = saved(sketches(docs, id_col, text_col), "sketches")
-    classes = saved(prep.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = saved(prep.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
     rows = classes.select(F.explode("bands").alias("band"), "key", F.col("n"))
     several = rows.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
     buckets = saved(rows.join(several, "band"), "buckets")
@@ -192,17 +202,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = saved(components(links), "groups")
 
     # members not confirmed against their centre, each the centre of its own star over other groups of the bucket
-    seen = buckets.join(centres, "band").join(checked.withColumnRenamed("b", "key"), ["a", "key"], "left")
-    seen = seen.withColumn("far", F.when(F.col("key") == F.col("a"), 0.0).otherwise(1 - F.col("shared") / F.col("total")))
-    seen = seen.join(groups.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "n", "far", F.coalesce("root", "key").alias("root"))
-    seen = saved(seen, "seen")
-    reach = 1 - NEED / PART
-    loose = seen.filter(F.col("far").isNull() | (F.col("far") > reach + 1e-9)).select("band", F.col("key").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("root").alias("ra"))
-    others = seen.select("band", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("root").alias("rb"))
-    apart = F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0))
-    both_loose = F.col("fb").isNull() | (F.col("fb") > reach + 1e-9)
-    open_pairs = loose.join(others, "band").filter((F.col("ra") != F.col("rb")) & (~both_loose | (F.col("a") < F.col("b"))) & size_allows(F.col("na"), F.col("nb")) & (apart <= reach + 1e-9))
-    open_pairs = open_pairs.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    linked = (F.col("key") == F.col("a")) | F.coalesce(F.col("shared") * PART >= F.col("total") * NEED, F.lit(False))
+    seen = buckets.join(centres, "band").join(checked.withColumnRenamed("b", "key"), ["a", "key"], "left").select("band", "key", "n", linked.alias("linked"))
+    seen = seen.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed_bands = seen.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    seen = saved(seen.join(mixed_bands, "band", "left_semi").join(classes.select("key", "bits"), "key"), "seen")
+    loose, others = seen.filter(~F.col("linked")).alias("x"), seen.alias("y")
+    differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    # PART * (n + m - d) >= NEED * (n + m + d), where d counts the shingles in which the sets differ
+    may_link = differ * (PART + NEED) <= (F.col("x.n") + F.col("y.n")) * (PART - NEED)
+    once = F.col("y.linked") | (F.col("x.key") < F.col("y.key"))
+    open_pairs = loose.join(others, F.col("x.band") == F.col("y.band")).filter((F.col("x.root") != F.col("y.root")) & once & size_allows(F.col("x.n"), F.col("y.n")) & may_link)
+    open_pairs = saved(open_pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "open")
     more = confirmed(open_pairs, sets).filter(F.col("shared") * PART >= F.col("total") * NEED)
     # groups are stars already, so only links between them are new
     final = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))

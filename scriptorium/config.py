@@ -1,0 +1,35 @@
+"""Word lists, rules and weights, all of this project's own choosing and all overridable by parameter."""
+
+#: Words without meaning of their own.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "das", "de", "der", "des", "die", "ein", "el", "en", "et", "for", "from", "has", "in", "is", "it", "la", "le", "les", "of", "on", "or", "that", "the", "this", "to", "und", "was", "were", "with", "y")
+#: Single characters that are words.
+PROTECTED = ("c", "r")
+#: Characters that become ASCII, one for one.
+ASCII_FROM, ASCII_TO = "–—−‐‑×‘’“”", "-----x''\"\""
+#: Greek letters that become words.
+GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("λ", "lambda"), ("μ", "mu"), ("σ", "sigma"), ("ω", "omega"))
+#: Short words that a search keeps.
+SHORT_KEYWORDS = ("ai", "ml", "ir", "nlp", "db")
+
+#: (entity type, pattern): first group of each match, in lower case.
+ENTITY_RULES = (
+    ("METHOD", r"(?i)\b(licensed under [a-z0-9 -]+)"),
+    ("METHOD", r"(?i)\b([a-z]+tion)\b"),
+    ("TASK", r"(?i)\b([a-z]{3,}ing)\b"),
+    ("DOMAIN", r"(?i)\b(example\.(?:com|org|net))\b"),
+    ("DATASET", r"\b(v[0-9]+|version [0-9.]+)"),
+    ("ALGORITHM", r"\b([A-Z]{3,}[0-9]*)\b"),
+)
+#: Cue words of the rule-based relationship classifier.
+METHOD_CUES = ("and", "tion", "method", "ment")
+CONTRADICT_CUES = ("not", "nicht", "contrary", "pas")
+EXTEND_CUES = ("extend", "ing", "ung", "ción")
+#: Venue scores by lower-cased name; longest key first, then by name.
+VENUES = {"src1": 0.9, "src2": 0.8, "src3": 0.7, "source": 0.65, "src10": 0.95}
+VENUE_DEFAULT = 0.5
+
+BM25_K1, BM25_B = 1.5, 0.75
+IDF_FLOOR = 1e-4
+NEURAL_WEIGHTS = {"neural": 0.30, "bm25": 0.25, "cosine": 0.15, "citation": 0.20, "recency": 0.10}
+LEXICAL_WEIGHTS = {"bm25": 0.35, "cosine": 0.25, "citation": 0.25, "recency": 0.15}
+FALLBACK_WEIGHTS = {"relevance": 0.45, "citation": 0.30, "recency": 0.25}

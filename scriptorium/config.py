@@ -11,14 +11,14 @@ GREEK = (("α", "alpha"), ("β", "beta"), ("γ", "gamma"), ("δ", "delta"), ("λ
 #: Short words that a search keeps.
 SHORT_KEYWORDS = ("ai", "ml", "ir", "nlp", "db")
 
-#: (entity type, pattern): first group of each match, in lower case.
+#: (entity type, flags, pattern of whole words).
 ENTITY_RULES = (
-    ("METHOD", r"(?i)\b(licensed under [a-z0-9 -]+)"),
-    ("METHOD", r"(?i)\b([a-z]+tion)\b"),
-    ("TASK", r"(?i)\b([a-z]{3,}ing)\b"),
-    ("DOMAIN", r"(?i)\b(example\.(?:com|org|net))\b"),
-    ("DATASET", r"\b(v[0-9]+|version [0-9.]+)"),
-    ("ALGORITHM", r"\b([A-Z]{3,}[0-9]*)\b"),
+    ("METHOD", "(?i)", "licensed +under +[a-z]+"),
+    ("METHOD", "(?i)", "[a-z]+tion"),
+    ("TASK", "(?i)", "[a-z]{3,}ing"),
+    ("DOMAIN", "(?i)", "mail[0-9]"),
+    ("DATASET", "", "v[0-9]+|version +[0-9]+"),
+    ("ALGORITHM", "", "[A-Z]{3,}[0-9]*"),
 )
 #: Cue words of the rule-based relationship classifier.
 METHOD_CUES = ("and", "tion", "method", "ment")

@@ -44,7 +44,7 @@ def query_keywords(text: Column, limit: int = 12) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of over 20 characters; the whole text if there are none."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda s: F.length(s) > 20)
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.trim(s)), lambda s: F.length(s) > 20)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
 
 

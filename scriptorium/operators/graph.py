@@ -18,9 +18,9 @@ def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *rest).union(edges.select(F.col("dst"), F.col("src"), *rest))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85, save_every: int = 10) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:
     """(id, rank), the largest being 1. Undirected types count both ways, weights split a node's rank, self loops do
-    not count, and the rank of nodes without out-edges is spread evenly. Every save_every rounds cut the lineage."""
+    not count, and the rank of nodes without out-edges is spread evenly. Each round is written, as the next reads it twice."""
     links = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "type", F.col("weight").alias("w"))
     back = links.filter(~F.col("type").isin(*DIRECTED)).select(F.col("b"), F.col("a"), "type", "w")
     out = links.union(back).groupBy("a", "b").agg(F.sum("w").alias("w"))
@@ -32,12 +32,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping:
         return ids.withColumn("rank", F.lit(0.0))
     dangling = saved(ids.join(share.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "pagerank-dangling")
     ranks = ids.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
+    for _ in range(iterations):
         came = ranks.join(share, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("came"))
         lost = ranks.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         ranks = ids.join(came, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))  # lost: one row
-        if (i + 1) % save_every == 0:
-            ranks = saved(ranks, "pagerank")
+        ranks = saved(ranks, "pagerank")
     top = ranks.agg(F.max("rank").alias("top"))
     return ranks.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
 
@@ -179,7 +178,7 @@ def edge_betweenness(edges: DataFrame, sources_at_once: int = 32) -> DataFrame:
     parts = F.ceil(F.count("*") / sources_at_once).cast("int")
     deal = member.groupBy("component").agg(parts.alias("parts"))
     sources = member.join(deal, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("component", "part", "id")
-    graphs = adjacency.join(deal, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("component", "part", "a", "b")
+    graphs = adjacency.join(deal, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("component").alias("c"), F.col("part").alias("p"), "a", "b")
 
     def run(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[int]] = {}
@@ -205,7 +204,7 @@ def edge_betweenness(edges: DataFrame, sources_at_once: int = 32) -> DataFrame:
                     total[edge] = total.get(edge, 0.0) + c
         return pd.DataFrame([(a, b, x / 2) for (a, b), x in total.items()], columns=["src", "dst", "part_sum"]).astype({"src": "int64", "dst": "int64", "part_sum": "float64"})
 
-    done = sources.groupBy("component", "part").cogroup(graphs.groupBy("component", "part")).applyInPandas(run, "src long, dst long, part_sum double")
+    done = sources.groupBy("component", "part").cogroup(graphs.groupBy("c", "p")).applyInPandas(run, "src long, dst long, part_sum double")
     return done.groupBy("src", "dst").agg(F.sum("part_sum").alias("betweenness"))
 
 

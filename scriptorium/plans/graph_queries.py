@@ -202,9 +202,9 @@ def edge_type_counts(spark, d):
     return graph.edge_type_counts(views.edges(spark, d))
 
 
-@query("incident_confidence", "SELECT a AS id, round(least(1.0, greatest(0.0, avg(confidence))), 6) AS confidence FROM both_ways GROUP BY a")
+@query("incident_confidence", "SELECT a AS id, round(least(1.0, greatest(0.0, avg(confidence))), 12) AS confidence FROM both_ways GROUP BY a")
 def incident_confidence(spark, d):
-    return graph.incident_confidence(views.edges(spark, d)).select("id", r6("confidence").alias("confidence"))
+    return graph.incident_confidence(views.edges(spark, d)).select("id", F.round("confidence", 12).alias("confidence"))
 
 
 @query("orphans", "SELECT id FROM nodes WHERE id NOT IN (SELECT a FROM both_ways WHERE weight >= 0.5)")

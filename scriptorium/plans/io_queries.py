@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import citations
-from scriptorium.plans import adapters as views
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import cited_papers
 from scriptorium.sources import records, sinks
@@ -18,10 +17,10 @@ FIELDS = ("names", "year", "title", "venue", "doi")
 def papers(spark, d):
     """Papers with names and single-line titles, as record formats hold them."""
     p = cited_papers(spark, d).withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    return p.withColumn("title", F.trim(F.regexp_replace("title", r"[^\p{L}\p{N} .,-]+", " ")))
+    return p.withColumn("title", F.trim(F.regexp_replace("title", r"[^\p{L}\p{N}.,-]+", " ")))
 
 
-CLEAN = r"trim(regexp_replace(title, '[^\p{L}\p{N} .,-]+', ' ', 'g'))"
+CLEAN = r"trim(regexp_replace(title, '[^\p{L}\p{N}.,-]+', ' ', 'g'))"
 
 
 @query("ris_import", f"SELECT {CLEAN} AS title, year, doi, venue, array_to_string(names, ';') AS authors FROM cited_papers")
@@ -50,8 +49,7 @@ def bibtex_import(spark, d):
 def export_csv(spark, d):
     """What a reader finds in the exported CSV."""
     path = scratch_path(spark, "csv")
-    p = papers(spark, d).join(views.papers(spark, d).select("id", "citation_count"), "id")
-    sinks.export_csv(p, path)
+    sinks.export_csv(papers(spark, d), path)
     back = spark.read.csv(path, header=True, quote='"', escape='"', schema="title string, authors string, year int, venue string, doi string, citation_count int, url string")
     return back.select(F.coalesce("title", F.lit("")).alias("title"), "authors", "year", "venue", "doi")
 

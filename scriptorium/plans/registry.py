@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,4 +35,6 @@ def with_tables(sql: str) -> str:
     if not used:
         return sql
     clause = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in TABLES.items() if name in used)
+    if m := re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql):
+        return f"WITH {m[1] or ''}{clause},\n{sql[m.end():]}"
     return f"WITH {clause}\n{sql}"

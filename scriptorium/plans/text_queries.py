@@ -187,8 +187,10 @@ def identifier_type(spark, d):
     return views.papers(spark, d).select("id", text.identifier_type(value).alias("kind"))
 
 
-def entity_sql(kind, pattern):
-    return f"SELECT doc_id AS id, '{kind}' AS entity_type, lower(trim(regexp_replace(unnest(regexp_extract_all(text, '{pattern}', 1)), '\\s+', ' ', 'g'))) AS entity_value FROM documents"
+def entity_sql(kind, flags, words):
+    """DuckDB has no look-around: separators are doubled, so that each match can take one on either side."""
+    doubled = "regexp_replace(text, '([^\\p{L}\\p{N}])', '\\1\\1', 'g')"
+    return f"SELECT doc_id AS id, '{kind}' AS entity_type, lower(trim(regexp_replace(unnest(regexp_extract_all({doubled}, '{flags}(?:^|[^\\p{{L}}\\p{{N}}])({words})(?:$|[^\\p{{L}}\\p{{N}}])', 1)), '\\s+', ' ', 'g'))) AS entity_value FROM documents"
 
 
 @query("extract_entities", "SELECT DISTINCT id, entity_type, entity_value FROM (" + " UNION ALL ".join(entity_sql(*r) for r in config.ENTITY_RULES) + ")")

@@ -31,7 +31,7 @@ def ris_records(files: DataFrame, lenient: bool = False) -> DataFrame:
     records = files.select(F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"(?m)^ER[ \t]*-.*$")).alias("r")).filter(F.col("r").rlike(r"(?m)^TY"))
     line = r"(?m)^([A-Z][A-Z0-9]{1,2}) *- *(.*)$" if lenient else r"(?m)^([A-Z][A-Z0-9]{1,2})  - ?(.*)$"
     tags = F.regexp_extract_all("r", F.lit(line), 1)
-    values = F.transform(F.regexp_extract_all("r", F.lit(line), 2), F.trim)
+    values = F.transform(F.regexp_extract_all("r", F.lit(line), 2), lambda v: F.trim(v))
     rows = records.select(F.arrays_zip(tags.alias("t"), values.alias("v")).alias("f"))
     of = lambda names: F.transform(F.filter("f", lambda x: x["t"].isin(*names) & (x["v"] != "")), lambda x: x["v"])
     first = lambda names: F.coalesce(*[F.get(of((n,)), F.lit(0)) for n in names])
@@ -92,7 +92,7 @@ def bibtex_records(files: DataFrame) -> DataFrame:
     names = F.transform(F.split(F.coalesce("author", F.lit("")), r"(?i)\s+and\s+"), lambda a: F.trim(unescape_latex(a)))
     # "Last, First" becomes "First Last"
     names = F.transform(names, lambda a: F.when(a.contains(","), F.concat_ws(" ", F.trim(F.regexp_extract(a, ",(.*)$", 1)), F.trim(F.substring_index(a, ",", 1)))).otherwise(a))
-    words = F.transform(F.split(F.coalesce("keywords", F.lit("")), "[,;]"), F.trim)
+    words = F.transform(F.split(F.coalesce("keywords", F.lit("")), "[,;]"), lambda k: F.trim(k))
     keep = lambda a: F.filter(a, lambda x: x != "")
     kind = F.when(F.col("type").isin("inproceedings", "conference", "proceedings"), "CONF").when(F.col("type").isin("book", "inbook"), "BOOK").otherwise("JOUR")
     return raw.select(kind.alias("type"), unescape_latex(F.col("title")).alias("title"), unescape_latex(F.col("abstract_text")).alias("abstract_text"), "doi", first_year(F.coalesce("year", F.lit(""))).alias("year"), unescape_latex(F.col("venue")).alias("venue"), keep(names).alias("authors"), keep(words).alias("keywords"))

@@ -10,7 +10,8 @@ from scriptorium.storage import scratch_path
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str | None = "1 day") -> DataFrame:
     """(start, event_type, n) of tumbling windows; the same for a batch and a stream, where late rows are waited for."""
-    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming and late else rows
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 

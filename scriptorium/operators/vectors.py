@@ -36,7 +36,7 @@ def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
     # the pair (i, j) of tiles, i <= j, has the vectors of both
     sent = own.withColumn("other", other).select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "v")
 
-    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["tile"] == key[0]], rows[rows["tile"] == key[1]]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "similarity": []}).astype({"a": "int64", "b": "int64", "similarity": "float64"})

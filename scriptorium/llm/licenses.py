@@ -2,9 +2,9 @@
 
 A paragraph is a line; one of over PASSAGE words is read in overlapping passages. Its hashed 1- to 3-word n-grams go
 through a multinomial logistic regression over licence families and "unknown". The model is trained here on variants
-made by rule from the templates below, and for "unknown" on passages of the corpus (at most UNKNOWN_TEXTS texts, of
-smallest hash) and on shuffled template words. A temperature fitted on held-out variants calibrates the
-probabilities. A prediction of a family at PROBABILITY or more is confirmed by comparison with the family's
+made by rule from the templates below, and for "unknown" on passages of the corpus (a sample bounded by
+UNKNOWN_TEXTS texts of smallest hash and SAMPLE_CHARS characters of each) and on shuffled template words. A
+temperature fitted on held-out variants calibrates the probabilities. A prediction of a family at PROBABILITY or more is confirmed by comparison with the family's
 templates: the longest common subsequence must cover TEMPLATE_SHARE of one of them.
 
 Defined cases: null and empty texts have no paragraphs and no licences; texts are read whole; repeated rows give a row
@@ -43,7 +43,7 @@ FAMILIES = (*sorted(TEMPLATES), "unknown")
 LETTERS = re.compile(r"[^\W\d_]+")
 PASSAGE = 40
 BUCKETS = 1 << 15
-UNKNOWN_TEXTS = 256
+UNKNOWN_TEXTS, SAMPLE_CHARS = 256, 20_000
 VARIANTS, STEPS, SEED = 120, 80, 5
 PROBABILITY, TEMPLATE_SHARE = 0.5, 0.6
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -107,7 +107,7 @@ def variants(rng: np.random.Generator, filler: list[str]) -> tuple[list[list[str
             words = LETTERS.findall(TEMPLATES[family][rng.integers(len(TEMPLATES[family]))].lower())
             if len(words) > 6:
                 words = [w for w in words if rng.random() > 0.06]
-            context = lambda: [filler[i] for i in rng.integers(len(filler), size=rng.integers(0, 12))] if filler else []  # noqa: B023, E731
+            context = lambda: [filler[i] for i in rng.integers(len(filler), size=rng.integers(0, 18) if rng.random() < 0.7 else 0)] if filler else []  # noqa: B023, E731
             texts.append([*context(), *words, *context()])
             labels.append(y)
     for _ in range(3 * VARIANTS):
@@ -202,7 +202,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
-    sample = [r.text for r in text.select("h", F.substring("text", 1, 20000).alias("text")).distinct().orderBy("h", "text").limit(UNKNOWN_TEXTS).collect()]  # of the unknown class: bounded
+    sample = [r.text for r in text.select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy("h", "text").limit(UNKNOWN_TEXTS).collect()]  # of the unknown class: bounded
     model = trained(sample)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ("family", "start", "end", "probability", "similarity")

@@ -7,7 +7,9 @@ k-th score found. Tiles are (shard of blocks) x (chunk of queries) of bounded si
 
 Defined cases: null vectors and vectors that hold null, infinite or NaN components take no part, nor do rows without
 id; a shorter vector counts as padded with zeros; rows that share an id are one candidate, of which the best score
-counts, and never a candidate of a query with that id; equal scores go by smaller id; an empty table gives no rows.
+counts, and never a candidate of a query with that id; equal scores go by
+smaller id; sums are exact whole numbers, shown as the largest or smallest long where they go beyond it; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ def tile_topk(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.nda
                 first = np.lexsort((at, -s))
                 once = np.sort(np.unique(at[first], return_index=True)[1])[:k]  # rows that share an id count once
                 best_s, best_i = s[first][once], at[first][once]
-        out += [(own, a, int(s)) for a, s in zip(best_i, best_s, strict=True)]
+        out += [(own, a, min(max(int(s), -(2**63)), 2**63 - 1)) for a, s in zip(best_i, best_s, strict=True)]
     return out, scored
 
 

@@ -18,10 +18,15 @@ def ascii_text(text: Column) -> Column:
 
 
 def token_array(text: Column) -> Column:
-    """Words of a text: split at separators, reduced to a-z, 0-9 and hyphens; without numbers, stop words and most single characters."""
-    kept = F.regexp_replace(ascii_text(F.coalesce(text, F.lit(""))), f"[^a-z0-9\\-{SEPARATORS}]", "")
-    words = F.split(kept, f"[{SEPARATORS}]+")
-    return F.filter(words, lambda w: ~w.rlike(r"^[0-9]*$") & ~w.isin(*config.STOP_WORDS) & ((F.length(w) > 1) | w.isin(*config.PROTECTED)))
+    """Words of a text: split at separators, reduced to a-z, 0-9 and hyphens; without numbers, stop words and most single characters.
+
+    Unwanted words go in one pass of a regular expression over the text, which is far cheaper than a test of each word.
+    """
+    kept = F.regexp_replace(ascii_text(F.coalesce(text, F.lit(""))), f"[^a-z0-9\\-{SEPARATORS}]+", "")
+    single = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in config.PROTECTED)
+    unwanted = "|".join(["[0-9]+", rf"[{single}\-]", *sorted((w for w in config.STOP_WORDS if len(w) > 1), reverse=True)])
+    words = F.split(F.regexp_replace(kept, rf"(?<![a-z0-9\-])(?:{unwanted})(?![a-z0-9\-])", ""), f"[{SEPARATORS}]+")
+    return F.array_remove(words, "")
 
 
 def token_sql(text: str) -> str:

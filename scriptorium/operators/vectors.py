@@ -65,7 +65,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, least: float = -
         if len(docs) and len(asked):
             d, q, ids = _units(docs["v"]), _units(asked["v"]), docs["id"].to_numpy()
             for own, row in zip(asked["id"], q, strict=True):
-                s = np.round(d @ row, 9)
+                s = np.round(d @ row, 12)
                 s[ids == own] = -np.inf
                 # all that tie with the k-th are kept for the final ranking
                 limit = np.partition(s, -k)[-k] if len(s) > k else -np.inf

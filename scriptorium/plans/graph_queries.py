@@ -11,7 +11,7 @@ from scriptorium.operators import cluster, graph, lexical, relations
 from scriptorium.operators import vectors as joins
 from scriptorium.plans import adapters as views
 from scriptorium.plans.registry import TABLES, query
-from scriptorium.storage import table
+from scriptorium.storage import spread, table
 
 r6 = lambda c: F.round(c, 6)
 DIRECTED = ", ".join(f"'{t}'" for t in graph.DIRECTED)
@@ -409,7 +409,7 @@ def by_language(spark, d):
 
 
 def words_of(spark, d):
-    return lexical.tokenised(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return lexical.tokenised(spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 
 
 @query("cluster_labels", """SELECT cluster, concat(array_to_string(list(term ORDER BY place), ', '), ' #', cluster) AS label FROM (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, term) AS place FROM (SELECT lang AS cluster, term, round(sum(weight), 6) AS w FROM weights JOIN documents ON doc_id = id GROUP BY lang, term)) WHERE place <= 3 GROUP BY cluster""")
@@ -430,6 +430,6 @@ def shared_terms(spark, d):
 
 @query("textrank")
 def textrank(spark, d):
-    return graph.textrank(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return graph.textrank(spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
 
 

@@ -10,14 +10,14 @@ from scriptorium.functions import citations, scoring, text
 from scriptorium.operators import entities, lexical
 from scriptorium.plans import adapters as views
 from scriptorium.plans.registry import TABLES, query
-from scriptorium.storage import table
+from scriptorium.storage import spread, table
 
 r6 = lambda c: F.round(c, 6)
 YEAR = views.AS_OF_YEAR
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def passages(spark, d):

@@ -117,7 +117,7 @@ def test_vector_joins_match_numpy(spark):
     for r in cosine_topk(df, df, 5).collect():
         top.setdefault(r.query_id, {})[r["rank"]] = r.id
     for i in range(60):
-        assert [top[i][k] for k in range(1, 6)] == sorted((j for j in range(60) if j != i), key=lambda j: (-round(s[i, j], 9), j))[:5]
+        assert [top[i][k] for k in range(1, 6)] == sorted((j for j in range(60) if j != i), key=lambda j: (-round(s[i, j], 12), j))[:5]
 
 
 def test_ward_finds_separate_blobs(spark):

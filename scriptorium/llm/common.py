@@ -1,43 +1,15 @@
-"""What the operators share: scratch tables in the cluster's shared folder, and ASCII word splitting."""
+"""What the operators share: scratch tables in the cluster's shared folder, bounds of batches and of samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from scriptorium.storage import saved, scratch_path, shared_dir, table
 
 #: Rows in an Arrow batch sent to Python; texts can be long, so fewer than Spark's 10,000.
 ARROW_ROWS = 1000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (as in tests), a folder made once for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext.getCheckpointDir()
-        folder = made or f"file://{tempfile.mkdtemp(prefix='scriptorium-')}"
-        if not made:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: this cuts the lineage and survives the loss of executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of texts; a smaller setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -45,5 +17,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def ascii_lower(column):
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def low_hash(h: Column, wanted: int, total: int) -> Column:
+    """Whether a 64-bit hash is so low that about `wanted` of `total` different ones are, and with some room to spare.
+
+    An ORDER BY with LIMIT brings the limit's rows of every partition to the driver; after this filter it brings few.
+    """
+    share = (wanted + 6 * wanted**0.5 + 50) / max(1, total)
+    return h <= (2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63)
+
+
+__all__ = ["ARROW_ROWS", "low_hash", "saved", "scratch_path", "shared_dir", "small_batches", "table"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import saved, small_batches
+from scriptorium.llm.common import low_hash, saved, small_batches
 from scriptorium.llm.words import MEMO, WORD
 
 #: Bounds of the fit: labelled rows, terms.
@@ -161,7 +161,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     """Terms, and of the sampled examples: term counts, labels, ids. Fitted by one task on at most EXAMPLES rows."""
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     present = docs.select(F.col(id_col).alias("doc_id")).join(chosen, "doc_id", "left_semi").distinct().join(chosen, "doc_id")
-    sample = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES)
+    present = saved(present.withColumn("h", F.xxhash64("doc_id")), "labelled")
+    sample = present.filter(low_hash(F.col("h"), EXAMPLES, present.count())).orderBy("h", "doc_id").limit(EXAMPLES).drop("h")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

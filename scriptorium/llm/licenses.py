@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches
+from scriptorium.llm.common import low_hash, small_batches
 from scriptorium.llm.words import WordIds, lcs_length
 
 #: Notices of licence families (fixed values of this project; the wording of the notices is that in common use).
@@ -202,7 +202,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     small_batches(spark)
     text = docs.select(F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
-    sample = [r.text for r in text.select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy("h", "text").limit(UNKNOWN_TEXTS).collect()]  # of the unknown class: bounded
+    sample = [r.text for r in text.filter(low_hash(F.col("h"), UNKNOWN_TEXTS, text.select(F.approx_count_distinct("h")).first()[0])).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct().orderBy("h", "text").limit(UNKNOWN_TEXTS).collect()]  # of the unknown class: bounded
     model = trained(sample)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = ("family", "start", "end", "probability", "similarity")

@@ -10,7 +10,7 @@ from scriptorium.functions import citations, scoring, text
 from scriptorium.operators import entities, lexical
 from scriptorium.plans import adapters as views
 from scriptorium.plans.registry import TABLES, query
-from scriptorium.storage import spread, table
+from scriptorium.storage import saved, spread, table
 
 r6 = lambda c: F.round(c, 6)
 YEAR = views.AS_OF_YEAR
@@ -63,15 +63,20 @@ def avg_doc_length(spark, d):
 
 @query("tfidf_vectors", "SELECT id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_vectors(spark, d):
-    return lexical.tfidf_vectors(lexical.tokenised(docs(spark, d))).select("id", "term", r6("weight").alias("weight"))
+    return lexical.tfidf_vectors(words_once(spark, d)).select("id", "term", r6("weight").alias("weight"))
 
 
-def cosines(spark, d):
-    return lexical.tfidf_cosine(lexical.tokenised(docs(spark, d)), lexical.tokenised(passages(spark, d)))
+def words_once(spark, d):
+    """The documents' words, written: retrieval reads them several times, and reading costs far less than splitting texts."""
+    return saved(lexical.tokenised(docs(spark, d)), "words")
 
 
-def bm25_scores(spark, d):
-    return lexical.bm25(lexical.tokenised(docs(spark, d)), lexical.tokenised(passages(spark, d)))
+def cosines(spark, d, words=None):
+    return lexical.tfidf_cosine(words or words_once(spark, d), lexical.tokenised(passages(spark, d)))
+
+
+def bm25_scores(spark, d, words=None):
+    return lexical.bm25(words or words_once(spark, d), lexical.tokenised(passages(spark, d)))
 
 
 @query("tfidf_cosine", "SELECT query_id, id, round(cosine, 6) AS cosine FROM tfidf_cosines")
@@ -93,8 +98,8 @@ def bm25_topk(spark, d):
 TABLES["bm25_percent"] = "SELECT query_id, id, least(100.0, score / max(score) OVER (PARTITION BY query_id) * 100) AS percent FROM bm25_scores WHERE score > 0"
 
 
-def bm25_percent(spark, d):
-    return bm25_scores(spark, d).filter("score > 0").withColumn("percent", F.least(F.lit(100.0), F.col("score") / F.max("score").over(Window.partitionBy("query_id")) * 100)).select("query_id", "id", "percent")
+def bm25_percent(spark, d, words=None):
+    return bm25_scores(spark, d, words).filter("score > 0").withColumn("percent", F.least(F.lit(100.0), F.col("score") / F.max("score").over(Window.partitionBy("query_id")) * 100)).select("query_id", "id", "percent")
 
 
 @query("bm25_normalised", "SELECT query_id, id, round(percent, 6) AS percent FROM bm25_percent")
@@ -375,7 +380,8 @@ TABLES["composite"] = f"""SELECT b.query_id, b.id, least(100.0, {config.LEXICAL_
 
 
 def composite(spark, d):
-    return entities.composite_rank(views.papers(spark, d), bm25_percent(spark, d), cosines(spark, d), YEAR)
+    words = words_once(spark, d)
+    return entities.composite_rank(views.papers(spark, d), bm25_percent(spark, d, words), cosines(spark, d, words), YEAR)
 
 
 @query("composite_rank", "SELECT query_id, id, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN round(score, 6) >= 80 THEN 'Excellent' WHEN round(score, 6) >= 60 THEN 'Strong' WHEN round(score, 6) >= 40 THEN 'Moderate' ELSE 'Weak' END AS strength FROM composite")

@@ -12,9 +12,13 @@ from scriptorium import config
 SEPARATORS = r"""\s,;:!?()\[\]{}"'"""
 
 
-def ascii_text(text: Column) -> Column:
-    """Lower case, with dashes, quotes and Greek letters in ASCII."""
-    return reduce(lambda t, g: F.replace(t, F.lit(g[0]), F.lit(g[1])), config.GREEK, F.translate(F.lower(text), config.ASCII_FROM, config.ASCII_TO))
+#: Common characters that are no part of a word and separate nothing; deleting them in one pass leaves the regular expression little to do.
+DELETED = "".join(chr(c) for c in (*range(33, 127), *range(0xA1, 0x100)) if not (chr(c).isalnum() and c < 128) and chr(c) not in ",;:!?()[]{}\"'-" and chr(c) not in config.ASCII_FROM)
+
+
+def ascii_text(text: Column, deleted: str = "") -> Column:
+    """Lower case, with dashes, quotes and Greek letters in ASCII, and without the characters to delete."""
+    return reduce(lambda t, g: F.replace(t, F.lit(g[0]), F.lit(g[1])), config.GREEK, F.translate(F.lower(text), config.ASCII_FROM + deleted, config.ASCII_TO))
 
 
 def token_array(text: Column) -> Column:
@@ -22,7 +26,7 @@ def token_array(text: Column) -> Column:
 
     Unwanted words go in one pass of a regular expression over the text, which is far cheaper than a test of each word.
     """
-    kept = F.regexp_replace(ascii_text(F.coalesce(text, F.lit(""))), f"[^a-z0-9\\-{SEPARATORS}]+", "")
+    kept = F.regexp_replace(ascii_text(F.coalesce(text, F.lit("")), DELETED), f"[^a-z0-9\\-{SEPARATORS}]+", "")
     single = "".join(c for c in "abcdefghijklmnopqrstuvwxyz" if c not in config.PROTECTED)
     unwanted = "|".join(["[0-9]+", rf"[{single}\-]", *sorted((w for w in config.STOP_WORDS if len(w) > 1), reverse=True)])
     words = F.split(F.regexp_replace(kept, rf"(?<![a-z0-9\-])(?:{unwanted})(?![a-z0-9\-])", ""), f"[{SEPARATORS}]+")

@@ -14,10 +14,22 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return docs.select("id", token_array(F.col("text")).alias("words"))
 
 
+def occurrences(words: DataFrame) -> DataFrame:
+    """(id, length, term), a row a word.
+
+    The length is taken first: beside explode it would carry the whole array along with every word. The outer form
+    keeps Spark from inferring a filter that would split the texts once more.
+    """
+    return words.select("id", F.size("words").alias("length"), "words").select("id", "length", F.explode_outer("words").alias("term")).filter("term IS NOT NULL")
+
+
 def term_counts(words: DataFrame) -> DataFrame:
-    """(id, term, length, n): n of the document's length words are the term."""
-    rows = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return rows.groupBy("id", "term", "length").agg(F.count("*").alias("n"))
+    """(id, term, length, n): n of the document's length words are the term.
+
+    Documents are dealt by id while their words are still one array; the rows of single words are then counted where
+    they are, without a shuffle of their own.
+    """
+    return occurrences(words.repartition(F.col("id"))).groupBy("id", "term", "length").agg(F.count("*").alias("n"))
 
 
 def term_frequency(words: DataFrame) -> DataFrame:
@@ -27,7 +39,7 @@ def term_frequency(words: DataFrame) -> DataFrame:
 
 def document_frequency(words: DataFrame) -> DataFrame:
     """(term, df)."""
-    return words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return words.select(F.explode_outer(F.array_distinct("words")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_size(words: DataFrame) -> DataFrame:
@@ -53,8 +65,7 @@ def _weights(counts: DataFrame, dfs: DataFrame, n: DataFrame) -> DataFrame:
 
 def query_weights(queries: DataFrame, dfs: DataFrame, n: DataFrame) -> DataFrame:
     """(query_id, term, weight): terms that no document holds weigh ln n."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("words"))
-    rows = q.select("query_id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("query_id", "length", "term").agg(F.count("*").alias("n"))
+    rows = occurrences(queries).withColumnRenamed("id", "query_id").groupBy("query_id", "length", "term").agg(F.count("*").alias("n"))
     rows = rows.join(dfs, "term", "left").crossJoin(F.broadcast(n.withColumnRenamed("n", "corpus")))
     own = F.when(F.col("df").isNull(), F.log(F.col("corpus").cast("double"))).otherwise(idf(F.col("df"), F.col("corpus")))
     return rows.select("query_id", "term", (F.col("n") / F.col("length") * own).alias("weight"))
@@ -81,8 +92,7 @@ def bm25(words: DataFrame, query_words: DataFrame, k1: float = config.BM25_K1, b
     stats = corpus_size(words)
     terms = query_words.select(F.col("id").alias("query_id"), F.explode(F.array_distinct("words")).alias("term"))
     asked = terms.select("term").distinct()
-    lengths = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    postings = lengths.join(asked, "term").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    postings = occurrences(words).join(asked, "term").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
     dfs = postings.groupBy("term").agg(F.count("*").alias("df"))
     rows = terms.join(dfs, "term").join(postings, "term").crossJoin(F.broadcast(stats))  # one row
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -29,23 +29,34 @@ def edge_hybrid(semantic: Column, authors: Column, tags: Column) -> Column:
     return semantic * 0.75 + authors * 0.15 + tags * 0.10
 
 
-def set_pairs(rows: DataFrame, key: str, value: str, least: float) -> DataFrame:
-    """(a, b, shared, jaccard) of keys a < b whose value sets overlap with a Jaccard of at least `least` > 0.
+#: The rules that make a pair an edge, and a pair of titles related.
+EDGE_LEAST = 0.08
+RELATED_JACCARD, RELATED_SHARED = 0.05, 3
+
+
+def set_pairs(rows: DataFrame, key: str, value: str, least: float, shared: int | None = None) -> DataFrame:
+    """(a, b, shared, jaccard) of keys a < b whose value sets overlap with a Jaccard of at least `least` > 0, or in `shared` values.
 
     Exact, by prefix filtering: with values ordered from rare to frequent, two sets that similar share a value among
-    the first n - ceil(least * n) + 1 of each. Only those prefixes are joined, never the frequent values of all.
+    the first n - ceil(least * n) + 1 of each, and two with `shared` values in common among the first n - shared + 1.
+    Only those prefixes are joined, never the frequent values of all.
     """
     distinct = rows.select(F.col(key).alias("k"), F.col(value).alias("v")).distinct()
     frequency = distinct.groupBy("v").agg(F.count("*").alias("f"))
     sets = distinct.join(frequency, "v").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("s")).select("k", F.col("s.v").alias("s"))
     n = F.size("s")
-    prefix = sets.select("k", "s", F.explode(F.slice("s", 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int"))).alias("v"))
+    need = F.ceil(n * least - 1e-9)
+    need = need if shared is None else F.least(need, F.lit(shared))
+    prefix = sets.select("k", "s", F.explode(F.slice("s", 1, (n - need + 1).cast("int"))).alias("v"))
     x = prefix.select(F.col("k").alias("a"), F.col("s").alias("sa"), "v")
     y = prefix.select(F.col("k").alias("b"), F.col("s").alias("sb"), "v")
     fits = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * (least - 1e-9)
+    if shared is not None:
+        fits |= F.least(F.size("sa"), F.size("sb")) >= shared
     pairs = x.join(y, "v").filter((F.col("a") < F.col("b")) & fits).dropDuplicates(["a", "b"])
     both = pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
-    return both.filter(F.col("jaccard") >= least - 1e-12)
+    passes = F.col("jaccard") >= least - 1e-12
+    return both.filter(passes if shared is None else passes | (F.col("shared") >= shared))
 
 
 def duplicate_pairs(papers: DataFrame, words: DataFrame, near: DataFrame | None = None, least: float = 0.85) -> DataFrame:
@@ -93,7 +104,7 @@ def relationship(pairs: DataFrame) -> DataFrame:
     The first rule that holds decides; neural similarity, where known, scales the confidence. Unrelated pairs go.
     """
     j, neural = F.col("jaccard"), F.col("neural")
-    related = (j >= 0.05) | (F.col("shared") >= 3)
+    related = (j >= RELATED_JACCARD) | (F.col("shared") >= RELATED_SHARED)
     kind = (
         F.when(F.col("methods") > 0, "METHODOLOGY")
         .when(F.col("contradicts") & (j > 0.08), "CONTRADICTS")

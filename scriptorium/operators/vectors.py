@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a tile.
+#: Vectors in a tile; fewer where most pairs pass.
 TILE = 4096
+DENSE_TILE = 1024
 
 
 def _tiled(vectors: DataFrame, tiles: int) -> DataFrame:
@@ -25,12 +26,12 @@ def _units(rows: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def pairs_above(vectors: DataFrame, threshold: float) -> DataFrame:
+def pairs_above(vectors: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
     """(a, b, similarity) for pairs of ids a < b with a cosine of at least threshold, from (id, v).
 
     Every pair of tiles meets in one task; a vector is sent once for each tile, and each task holds two tiles.
     """
-    tiles = max(1, -(-vectors.count() // TILE))
+    tiles = max(1, -(-vectors.count() // tile))
     own = _tiled(vectors, tiles)
     other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     # the pair (i, j) of tiles, i <= j, has the vectors of both

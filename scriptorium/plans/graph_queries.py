@@ -100,16 +100,35 @@ WITHOUT = "(" + " + ".join(f"{relations.HYBRID[k]} * {JACCARD[k]}" for k in SETS
 
 @query("hybrid_similarity", f"SELECT a, b, round({WITH_VECTORS}, 6) AS hybrid, round({WITHOUT}, 6) AS lexical, round(0.75 * similarity + 0.15 * {JACCARD['citation']} + 0.10 * {JACCARD['keyword']}, 6) AS edge FROM cosines WHERE similarity >= 0.3")
 def hybrid_similarity(spark, d):
-    pairs = joins.pairs_above(views.vectors(spark, d), 0.3)
+    return hybrid_scores(joins.pairs_above(views.vectors(spark, d), 0.3))
+
+
+def hybrid_scores(pairs):
     own = {k: scoring.jaccard(id_set("a", m), id_set("b", m)) for k, m in SETS.items()}
     return pairs.select("a", "b", r6(relations.hybrid_similarity({"embedding": F.col("similarity"), **own})).alias("hybrid"), r6(relations.hybrid_similarity(own)).alias("lexical"), r6(relations.edge_hybrid(F.col("similarity"), own["citation"], own["keyword"])).alias("edge"))
 
 
+@query("hybrid_similarity_all")
+def hybrid_similarity_all(spark, d):
+    """hybrid_similarity of every pair: the scores have no threshold of their own."""
+    return hybrid_scores(joins.pairs_above(views.vectors(spark, d), -1.0, joins.DENSE_TILE))
+
+
 @query("edge_hybrid", f"SELECT a, b, round(0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']}, 6) AS weight FROM cosines WHERE similarity >= 0.3 AND 0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']} >= 0.08")
 def edge_hybrid(spark, d):
-    pairs = joins.pairs_above(views.vectors(spark, d), 0.3)
+    return edge_weights(joins.pairs_above(views.vectors(spark, d), 0.3))
+
+
+def edge_weights(pairs):
     weight = relations.edge_hybrid(F.col("similarity"), *[scoring.jaccard(id_set("a", SETS[k]), id_set("b", SETS[k])) for k in ("method", "task")])
-    return pairs.select("a", "b", weight.alias("weight")).filter("weight >= 0.08").withColumn("weight", r6("weight"))
+    return pairs.select("a", "b", weight.alias("weight")).filter(F.col("weight") >= relations.EDGE_LEAST).withColumn("weight", r6("weight"))
+
+
+@query("edge_hybrid_all")
+def edge_hybrid_all(spark, d):
+    """Every pair that meets the edge rule; no cosine under the bound can, with both other signals at 1."""
+    bound = (relations.EDGE_LEAST - 0.25) / 0.75
+    return edge_weights(joins.pairs_above(views.vectors(spark, d), bound, joins.DENSE_TILE))
 
 
 TABLES["centroids"] = "SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY label, i) GROUP BY label"
@@ -133,6 +152,12 @@ def similarity_edges(spark, d):
     return views.edges(spark, d)
 
 
+@query("similarity_edges_all")
+def similarity_edges_all(spark, d):
+    """The edges that the rule of edge_hybrid gives, all RELATED."""
+    return edge_hybrid_all(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("type"), "weight")
+
+
 @query("edge_filter", "SELECT src, dst, type FROM edges WHERE weight >= 0.35 AND type IN ('RELATED', 'EXTENDS')")
 def edge_filter(spark, d):
     return views.edges(spark, d).filter((F.col("weight") >= 0.35) & F.col("type").isin("RELATED", "EXTENDS")).select("src", "dst", "type")
@@ -354,8 +379,17 @@ TABLES["relation_facts"] = f"SELECT *, CASE WHEN least(mx, my) > 2 THEN least(mx
   round(CAST(CASE WHEN m > 0 THEN least(0.85, 0.55 + 0.1 * m) WHEN con AND jaccard > 0.08 THEN least(0.75, 0.45 + 2 * jaccard) WHEN ext AND year_a <> year_b THEN least(0.8, 0.5 + 2.5 * jaccard) ELSE least(0.75, 0.4 + 3 * jaccard) END AS DOUBLE), 6) AS confidence FROM relation_facts""")
 def relationship_rules(spark, d):
     """Rules on pairs of papers with title words in common (a Jaccard of at least 0.3)."""
-    p = views.papers(spark, d).select("id", "title", "year")
-    pairs = relations.set_pairs(title_words(spark, d), "id", "word", 0.3)
+    return relation_rules(views.papers(spark, d), relations.set_pairs(title_words(spark, d), "id", "word", 0.3))
+
+
+@query("relationship_rules_all")
+def relationship_rules_all(spark, d):
+    """Rules on every pair of papers that they call related."""
+    return relation_rules(views.papers(spark, d), relations.set_pairs(title_words(spark, d), "id", "word", relations.RELATED_JACCARD, relations.RELATED_SHARED))
+
+
+def relation_rules(papers, pairs):
+    p = papers.select("id", "title", "year")
     x, y = p.select(F.col("id").alias("a"), F.col("title").alias("ta"), F.col("year").alias("year_a")), p.select(F.col("id").alias("b"), F.col("title").alias("tb"), F.col("year").alias("year_b"))
     m = F.least(relations.cue_count(F.col("ta"), config.METHOD_CUES), relations.cue_count(F.col("tb"), config.METHOD_CUES))
     either = lambda cues: (relations.cue_count(F.col("ta"), cues) + relations.cue_count(F.col("tb"), cues)) > 0

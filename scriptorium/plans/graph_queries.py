@@ -237,16 +237,34 @@ def orphans(spark, d):
     return graph.orphans(views.nodes(spark, d), views.edges(spark, d).filter("weight >= 0.5"))
 
 
+@query("orphans_all")
+def orphans_all(spark, d):
+    """Nodes without any edge."""
+    return graph.orphans(views.nodes(spark, d), views.edges(spark, d))
+
+
 @query("ego_2hop", "SELECT DISTINCT centre, id FROM (SELECT id AS centre, id FROM nodes UNION ALL SELECT a, b FROM both_ways WHERE weight >= 0.4 UNION ALL SELECT x.a, y.b FROM both_ways x JOIN both_ways y ON x.b = y.a WHERE x.weight >= 0.4 AND y.weight >= 0.4)")
 def ego_2hop(spark, d):
     return graph.ego(views.edges(spark, d).filter("weight >= 0.4"), views.nodes(spark, d))
 
 
+@query("ego_2hop_all")
+def ego_2hop_all(spark, d):
+    """ego_2hop over the whole edge table."""
+    return graph.ego(views.edges(spark, d), views.nodes(spark, d))
+
+
 @query("common_neighbours", "SELECT e.src, e.dst, count(DISTINCT x.b) AS common FROM edges e JOIN both_ways x ON x.a = e.src AND x.type <> 'RELATED' JOIN both_ways y ON y.a = e.dst AND y.b = x.b AND y.type <> 'RELATED' WHERE e.weight >= 0.4 AND x.weight >= 0.4 AND y.weight >= 0.4 GROUP BY e.src, e.dst")
 def common_neighbours(spark, d):
     return graph.common_neighbours(views.edges(spark, d).filter("weight >= 0.4"))
 
 
+@query("common_neighbours_all")
+def common_neighbours_all(spark, d):
+    """common_neighbours over the whole edge table."""
+    return graph.common_neighbours(views.edges(spark, d))
+
+
 def path_sql(kind, rows, order, n):
     return f"SELECT id, '{kind}' AS kind, CAST(place AS INT) AS place, other FROM (SELECT p.id, p.other, row_number() OVER (PARTITION BY p.id ORDER BY {order}, p.other) AS place FROM ({rows}) p JOIN scores s ON s.id = p.other JOIN nodes o ON o.id = p.id) WHERE place <= {n}"
 
@@ -303,7 +321,7 @@ def timeline_xy(spark, d):
 
 @query("edge_betweenness")
 def edge_betweenness(spark, d):
-    return graph.edge_betweenness(views.edges(spark, d).filter("weight >= 0.4")).withColumn("betweenness", r6("betweenness"))
+    return graph.edge_betweenness(views.edges(spark, d)).withColumn("betweenness", r6("betweenness"))
 
 
 @query("bridge_edges")
@@ -313,7 +331,7 @@ def bridge_edges(spark, d):
 
 @query("bridges")
 def bridges(spark, d):
-    return graph.true_bridges(views.edges(spark, d).filter("weight >= 0.4"))
+    return graph.true_bridges(views.edges(spark, d))
 
 
 @query("graph_components", "WITH RECURSIVE e AS (SELECT a, b FROM both_ways WHERE weight >= 0.5), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id")
@@ -321,6 +339,12 @@ def graph_components(spark, d):
     return graph.components(views.edges(spark, d).filter("weight >= 0.5"))
 
 
+@query("graph_components_all")
+def graph_components_all(spark, d):
+    """graph_components over the whole edge table."""
+    return graph.components(views.edges(spark, d))
+
+
 # --- authors
 
 TABLES["author_pairs"] = "SELECT x.author_id AS a, y.author_id AS b, count(*) AS papers FROM paper_authors x JOIN paper_authors y ON x.paper_id = y.paper_id AND x.author_id < y.author_id GROUP BY 1, 2"
@@ -350,7 +374,7 @@ def bridge_authors(spark, d):
 
 @query("lpa_communities")
 def lpa_communities(spark, d):
-    return graph.communities(coauthor_edges(spark, d).filter("papers >= 3"))
+    return graph.communities(coauthor_edges(spark, d))
 
 
 # --- relationships and duplicates

@@ -32,12 +32,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9]([ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ACCOUNT = re.compile(r"""(?:\s+(?:no|nr|number)\.?)?[\s:=#"']{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,63})""")
+ACCOUNT = re.compile(r"""(?:\s+(?i:no|nr|number)\.?)?[\s:=#"']{1,4}([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,63})""")
+WORD = re.compile(r"[A-Za-z0-9]+(?:-+[A-Za-z0-9]+)*")
 URL_REST = re.compile(r"""[^\s"'<>]+""")
 
 
 def automaton():
-    """Anchors and the kinds that they may open. Digit patterns come from a rule."""
+    """Anchors of lower-cased text and the kinds that they may open. Digit patterns come from a rule."""
     import ahocorasick
 
     found: dict[str, set[str]] = {"@": {"email"}, "://": {"url"}}
@@ -48,8 +49,7 @@ def automaton():
             for gap in ("", " ", "-"):
                 found.setdefault(f"{a}{gap}{b}", set()).add("card")
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize(), cue.title()):
-            found.setdefault(form, set()).add("account")
+        found.setdefault(cue, set()).add("account")
     a = ahocorasick.Automaton()
     for word, kinds in found.items():
         a.add_word(word, (len(word), tuple(sorted(kinds))))
@@ -108,23 +108,20 @@ def phone(text: str, at: int, floor: int):
 
 
 def account(text: str, at: int, floor: int, cue_end: int):
-    """An identifier right after a cue, if it holds at least four digits; an IBAN must pass its check digits."""
+    """An identifier right after a cue, to the end of its word, if it holds at least four digits; an IBAN must pass its check digits."""
     m = ACCOUNT.match(text, cue_end)
     if not m:
         return floor, None
-    start, end = m.span(1)
-    word = re.match(r"[A-Za-z0-9-]+", text[start:end])
-    value = m.group(1)
+    start, value = m.start(1), m.group(1)
     code = re.sub(r"[ -]", "", value)
     if re.match(r"[A-Za-z]{2}[0-9]{2}", code):
-        for stop in range(min(34, len(code)), 14, -1):
-            if iban_valid(code[:stop]):
-                n, i = 0, 0
-                while n < stop:
-                    n += value[i] not in " -"
-                    i += 1
-                return start + i, (start, start + i)
-    end = start + len(word.group())
+        ends = [i for i, c in enumerate(value, start + 1) if c not in " -"]
+        valid = [ends[n - 1] for n in range(min(34, len(code)), 14, -1) if iban_valid(code[:n])]
+        if valid:  # the longest that ends with its word, else the longest, to the end of the word that it lies in
+            end = next((i for i in valid if WORD.match(text, i - 1).end() == i), None) or WORD.match(text, valid[0] - 1).end()
+            return end, (start, end)
+    word = WORD.match(text, start)
+    end = word.end()
     return (end, (start, end)) if end - start >= 6 and sum(c in DIGITS for c in word.group()) >= 4 else (floor, None)
 
 
@@ -146,7 +143,7 @@ def find_spans(text: str, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind in the order of KINDS, then by start."""
     out: dict[str, list[tuple[int, int]]] = {}
     floors = dict.fromkeys(KINDS, 0)
-    for last, (n, kinds) in anchors.iter(text):
+    for last, (n, kinds) in anchors.iter(text.replace("\u0130", "\u0131").lower()):  # the one letter that grows when lowered
         at = last - n + 1
         for kind in kinds:
             if at < floors[kind]:

@@ -38,6 +38,8 @@ TEMPLATES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
     "proprietary": ("All rights reserved. No part of this work may be reproduced or distributed without prior written permission",),
 }
+#: Short forms of notices: templates too, with variants of their own.
+SHORT = {"proprietary": ("All rights reserved.",)}
 FAMILIES = (*sorted(TEMPLATES), "unknown")
 #: A word is a run of letters: versions and years don't count.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -45,6 +47,7 @@ PASSAGE = 40
 BUCKETS = 1 << 15
 UNKNOWN_TEXTS, SAMPLE_CHARS = 256, 20_000
 VARIANTS, STEPS, SEED = 120, 80, 5
+SHORT_VARIANTS = 80
 PROBABILITY, TEMPLATE_SHARE = 0.5, 0.6
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -117,6 +120,18 @@ def variants(rng: np.random.Generator, filler: list[str]) -> tuple[list[list[str
     return texts, labels
 
 
+def short_variants(rng: np.random.Generator, filler: list[str]) -> tuple[list[list[str]], list[int]]:
+    """Training passages from the short forms, in contexts of up to a passage."""
+    texts, labels = [], []
+    for family, forms in SHORT.items():
+        for i in range(SHORT_VARIANTS):
+            around = [filler[j] for j in rng.integers(len(filler), size=rng.integers(0, 18) if rng.random() < 0.7 else 0)] if filler else []
+            at = rng.integers(len(around) + 1)
+            texts.append([*around[:at], *LETTERS.findall(forms[i % len(forms)].lower()), *around[at:]])
+            labels.append(FAMILIES.index(family))
+    return texts, labels
+
+
 def word_array(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
@@ -132,8 +147,10 @@ def trained(unknown: list[str]) -> Classifier:
             if words and not any(w.startswith(("licen", "copyright")) for w in words):
                 texts.append(words)
                 labels.append(len(FAMILIES) - 1)
-    more, classes = variants(rng, sorted({w for t in texts for w in t}))
-    texts, labels = texts + more, np.array(labels + classes)
+    filler = sorted({w for t in texts for w in t})
+    more, classes = variants(rng, filler)
+    short, kinds = short_variants(np.random.default_rng(SEED), filler)
+    texts, labels = texts + more + short, np.array(labels + classes + kinds)
     b, part = (np.concatenate(x) for x in zip(*[ngram_buckets(word_array(t), np.full(len(t), i)) for i, t in enumerate(texts)], strict=True))
     size = np.bincount(part, minlength=len(texts))
     value = (1 / np.sqrt(size))[part].astype(np.float32)
@@ -170,7 +187,7 @@ def trained(unknown: list[str]) -> Classifier:
 
 def template_share(words: list[str], family: str) -> float:
     """The largest part of a template of the family that is a common subsequence with the words."""
-    return max(lcs_length(t, words) / len(t) for t in (LETTERS.findall(x.lower()) for x in TEMPLATES[family]))
+    return max(lcs_length(t, words) / len(t) for t in (LETTERS.findall(x.lower()) for x in (*TEMPLATES[family], *SHORT.get(family, ()))))
 
 
 def scan(texts: list[str | None], model: Classifier, ids: WordIds) -> list[list[tuple[str, int, int, float, float]]]:

@@ -1,6 +1,7 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line; one of over PASSAGE words is read in overlapping passages. Its hashed 1- to 3-word n-grams go
+A line is read as a passage, one of over PASSAGE words in overlapping passages; then the lines of a paragraph (up to a
+blank line, or a notice found in one line) are joined and read in overlapping passages too. A passage's hashed 1- to 3-word n-grams go
 through a multinomial logistic regression over licence families and "unknown". The model is trained here on variants
 made by rule from the templates below, and for "unknown" on passages of the corpus (a sample bounded by
 UNKNOWN_TEXTS texts of smallest hash and SAMPLE_CHARS characters of each) and on shuffled template words. A
@@ -84,6 +85,20 @@ def passages(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def joined_passages(text: str, found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The spans of the words of each overlapping passage of joined lines; the spans in found part paragraphs."""
+    for a, b in found:
+        text = text[:a] + re.sub(r"[^\n]", " ", text[a:b]) + text[b:]
+    out = []
+    for paragraph in re.finditer(r"\S[^\n]*(?:\n[^\S\n]*\S[^\n]*)+", text):
+        words = [m.span() for m in LETTERS.finditer(text, *paragraph.span())]
+        for i in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
+            part = words[i : i + PASSAGE]
+            if part and text.find("\n", part[0][0], part[-1][1]) >= 0:  # else it lies in one line
+                out.append(part)
+    return out
+
+
 class Classifier:
     def __init__(self, weights: np.ndarray, temperature: float):
         self.weights, self.temperature = weights, temperature
@@ -193,25 +208,27 @@ def template_share(words: list[str], family: str) -> float:
 def scan(texts: list[str | None], model: Classifier, ids: WordIds) -> list[list[tuple[str, int, int, float, float]]]:
     """(family, start, end, probability, template share) of each text's confirmed passages."""
     out: list[list] = [[] for _ in texts]
-    spans, owner, arrays = [], [], []
-    for i, t in enumerate(texts):
-        for a, b in passages(t or ""):
-            words = LETTERS.findall(t[a:b].lower())
-            if words:
-                spans.append((a, b))
-                owner.append(i)
-                arrays.append(np.fromiter(map(ids.__getitem__, words), np.uint64, len(words)))
-    for lo in range(0, len(arrays), 1024):
-        group = arrays[lo : lo + 1024]
-        part = np.repeat(np.arange(len(group)), [len(a) for a in group])
-        p = model.probabilities(*ngram_buckets(np.concatenate(group), part), len(group))
+    lines = [(i, a, b, LETTERS.findall(t[a:b].lower())) for i, t in enumerate(texts) for a, b in passages(t or "")]
+    confirm(lines, model, ids, out)
+    joined = [(i, p[0][0], p[-1][1], [t[a:b].lower() for a, b in p]) for i, t in enumerate(texts) for p in joined_passages(t or "", [n[1:3] for n in out[i]])]
+    confirm(joined, model, ids, out)
+    return [sorted(notices, key=lambda n: n[1:3]) for notices in out]
+
+
+def confirm(passages: list[tuple[int, int, int, list[str]]], model: Classifier, ids: WordIds, out: list[list]) -> None:
+    """Adds the notices of the passages (text, start, end, words) to those of their texts."""
+    passages = [p for p in passages if p[3]]
+    for lo in range(0, len(passages), 1024):
+        group = passages[lo : lo + 1024]
+        part = np.repeat(np.arange(len(group)), [len(p[3]) for p in group])
+        words = np.fromiter((ids[w] for p in group for w in p[3]), np.uint64, len(part))
+        p = model.probabilities(*ngram_buckets(words, part), len(group))
         best = p.argmax(axis=1)
         for k in np.flatnonzero((best < len(FAMILIES) - 1) & (p.max(axis=1) >= PROBABILITY)):
-            (a, b), i = spans[lo + k], owner[lo + k]
-            share = template_share(LETTERS.findall(texts[i][a:b].lower()), FAMILIES[best[k]])
+            i, a, b, own = group[k]
+            share = template_share(own, FAMILIES[best[k]])
             if share >= TEMPLATE_SHARE:
                 out[i].append((FAMILIES[best[k]], a, b, round(float(p[k].max()), 4), round(share, 4)))
-    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,39 +1,47 @@
 """Toxicity by nearest labelled examples under TF-IDF cosine.
 
-Terms are character n-grams of lower-cased words (with marks for a word's ends) and whole words. A bounded sample of
-labelled rows (EXAMPLES, the smallest hashes of doc_id) gives the terms that are significantly commoner in toxic texts
-(at most TERMS of them) and the examples. Document frequencies come from all documents. The examples lie in an
-inverted index whose postings are cut into blocks with the largest weight of each term; for a text, blocks are taken in
-falling order of their bound and scored until the bound falls below the k-th cosine, so the neighbours are exact.
-Neighbours vote with their cosine cubed against the share of toxic examples; a logistic curve fitted on leave-one-out
-votes turns the vote into a score. Each score carries its nearest examples as evidence.
+Terms are all words, hashed to VOCABULARY dimensions; none is left out. A term weighs (1 + ln count) * idf * relevance.
+Document frequencies come from all documents. The relevance of a term is 1, and more for terms whose share of toxic
+texts among the examples differs significantly from the base rate (likelihood ratio, less its bound over all terms):
+without that factor the cosine follows the language and the length of a text (figures in the README).
+
+A bounded sample of labelled rows gives the examples: the EXAMPLES rows of smallest hash of doc_id, as far as their
+distinct terms sum to ENTRIES at most. They lie in an inverted index that is cut into blocks of similar examples; a
+block holds the largest weight of each term, so a product with a text's weights bounds every cosine in it. For a batch
+of texts, each text's FIRST most promising blocks are scored, and of the others those whose bound reaches the k-th
+cosine found; so the neighbours are exact. The terms of most examples are kept as a dense forward index of the block,
+the others as postings. Neighbours vote with their cosine cubed against the share of toxic examples; a logistic curve
+fitted on leave-one-out votes turns the vote into a score. Each score carries its nearest examples as evidence.
 
 Labels, lang, source and doc_id are no inputs of a score: doc_id only decides which rows are held out and sampled.
 
 Defined cases: a null or empty text has no terms and gets the score of such texts; labels that are null are left out, and
-of several labels of a document the greatest counts; without training rows every score is 0; texts are read whole;
-repeated rows give a row each; an empty table gives an empty result; other columns play no part.
+of several labels of a document the greatest counts, of several texts of an id too; ids may be null, repeated and of
+any type that labels can be cast to; without training rows every score is 0; texts are read whole; equal cosines go by
+the order of the sample; repeated rows give a row each; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.llm.common import low_hash, saved, small_batches
-from scriptorium.llm.words import MEMO, WORD
-
-#: Bounds of the fit: labelled rows, terms.
-EXAMPLES, TERMS = 4096, 2048
-GRAMS = (3, 4, 5)
-NEIGHBOURS, BLOCK, SHRINK = 15, 64, 0.5
+from scriptorium.llm.words import batch_word_hashes
+
+#: Bounds of the fit: labelled rows, and their distinct terms in sum.
+EXAMPLES, ENTRIES = 4096, 1 << 22
+BITS = 20
+VOCABULARY = 1 << BITS
+#: Examples in a block, terms of the dense forward index, blocks scored before any bound is used, texts scored at once.
+BLOCK, DENSE, FIRST, TEXTS = 64, 512, 4, 256
+NEIGHBOURS, SHRINK, RELEVANCE = 15, 0.05, 3.0
 FOLDS = 5
 
 
@@ -41,112 +49,124 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def grams(word: str) -> set[str]:
-    marked = f"^{word}$"
-    return {marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))}
-
-
-class TermsOfWord(dict):
-    """The terms of a word by index, remembered for a bounded number of words."""
-
-    def __init__(self, terms: list[str]):
-        super().__init__()
-        self.at = {t: i for i, t in enumerate(terms)}
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(sorted(self.at[g] for g in grams(word) if g in self.at))
-        if len(self) < MEMO:
-            self[word] = found
-        return found
-
-
-def term_counts(text: str, terms: TermsOfWord) -> Counter:
-    return Counter(i for found in map(terms.__getitem__, WORD.findall(text.lower())) if found for i in found)
+def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count), by text, then term."""
+    hashes, words = batch_word_hashes(texts, apart=True)
+    keys = np.repeat(np.arange(len(texts)), words) << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    keys, n = np.unique(keys, return_counts=True)
+    return keys >> BITS, keys & (VOCABULARY - 1), n
 
 
-def choose_terms(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Terms whose share of toxic texts is significantly above the base rate (Chernoff bound, over all terms seen)."""
-    word_at: dict[str, int] = {}
-    of_word: list[np.ndarray] = []
-    gram_at: dict[str, int] = {}
-    seen: list[np.ndarray] = []
-    for t in texts:
-        own = []
-        for w in set(WORD.findall(t.lower())):
-            if w not in word_at:
-                word_at[w] = len(of_word)
-                of_word.append(np.array([gram_at.setdefault(g, len(gram_at)) for g in sorted(grams(w))], np.int32))
-            own.append(of_word[word_at[w]])
-        seen.append(np.unique(np.concatenate(own)) if own else np.empty(0, np.int32))
-    if not gram_at or not 0 < toxic.sum() < len(toxic):
-        return []
-    a, b = np.zeros(len(gram_at)), np.zeros(len(gram_at))
-    for s, y in zip(seen, toxic, strict=True):
-        (a if y else b)[s] += 1
-    n, base = a + b, toxic.mean()
-    share = a / n
+def relevance(row: np.ndarray, term: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """A factor for each term, from the examples that hold it."""
+    n = np.bincount(term, minlength=VOCABULARY).astype(float)
+    a = np.bincount(term, toxic[row], minlength=VOCABULARY)
+    base = toxic.mean() if len(toxic) else 0.0
+    if not 0 < base < 1:
+        return np.ones(VOCABULARY)
+    share = np.divide(a, n, out=np.full(VOCABULARY, base), where=n > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        divergence = np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
-    surprise = np.where((share > base) & (a >= 3), n * divergence, 0)
-    names = list(gram_at)
-    wanted = [i for i in np.flatnonzero(surprise > math.log(2 * len(n))) if share[i] > 0.5]
-    return [names[i] for i in sorted(wanted, key=lambda i: (-surprise[i], names[i]))[:TERMS]]
+        ratio = n * (np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
+    return 1 + RELEVANCE * np.sqrt(np.maximum(0, ratio - math.log(max(2, (n > 0).sum()))))
 
 
 class Index:
-    """Unit TF-IDF vectors of the examples as an inverted index with block maxima."""
+    """Unit vectors of the examples in blocks, with the largest weight of each term in a block."""
 
-    def __init__(self, vectors: list[dict[int, int]], toxic: list[int], idf: np.ndarray):
-        self.idf, self.toxic = idf, np.array(toxic, float)
-        self.base = float(self.toxic.mean()) if len(toxic) else 0.0
+    def __init__(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, toxic: np.ndarray, df: np.ndarray, n: int):
+        self.toxic, self.n, self.block = toxic.astype(float), len(toxic), BLOCK
+        self.base = float(self.toxic.mean()) if self.n else 0.0
         self.a, self.b = 1.0, 0.0
-        # only examples with terms can be neighbours
-        self.rows = [i for i, v in enumerate(vectors) if v]
-        self.blocks = max(1, -(-len(self.rows) // BLOCK))
-        entries = sorted((f, r, w) for r, i in enumerate(self.rows) for f, w in zip(*self.unit(vectors[i]), strict=True))
-        term, row, weight = (np.array(x) for x in zip(*entries, strict=True)) if entries else (np.empty(0, int),) * 3
-        self.row, self.weight = row, weight
-        edges = np.arange(len(idf))[:, None] * (self.blocks * BLOCK) + np.arange(self.blocks + 1) * BLOCK
-        self.start = np.searchsorted(term * (self.blocks * BLOCK) + row, edges)
-        self.top = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.top, (term, row // BLOCK), weight)
-
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(sorted(counts), int)
-        w = np.array([1 + math.log(counts[i]) for i in at]) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def nearest(self, counts: dict[int, int], without: int = -1, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The k largest cosines over 0 and their examples; equal ones go by the examples' order."""
-        if not counts or not self.rows:
-            return []
-        at, q = self.unit(counts)
-        bounds = q @ self.top[at]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            lo, n = self.start[at, b], self.start[at, b + 1] - self.start[at, b]
-            if not n.sum():
-                continue
-            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            cosines = np.round(np.bincount(self.row[entry] - b * BLOCK, self.weight[entry] * np.repeat(q, n)), 9)
-            best += [(float(c), self.rows[b * BLOCK + r]) for r, c in enumerate(cosines) if c > 0 and self.rows[b * BLOCK + r] != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        weights = [c**3 for c, _ in near]
-        return (sum(w * self.toxic[i] for w, (_, i) in zip(weights, near, strict=True)) + SHRINK * self.base) / (sum(weights) + SHRINK)
-
-    def score(self, vote: float) -> float:
-        vote = min(max(vote, 1e-4), 1 - 1e-4)
-        z = self.a * math.log(vote / (1 - vote)) + self.b
-        return round(1 / (1 + math.exp(-z)), 6)
-
-    def calibrate(self, vectors: list[dict[int, int]]) -> None:
+        self.weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(row, term, self.toxic)
+        value = self.unit(row, term, count, self.n)
+        examples = np.bincount(term, minlength=VOCABULARY)
+        common = np.sort(np.argsort(-examples, kind="stable")[:DENSE])
+        self.place = np.full(VOCABULARY, -1, np.int32)
+        self.place[common] = np.arange(DENSE)
+        dense = self.place[term] >= 0
+        forward = np.zeros((self.n, DENSE))
+        forward[row[dense], self.place[term[dense]]] = value[dense]
+        # similar examples side by side: by label, then by their heaviest common term
+        heaviest = forward.argmax(axis=1) if self.n else np.empty(0, int)
+        self.order = np.lexsort((np.arange(self.n), heaviest, -self.toxic))
+        self.blocks = -(-self.n // self.block)
+        self.forward = forward[self.order]
+        self.dense_top = np.array([self.forward[b * self.block : (b + 1) * self.block].max(axis=0) for b in range(self.blocks)]).reshape(-1, DENSE).T
+        rank = np.empty(self.n, np.int64)
+        rank[self.order] = np.arange(self.n)
+        by_term = np.lexsort((rank[row[~dense]], term[~dense]))
+        rare, self.posting, self.value = term[~dense][by_term], rank[row[~dense]][by_term], value[~dense][by_term]
+        self.terms, self.start = np.unique(rare, return_index=True)
+        self.start = np.append(self.start, len(rare))
+
+    def unit(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        w = (1 + np.log(count)) * self.weight[term]
+        return w / np.sqrt(np.bincount(row, w * w, minlength=n))[row]
+
+    def nearest(self, row, term, count, n: int, without=None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(text, example, cosine) of the k largest cosines over 0 of each of n texts, in falling order, and the blocks scored.
+
+        without[i] is an example that is no neighbour of text i.
+        """
+        q = self.unit(row, term, count, n)
+        dense = np.zeros((n, DENSE))
+        at = self.place[term]
+        dense[row[at >= 0], at[at >= 0]] = q[at >= 0]
+        # postings of the other terms
+        found = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
+        hit = np.flatnonzero((self.terms[found] == term) & (at < 0)) if len(self.terms) else np.empty(0, int)
+        lo = self.start[found[hit]]
+        length = self.start[found[hit] + 1] - lo if len(hit) else lo
+        entry = np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())
+        text, example, part = np.repeat(row[hit], length), self.posting[entry], self.value[entry] * np.repeat(q[hit], length)
+        owner = np.repeat(np.arange(len(hit)), length) * self.blocks + example // self.block
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, int)
+        top = np.maximum.reduceat(part, first) if len(first) else part
+        bounds = dense @ self.dense_top + np.bincount(text[first] * self.blocks + example[first] // self.block, top, minlength=n * self.blocks).reshape(n, self.blocks)
+        cosines = np.bincount(text * self.n + example, part, minlength=n * self.n).astype(float).reshape(n, self.n)  # of no entries: whole numbers
+        done = np.zeros((n, self.blocks), bool)
+        done[np.arange(n)[:, None], np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]] = True
+        wanted, kth = done, np.zeros(n)
+        for _ in range(2):
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                own = slice(b * self.block, (b + 1) * self.block)
+                texts = np.flatnonzero(wanted[:, b])
+                cosines[texts, own] += dense[texts] @ self.forward[own].T
+            seen = np.where(np.repeat(done, self.block, axis=1)[:, : self.n], cosines, 0)
+            if without is not None:
+                place = np.empty(self.n, np.int64)
+                place[self.order] = np.arange(self.n)
+                seen[np.arange(n), place[without]] = 0
+            if self.n > k:
+                kth = np.partition(seen, self.n - k, axis=1)[:, self.n - k]
+            wanted = ~done & (bounds >= kth[:, None] - 1e-9) & (bounds > 0)
+            done = done | wanted
+        seen = np.round(seen, 9)
+        text, at = np.nonzero((seen > 0) & (seen >= np.round(kth, 9)[:, None]))
+        cosine, example = seen[text, at], self.order[at]
+        by = np.lexsort((example, -cosine, text))
+        text, cosine, example = text[by], cosine[by], example[by]
+        begin = np.searchsorted(text, np.arange(n))
+        keep = np.arange(len(text)) - begin[text] < k
+        return text[keep], example[keep], cosine[keep], int(done.sum())
+
+    def votes(self, text, example, cosine, n: int) -> np.ndarray:
+        w = cosine**3
+        return (np.bincount(text, w * self.toxic[example], minlength=n) + SHRINK * self.base) / (np.bincount(text, w, minlength=n) + SHRINK)
+
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        v = np.clip(votes, 1e-4, 1 - 1e-4)
+        return np.round(1 / (1 + np.exp(-(self.a * np.log(v / (1 - v)) + self.b))), 6)
+
+    def calibrate(self, row, term, count) -> None:
         """Newton steps for a logistic curve over leave-one-out votes, with a weak pull to the identity."""
-        v = np.clip([self.vote(self.nearest(x, i)) for i, x in enumerate(vectors)], 1e-4, 1 - 1e-4)
+        v = []
+        edges = np.searchsorted(row, np.arange(0, self.n + TEXTS, TEXTS))
+        for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            own = np.arange(i * TEXTS, min(self.n, (i + 1) * TEXTS))
+            near = self.nearest(row[lo:hi] - i * TEXTS, term[lo:hi], count[lo:hi], len(own), own)
+            v.append(self.votes(*near[:3], len(own)))
+        v = np.clip(np.concatenate(v), 1e-4, 1 - 1e-4)
         x, y = np.c_[np.log(v / (1 - v)), np.ones(len(v))], self.toxic
         beta = np.array([1.0, 0.0])
         for _ in range(30):
@@ -157,62 +177,104 @@ class Index:
             self.a, self.b = map(float, beta)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[str], list[dict[int, int]], list[int], list]:
-    """Terms, and of the sampled examples: term counts, labels, ids. Fitted by one task on at most EXAMPLES rows."""
-    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """Documents that hold each term, and their number; over all rows."""
+
+    def tasks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(VOCABULARY, np.int64), 0
+        for b in it:
+            n += b.num_rows
+            for texts in groups(b.column(0).to_pylist()):
+                df += np.bincount(term_counts(texts)[1], minlength=VOCABULARY)
+        used = np.flatnonzero(df)
+        term, count = np.append(used, VOCABULARY), np.append(df[used], n)
+        for i in range(0, len(term), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(term[i : i + (1 << 16)], pa.int32()), pa.array(count[i : i + (1 << 16)], pa.int64())], names=["term", "n"])
+
+    sums = docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(tasks, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = sums.toArrow()  # VOCABULARY + 1 rows at most
+    df = np.zeros(VOCABULARY + 1, np.int64)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return df[:-1], int(df[-1])
+
+
+def groups(texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[str | None]]:
+    """The texts in order, at most TEXTS and, but for a longer one, `chars` characters at once."""
+    part, size = [], 0
+    for t in texts:
+        if part and (len(part) == TEXTS or size + len(t or "") > chars):
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(example, term, count), and of the examples: labels, ids. At most EXAMPLES rows and ENTRIES terms reach the driver."""
+    kind = docs.schema[id_col].dataType
+    # the fold goes by the label's own id as text
+    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").try_cast(kind).alias("doc_id"), "toxic")
+    chosen = chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     present = docs.select(F.col(id_col).alias("doc_id")).join(chosen, "doc_id", "left_semi").distinct().join(chosen, "doc_id")
     present = saved(present.withColumn("h", F.xxhash64("doc_id")), "labelled")
-    sample = present.filter(low_hash(F.col("h"), EXAMPLES, present.count())).orderBy("h", "doc_id").limit(EXAMPLES).drop("h")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    sample = present.filter(low_hash(F.col("h"), EXAMPLES, present.count())).orderBy("h", "doc_id").limit(EXAMPLES)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("h", "doc_id", "toxic").agg(F.max("text").alias("text"))
+    name = kind.simpleString()
 
-    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((x for b in it for x in zip(*[c.to_pylist() for c in b.columns], strict=True)), key=lambda r: r[0])
-        terms = choose_terms([r[3] for r in rows], np.array([r[2] for r in rows]))
-        lookup = TermsOfWord(terms)
-        model = {"terms": terms, "vectors": [[list(x) for x in sorted(term_counts(r[3], lookup).items())] for r in rows], "toxic": [r[2] for r in rows], "ids": [r[1] for r in rows]}
-        yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], names=["model"])
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            found = [term_counts([t]) for t in b.column(3).to_pylist()]
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(t) for _, t, _ in found], pa.int64()), pa.array([t for _, t, _ in found], ints), pa.array([n for _, _, n in found], ints)], names=["h", "doc_id", "toxic", "size", "terms", "counts"])
 
-    row = texts.select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic", "text").repartition(1).mapInArrow(fit, "model string").first()
-    m = json.loads(row[0]) if row else {"terms": [], "vectors": [], "toxic": [], "ids": []}
-    return m["terms"], [{f: c for f, c in v} for v in m["vectors"]], m["toxic"], m["ids"]
+    made = saved(texts.mapInArrow(vectors, f"h long, doc_id {name}, toxic int, size long, terms array<int>, counts array<int>"), "examples")
+    sizes = sorted((r.h, r.size) for r in made.select("h", "size").collect())  # EXAMPLES rows at most
+    fits = int(np.searchsorted(np.cumsum([s for _, s in sizes]), ENTRIES, side="right"))
+    rows = sorted(made.filter(F.col("h") <= sizes[fits - 1][0]).drop("size").collect(), key=lambda r: (r.h, str(r.doc_id))) if fits else []
+    if not rows:
+        return (np.empty(0, np.int64),) * 4 + ([],)
+    row = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows])
+    return row, np.concatenate([np.array(r.terms, np.int64) for r in rows]), np.concatenate([np.array(r.counts, np.int64) for r in rows]), np.array([r.toxic for r in rows]), [r.doc_id for r in rows]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(keep ..., score, predicted, evidence) for each row of docs; keep names columns of docs (by default its id)."""
     small_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
-    terms, vectors, toxic, ids = fitted(docs, labels, id_col, text_col)
+    row, term, count, toxic, ids = examples(docs, labels, id_col, text_col)
+    index = None
+    if len(ids):
+        index = Index(row, term, count, toxic, *frequencies(docs, text_col))
+        index.calibrate(row, term, count)
+    shared = docs.sparkSession.sparkContext.broadcast((index, ids))  # EXAMPLES, ENTRIES, DENSE and VOCABULARY bound it
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     width, schema = len(keep), kept.select(keep).schema
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = TermsOfWord(terms)
-        for b in it:
-            found = [sorted(term_counts(t or "", lookup).items()) for t in b.column(width).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array([[f for f, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int32()))], names=[*b.schema.names[:width], "__terms", "__counts"])
-
-    ddl = lambda s: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.fields)
-    counted = saved(kept.mapInArrow(count, f"{ddl(schema)}, __terms array<int>, __counts array<int>"), "toxic-terms")
-    n = counted.count()
-    idf = np.full(len(terms), math.log(1 + n) + 1)
-    for f, df in counted.select(F.explode("__terms").alias("f")).groupBy("f").count().collect():  # at most TERMS rows
-        idf[f] = math.log((1 + n) / (1 + df)) + 1
-    index = Index(vectors, toxic, idf)
-    if toxic:
-        index.calibrate(vectors)
+    id_type = docs.schema[id_col].dataType
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-        nothing = index.score(index.vote([])) if toxic else 0.0
+        index, ids = shared.value
+        shape = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for b in it:
             scores, evidence = [], []
-            for f, c in zip(b.column(width).to_pylist(), b.column(width + 1).to_pylist(), strict=True):
-                near = index.nearest(dict(zip(f, c, strict=True))) if f else []
-                scores.append(index.score(index.vote(near)) if near else nothing)
-                evidence.append([{"doc_id": ids[i], "similarity": s, "toxic": int(toxic[i])} for s, i in near[:3]])
+            for texts in groups(b.column(width).to_pylist()):
+                n = len(texts)
+                if index is None:
+                    scores += [0.0] * n
+                    evidence += [[]] * n
+                    continue
+                text, example, cosine, _ = index.nearest(*term_counts(texts), n)
+                scores += index.scores(index.votes(text, example, cosine, n)).tolist()
+                near = [[] for _ in range(n)]
+                for t, e, c in zip(text.tolist(), example.tolist(), cosine.tolist(), strict=True):
+                    if len(near[t]) < 3:
+                        near[t].append({"doc_id": ids[e], "similarity": c, "toxic": int(index.toxic[e])})
+                evidence += near
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, shape)], names=[*b.schema.names[:width], "score", "predicted", "evidence"])
 
-    return counted.mapInArrow(score, f"{ddl(schema)}, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return kept.mapInArrow(score, f"{ddl}, score double, predicted int, evidence array<struct<doc_id:{id_type.simpleString()},similarity:double,toxic:int>>")
 
 
 def op10_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ MEMO = 1 << 18
 #: ASCII punctuation, which is no part of a word here; ASCII white space, which separates words.
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 BLANK = b" \t\n\r\x0b\x0c"
+AS_BLANK = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
+MARKS = re.compile("[\u00a0\u00a1\u00ab\u00b7\u00bb\u00bf\u2000-\u206f\u3000-\u303f]")
 IS_BLANK = np.isin(np.arange(256), list(BLANK))
 #: Bytes hashed at once. A word's hash is sum(VALUE[byte] * P**place) modulo 2**64, from differences of running sums.
 PIECE = 1 << 17
@@ -64,10 +66,17 @@ def _pieces(texts: Iterable[bytes]) -> Iterator[tuple[bytes, list[int], list[int
         yield b"\n".join(joined), at, begins
 
 
-def batch_word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text): what white space separates, in lower case, without ASCII punctuation."""
+def batch_word_hashes(texts: list[str | None], apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text): what white space separates, in lower case, without ASCII punctuation.
+
+    With `apart`, punctuation separates words too, also the common marks beyond ASCII.
+    """
     hashes, counts = [], np.zeros(len(texts), int)
-    for data, at, begins in _pieces((t or "").lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION) for t in texts):
+    if apart:
+        encoded = ((t if t.isascii() else MARKS.sub(" ", t)).lower().encode("utf-8", "surrogatepass").translate(AS_BLANK) for t in (t or "" for t in texts))
+    else:
+        encoded = ((t or "").lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION) for t in texts)
+    for data, at, begins in _pieces(encoded):
         a = np.frombuffer(data, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], IS_BLANK[a], [True]]).view(np.int8)))
         starts, ends = edge[::2], edge[1::2]

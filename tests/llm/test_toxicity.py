@@ -1,5 +1,11 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import sentence
 from scriptorium.llm import toxicity
@@ -46,22 +52,78 @@ def test_null_empty_long_and_unlabelled(spark, corpus, documents):
     assert toxicity.op10_toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_index_equals_brute_force_cosines():
-    rng = np.random.default_rng(0)
-    vectors = [{int(f): int(rng.integers(1, 5)) for f in rng.choice(40, rng.integers(0, 9), replace=False)} for _ in range(300)]
-    idf = rng.uniform(0.5, 3, 40)
-    index = toxicity.Index(vectors, [int(x) for x in rng.integers(0, 2, 300)], idf)
-    dense = np.zeros((300, 40))
-    for i, v in enumerate(vectors):
-        if v:
-            at, w = index.unit(v)
-            dense[i, at] = w
-    for i in range(60):
-        got = index.nearest(vectors[i], without=i)
-        s = np.round(dense @ dense[i], 9)
-        s[i] = 0
-        want = [(s[j], j) for j in np.lexsort((np.arange(300), -s)) if s[j] > 0][: toxicity.NEIGHBOURS]
-        assert [j for _, j in got] == [j for _, j in want]
+def plain_scores(texts, train, truth):
+    """Scores and evidence from dictionaries, all pairs: nothing of the index is used but its curve's parameters."""
+    split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    bags = [Counter(split(t)) for t in texts]
+    df = Counter(w for b in bags for w in b)
+    seen, bad = Counter(w for i in train for w in bags[i]), Counter(w for i in train if truth[i] for w in bags[i])
+    base = sum(truth[i] for i in train) / len(train)
+    weight = {}
+    for w in df:
+        a, n = bad[w], seen[w]
+        ratio = (a * math.log(a / n / base) if a else 0) + ((n - a) * math.log((1 - a / n) / (1 - base)) if n - a else 0) if n else 0
+        weight[w] = (math.log((1 + len(texts)) / (1 + df[w])) + 1) * (1 + toxicity.RELEVANCE * math.sqrt(max(0, ratio - math.log(len(seen)))))
+    vectors = []
+    for b in bags:
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in b.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / norm for w, x in v.items()})
+
+    def vote(i, skip=None):
+        near = sorted(((-round(sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), 9), j) for j in train if j != skip))[: toxicity.NEIGHBOURS]
+        near = [(-c, j) for c, j in near if c < 0]
+        total = sum(c**3 for c, _ in near)
+        return (sum(c**3 * truth[j] for c, j in near) + toxicity.SHRINK * base) / (total + toxicity.SHRINK), near
+
+    return vote
+
+
+def test_votes_and_neighbours_equal_brute_force(spark, corpus, monkeypatch):
+    docs, labels, truth = corpus
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    rows = sorted(docs.select("doc_id", "text").collect())
+    texts = [r.text for r in rows]
+    row, term, count, toxic, ids = toxicity.examples(docs, labels, "doc_id", "text")
+    assert sorted(ids) == [i for i in range(700) if zlib.crc32(str(i).encode()) % 5] and [truth[i] for i in ids] == toxic.tolist()
+    index = toxicity.Index(row, term, count, toxic, *toxicity.frequencies(docs, "text"))
+    vote = plain_scores(texts, ids, truth)
+    held = [i for i in range(700) if i not in set(ids)]
+    text, example, cosine, scored = index.nearest(*toxicity.term_counts([texts[i] for i in held]), len(held))
+    assert scored < 0.9 * len(held) * index.blocks
+    votes = index.votes(text, example, cosine, len(held))
+    for k, i in enumerate(held):
+        want, near = vote(i)
+        assert votes[k] == pytest.approx(want, abs=1e-6)
+        assert cosine[text == k].tolist() == pytest.approx([c for c, _ in near], abs=2e-9)
+    out = {r.doc_id: r for r in toxicity.op10_toxicity(docs, labels).collect()}
+    index.calibrate(row, term, count)
+    curve = lambda v: 1 / (1 + math.exp(-(index.a * math.log(v / (1 - v)) + index.b)))
+    for i in held:
+        want = curve(min(max(vote(i)[0], 1e-4), 1 - 1e-4))
+        assert out[i].score == pytest.approx(want, abs=1e-5) and out[i].predicted == int(out[i].score >= 0.5)
+    own = np.array([0, 5, 9])
+    pick = np.isin(row, own)
+    near = index.nearest(np.searchsorted(own, row[pick]), term[pick], count[pick], 3, own)
+    for k, i in enumerate(own):
+        assert near[2][near[0] == k].tolist() == pytest.approx([c for c, _ in vote(ids[i], ids[i])[1]], abs=2e-9)
+
+
+def test_ids_of_any_type(spark, corpus):
+    docs, labels, _ = corpus
+    text_ids = docs.withColumn("doc_id", F.concat(F.lit("0"), F.col("doc_id").cast("string")))
+    own = labels.withColumn("doc_id", F.concat(F.lit("0"), F.col("doc_id").cast("string")))
+    rows = toxicity.op10_toxicity(text_ids, own).collect()
+    assert len(rows) == 700 and any(r.evidence and isinstance(r.evidence[0].doc_id, str) for r in rows)
+
+
+def test_every_label_keeps_a_vector_and_entries_bound_the_fit(spark, corpus, monkeypatch):
+    docs, labels, _ = corpus
+    row, _, _, toxic, ids = toxicity.examples(docs, labels, "doc_id", "text")
+    assert np.array_equal(np.unique(row), np.arange(len(ids)))
+    monkeypatch.setattr(toxicity, "ENTRIES", 5000)
+    few = toxicity.examples(docs, labels, "doc_id", "text")
+    assert 0 < len(few[1]) <= 5000 and few[4] == ids[: len(few[4])]
 
 
 def test_small_table(spark, data):

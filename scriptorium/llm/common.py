@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, SparkSession
 
-from scriptorium.storage import saved, scratch_path, shared_dir, table
+from scriptorium.storage import discard, exists, saved, scratch_path, shared_dir, table
 
 #: Rows in an Arrow batch sent to Python; texts can be long, so fewer than Spark's 10,000.
 ARROW_ROWS = 1000
@@ -26,4 +26,4 @@ def low_hash(h: Column, wanted: int, total: int) -> Column:
     return h <= (2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63)
 
 
-__all__ = ["ARROW_ROWS", "low_hash", "saved", "scratch_path", "shared_dir", "small_batches", "table"]
+__all__ = ["ARROW_ROWS", "discard", "exists", "low_hash", "saved", "scratch_path", "shared_dir", "small_batches", "table"]

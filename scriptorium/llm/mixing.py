@@ -3,18 +3,20 @@
 Targets: sources share the words of all documents by weight; a target stops at MAX_REPEATS times the source's size and
 the excess goes to the others by weight (one pass over the sources sorted by size / weight gives the fixed point).
 
-Stream: a source's documents, in the order of a hash of their id, form a stream of words. It is cut into equal blocks
+Stream: a source's documents, in the order of a hash of id and text, form a stream of words. It is cut into equal blocks
 (of about BLOCK words; sources of up to BLOCK * LEAST_BLOCKS words get LEAST_BLOCKS smaller ones).
 
 Schedule: slot n takes the point frac(n * golden ratio), in 32-bit whole numbers; cumulative weights (in blocks) map
 it to a source, and the k-th slot of a source takes block k modulo its number of blocks, up to MAX_REPEATS rounds.
 
 Ranks within a source and offsets within a stream are prefix sums in two levels (groups, then rows of a group), so a
-source with a third of all rows is dealt over many tasks. Only the table of sources meets in one place.
+source with a third of all rows is dealt over many tasks. Equal rows are one row with a count there (COPIES at most),
+so a row that is repeated any number of times is no group of its own. Only the table of sources meets in one place.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
-taken 0 times; repeated rows lie in the stream one after the other; equal hashes go by size; an empty table gives an
-empty result; other columns play no part.
+taken 0 times; null and repeated ids are told apart by their texts; rows equal in id, source and text lie in the stream
+one after the other, and which of them gets which count is open; an empty table gives an empty result; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ MAX_REPEATS = 3
 BLOCK, LEAST_BLOCKS = 128, 64
 #: Rows in a group of the two-level prefix sums.
 GROUP_ROWS = 2048
+#: Equal rows that are one row of the stream.
+COPIES = 1 << 16
 SLOT_GROUP = 65536
 #: floor(2**32 / golden ratio), odd: the Weyl step of the golden-ratio sequence.
 GOLDEN = 2654435769
@@ -103,20 +107,23 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, slots): documents with place, size, start in their source's stream, source_size and target; the schedule."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit("mix"), "doc_id", "text").alias("hash"))
     sized = saved(sized, "mix-sizes")
-    n = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    sources = saved(targets(n.drop("n_docs")), "mix-sources")
+    n = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = saved(targets(n), "mix-sources")
     total = sources.agg(F.max("slots").alias("slots"), F.sum("source_size")).first()
     n_slots = max(1, round(total["slots"] or 0))
     groups = max(1, sized.count() // GROUP_ROWS)
-    hashed = F.xxhash64(F.col("doc_id"), F.lit("mix"))
+    rows = sized.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    rows = rows.withColumn("n", F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("part") * COPIES)).withColumn("total", F.col("n") * F.col("size"))
     # the sources are as many as their distinct values: Spark broadcasts them only below its size limit
-    placed = sized.withColumn("hash", hashed).join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     # consecutive ranges of the hash, so that the order does not depend on their number
     placed = placed.withColumn("group", F.floor((F.shiftright("hash", 32) + (1 << 31)) * groups / float(1 << 32)))
-    streamed = running(placed, ["place"], "group", ["hash", "size"], "size", "start")
-    return streamed.drop("group"), schedule(sources, n_slots)
+    streamed = running(placed, ["place"], "group", ["hash", "size", "doc_id", "part"], "total", "start")
+    streamed = streamed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
+    return streamed.drop("group", "n", "part", "total", "copy"), schedule(sources, n_slots)
 
 
 def block_pieces(streamed: DataFrame) -> DataFrame:

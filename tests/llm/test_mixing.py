@@ -1,4 +1,7 @@
+import bisect
+import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +87,49 @@ def test_empty_repeated_and_null(documents):
     rows, _ = run(documents([(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "d e")]))
     assert sorted((str(r.doc_id), r["size"]) for r in rows) == [("1", 0), ("2", 0), ("3", 3), ("3", 3), ("None", 2)]
     assert all(r.taken <= 3 * r["size"] for r in rows) and mixing.op9_mix(documents([(1, None)])).first().taken == 0
+
+
+def plain_taken(rows, weights=mixing.WEIGHTS):
+    """Counter of (id, source, text, taken) by loops over words, blocks and slots; rows are (id, source, text, hash)."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, source, text, _ in rows:
+        sizes[source] = sizes.get(source, 0) + words(text)
+    target = filled(sizes)
+    places = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    blocks = {s: max(math.ceil(n / mixing.BLOCK), min(n, mixing.LEAST_BLOCKS)) for s, n in sizes.items()}
+    share = {s: target[s] * blocks[s] / sizes[s] if sizes[s] else 0.0 for s in places}
+    total = sum(share.values())
+    n_slots, edge, interval = max(1, round(total)), 0.0, {}
+    for s in places:
+        interval[s] = (edge / total * n_slots, (edge + share[s]) / total * n_slots)
+        edge += share[s]
+    times = {s: Counter() for s in places}
+    for slot in range(n_slots):
+        x = slot * mixing.GOLDEN % 2**32 / 2**32 * n_slots
+        s = next(s for s in places if interval[s][0] <= x < interval[s][1])
+        k = sum(times[s].values())
+        if k < mixing.MAX_REPEATS * blocks[s]:
+            times[s][k % blocks[s]] += 1
+    out = Counter()
+    for s in places:
+        edges, at = [math.floor(b * (sizes[s] / blocks[s])) for b in range(blocks[s])], 0  # where blocks begin
+        for i, source, text, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], words(r[2]))):
+            taken = sum(times[s][bisect.bisect_right(edges, w) - 1] for w in range(at, at + words(text)))
+            out[(i, source, text, taken)] += 1
+            at += words(text)
+    return out
+
+
+def test_taken_equals_plain_loops_with_null_and_repeated_ids(spark, documents, rng):
+    texts = [(None if i % 4 == 0 else i % 90, sentence(rng, rng.choice([0, 1, 7, 40, 160]))) for i in range(260)]
+    texts += [texts[0]] * 40 + [(5, None), (5, ""), (None, None)]
+    # the source goes by the id, so that equal rows stay equal
+    docs = documents(texts, lambda i: None if i is None else "abcd"[min(i % 7, 3)])
+    rows = [(r.doc_id, r.source, r.text, r.h) for r in docs.select("doc_id", "source", "text", F.xxhash64(F.lit("mix"), "doc_id", "text").alias("h")).collect()]
+    want, got = Counter(), Counter()
+    for (i, _, text, taken), n in plain_taken(rows).items():
+        want[(i, len((text or "").split()), taken)] += n
+    for r in mixing.op9_mix(docs).collect():
+        got[(r.doc_id, r["size"], r.taken)] += 1
+    assert got == want

@@ -10,9 +10,9 @@ SCHEMA = "vec_id long, embedding array<float>, score long"
 def plain(rows, k=10):
     good = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in good:
+    for own, (q, v) in enumerate(good):
         if q % 100 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q))[:k]
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for n, (i, w) in enumerate(good) if n != own))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -34,7 +34,7 @@ def test_equals_brute_force(spark):
 def test_small_and_empty(spark):
     assert got(spark, []) == []
     assert got(spark, [(100, [1.0, 2.0])]) == []
-    assert got(spark, [(100, [1.0, 2.0]), (3, [1.0]), (3, [1.0])]) == [(100, 1, 3, 1024 * 1024)]
+    assert got(spark, [(100, [1.0, 2.0]), (3, [1.0]), (3, [1.0])]) == [(100, 1, 3, 1024 * 1024), (100, 2, 3, 1024 * 1024)]
 
 
 def test_tiles_and_pruning():
@@ -42,11 +42,31 @@ def test_tiles_and_pruning():
     centres = rng.normal(size=(20, 8)) * 100
     v = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(2000, 8)))
     q = np.floor(centres + rng.normal(size=(20, 8)))
-    found, scored = topk.tile_topk(np.arange(-20, 0), q, np.arange(2000), v, 5, block=100)
-    assert scored < 20 * 20 / 2  # most blocks are ruled out
-    for i in range(20):
-        s = v @ q[i]
-        assert [f[1] for f in found[5 * i : 5 * i + 5]] == np.lexsort((np.arange(2000), -s))[:5].tolist()
+    query, row, _, share = topk.tile_topk(q, v, 5, block=100)
+    assert share < 0.5  # most blocks are ruled out
+    floors = [int(np.sort(v[:100] @ x)[-5]) for x in q]
+    assert topk.tile_topk(q, v, 5, floors, block=100)[3] <= share
+    for found in ((query, row), topk.tile_topk(q, v, 5, floors, block=100)[:2]):
+        for i in range(20):
+            s = v @ q[i]
+            assert found[1][found[0] == i].tolist() == np.lexsort((np.arange(2000), -s))[:5].tolist()
+
+
+def test_repeated_ids_queries_and_shards(spark, monkeypatch):
+    """Rows that share an id are candidates and queries of their own; several shards and chunks give the same."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(-3, 4, 4).astype(float).tolist()) for i in rng.integers(0, 12, 400) * 50]
+    rows += [(100, [2.0, 1.0, 0.0, 0.0])] * 30
+    assert got(spark, rows) == plain(rows)
+    monkeypatch.setattr(topk, "SHARD", 60)
+    monkeypatch.setattr(topk, "CHUNK", 40)
+    assert got(spark, rows) == plain(rows)
+
+
+def test_text_ids_and_foreign_queries(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 5.0]), ("c", None)], "vec_id string, embedding array<float>")
+    asked = spark.createDataFrame([("b", [1.0, 0.0])], rows.schema)
+    assert [tuple(r) for r in topk.inner_product_topk(rows, asked, 3).orderBy("rank").collect()] == [("b", 1, "a", 2**20), ("b", 2, "b", 2**20)]
 
 
 def test_large_components_stay_exact(spark):

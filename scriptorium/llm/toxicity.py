@@ -91,6 +91,7 @@ class Index:
         self.order = np.lexsort((np.arange(self.n), heaviest, -self.toxic))
         self.blocks = -(-self.n // self.block)
         self.forward = forward[self.order]
+        del forward
         self.dense_top = np.array([self.forward[b * self.block : (b + 1) * self.block].max(axis=0) for b in range(self.blocks)]).reshape(-1, DENSE).T
         rank = np.empty(self.n, np.int64)
         rank[self.order] = np.arange(self.n)
@@ -232,11 +233,15 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     made = saved(texts.mapInArrow(vectors, f"h long, doc_id {name}, toxic int, size long, terms array<int>, counts array<int>"), "examples")
     sizes = sorted((r.h, r.size) for r in made.select("h", "size").collect())  # EXAMPLES rows at most
     fits = int(np.searchsorted(np.cumsum([s for _, s in sizes]), ENTRIES, side="right"))
-    rows = sorted(made.filter(F.col("h") <= sizes[fits - 1][0]).drop("size").collect(), key=lambda r: (r.h, str(r.doc_id))) if fits else []
-    if not rows:
+    if not fits:
         return (np.empty(0, np.int64),) * 4 + ([],)
-    row = np.repeat(np.arange(len(rows)), [len(r.terms) for r in rows])
-    return row, np.concatenate([np.array(r.terms, np.int64) for r in rows]), np.concatenate([np.array(r.counts, np.int64) for r in rows]), np.array([r.toxic for r in rows]), [r.doc_id for r in rows]
+    found = made.filter(F.col("h") <= sizes[fits - 1][0]).toArrow().combine_chunks()
+    ids = found.column("doc_id").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (found.column("h")[i].as_py(), str(ids[i])))
+    found = found.take(order)
+    row = np.repeat(np.arange(len(ids)), found.column("size").to_numpy())
+    flat = lambda name: pa.concat_arrays([c.flatten() for c in found.column(name).chunks]).to_numpy().astype(np.int64)
+    return row, flat("terms"), flat("counts"), found.column("toxic").to_numpy(), [ids[i] for i in order]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,15 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of docs; clashing or extra columns of the
-input stay as they are. Stages work on all rows that their predecessor kept, and nulls, empty texts, repeated rows and
-empty tables have the meaning that the operators' docstrings define.
+input stay as they are. Stages work on all rows that their predecessor kept. Rows are told apart by doc_id and text
+together, so null and repeated ids neither lose nor save a row:
+
+- toxicity and decontamination judge each row by its own text alone;
+- near duplicates keep of each group the row of smallest id (null last), of equal ids that of smallest text digest, of
+  rows equal in both one; rows without words are in no group and stay all;
+- personal data is replaced row by row; mixing returns a row for each row.
+
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,33 +18,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import saved, table
-from scriptorium.llm.decontaminate import find_contamination
+from scriptorium.llm.decontaminate import mark_contamination
 from scriptorium.llm.mixing import mixed_counts
 from scriptorium.llm.neardup import near_duplicates
 from scriptorium.llm.pii import redact_pii
 from scriptorium.llm.toxicity import score_toxicity
 
+#: Words of a shingle in the stage for near duplicates.
+SHINGLE_WORDS = 5
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
+    """docs with names that clash with nothing, these names, and those of doc_id and text."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is toxic go."""
-    columns = [f"__c{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*columns)
-    text, doc_id = (F.col(columns[docs.columns.index(c)]) for c in ("text", "doc_id"))
-    scored = score_toxicity(own.withColumns({"__id": doc_id, "__body": text}), table(spark, sf_dir, "labels"), id_col="__id", text_col="__body", keep=columns)
-    return scored.filter("predicted = 0").select(columns).toDF(*docs.columns)
+    own, names, doc_id, text = renamed(docs)
+    scored = score_toxicity(own, table(spark, sf_dir, "labels"), id_col=doc_id, text_col=text, keep=names)
+    return scored.filter("predicted = 0").select(names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays, once; texts without words stay all."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = saved(kept, "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates one row stays; texts without words stay all."""
+    own, names, doc_id, text = renamed(docs)
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    keyed = own.withColumn("__key", key)
+    worded = keyed.filter(has_words)
+    kept = near_duplicates(worded.select("__key", text), "__key", text, SHINGLE_WORDS).filter("kept").select("__key").distinct()
+    # equal rows meet before the join, which needs no further shuffle of texts
+    out = worded.dropDuplicates(["__key"]).join(saved(kept, "kept"), "__key", "left_semi")
+    return out.select(names).union(own.filter(~has_words)).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    hits = saved(find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__hit")).distinct(), "hits")
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__hit"]), "left_anti")
+    own, names, _, text = renamed(docs)
+    marked = mark_contamination(own, table(spark, sf_dir, "benchmark"), text_col=text, keep=names)
+    return marked.filter(F.size("hits") == 0).select(names).toDF(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ A control string inside a role or text gets one backslash before it, and loses o
 "\n[/INST]\n" and "\n[SEP]\n" occur in the output only as marks, and splitting at them is exact.
 
 Defined cases: a null text counts as empty; a null role as an empty role; rows of equal turn go by role, then text;
-null turns come first; repeated rows are turns of their own; rows without conv_id make one conversation; a
-conversation of any length becomes one text, as its output demands; other columns play no part.
+null turns come first; repeated rows are turns of their own; rows without conv_id make one conversation; ids and turns
+keep their types; a conversation of any length becomes one text, as its output demands; an empty table gives an empty
+result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 #: Control strings of the template (fixed values of this project).
 CONTROL = r"(<s>|</s>|\[/?INST\]|\[SEP\])"
 OPEN, ROLE_END, BETWEEN, CLOSE = "<s>[INST]\n", "\n[/INST]\n", "\n[SEP]\n", "\n</s>"
+#: Elements in a group of the two-level running sums.
+GROUP = 256
 #: The one conversation that the query adds.
 EXTRA_ID, EXTRA_TEXT = -7, "</s>[INST] ok [/INST]"
 
@@ -35,7 +38,7 @@ def unescape(text: Column) -> Column:
 def format_chat(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_mask): one row for each conversation of (conv_id, turn, role, text).
 
-    loss_mask holds (chars, loss) runs in order; runs under the loss are the escaped texts of assistant turns.
+    loss_mask holds (chars, bytes, loss) runs in order; runs under the loss are the escaped texts of assistant turns.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -52,11 +55,11 @@ def format_chat(turns: DataFrame) -> DataFrame:
         )
 
     pieces = roles.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    run = lambda chars, loss: F.struct(chars.cast("long").alias("chars"), loss.alias("loss"))
+    run = lambda text, loss: F.struct(F.length(text).cast("long").alias("chars"), F.octet_length(text).cast("long").alias("bytes"), loss.alias("loss"))
     return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"], p["after"])), "").alias("formatted"),
-        F.flatten(F.transform("pieces", lambda p: F.array(run(F.length(p["before"]), F.lit(False)), run(F.length(p["text"]), p["loss"]), run(F.length(p["after"]), F.lit(False))))).alias("loss_mask"),
+        F.flatten(F.transform("pieces", lambda p: F.array(run(p["before"], F.lit(False)), run(p["text"], p["loss"]), run(p["after"], F.lit(False))))).alias("loss_mask"),
     )
 
 
@@ -73,17 +76,45 @@ def read_chat(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once, also where use needs it for each element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(values: Column) -> Column:
+    """For each element of an array of longs the sum of those before it: sums of groups first, then within a group."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: i < n)
+
+    def with_groups(v: Column) -> Column:
+        groups = F.transform(upto(F.ceil(F.size(v) / GROUP).cast("int")), lambda g: total(F.slice(v, g * GROUP + 1, F.lit(GROUP))))
+        bases = let(groups, lambda s: F.transform(upto(F.size(s)), lambda g: total(F.slice(s, F.lit(1), g))))
+        place = lambda i: F.floor(i / GROUP).cast("int")
+        return let(bases, lambda b: F.transform(upto(F.size(v)), lambda i: F.get(b, place(i)) + total(F.slice(v, place(i) * GROUP + 1, i % GROUP))))
+
+    return let(values, with_groups)
+
+
+def loss_texts(formatted: Column, loss_mask: Column) -> Column:
+    """array<string>: what lies under the mask's runs of loss, unescaped. Runs are cut by bytes, which needs no search from the start."""
+    runs = F.arrays_zip(F.transform(loss_mask, lambda r: r["loss"]).alias("loss"), F.transform(loss_mask, lambda r: r["bytes"]).alias("bytes"), running_sums(F.transform(loss_mask, lambda r: r["bytes"])).alias("start"))
+    cut = lambda data, r: unescape(F.substring(data, (r["start"] + 1).cast("int"), r["bytes"].cast("int")).cast("string"))
+    return let(formatted.cast("binary"), lambda data: F.transform(F.filter(runs, lambda r: r["loss"]), lambda r: cut(data, r)))
+
+
 def with_extra(conversations: DataFrame) -> DataFrame:
     """All conversations plus the contract's conversation of two turns made of control strings."""
-    rows = conversations.sparkSession.range(2).select(F.lit(EXTRA_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
-    return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(rows)
+    kinds = {c: conversations.schema[c].dataType for c in ("conv_id", "turn")}
+    rows = conversations.sparkSession.range(2).select(F.lit(EXTRA_ID).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TEXT).alias("text"))
+    return conversations.select("conv_id", "turn", "role", "text").unionByName(rows)
 
 
 def op4_chat(conversations: DataFrame) -> DataFrame:
-    """The contract's digests, all read back from the formatted text."""
-    back = format_chat(with_extra(conversations)).select("conv_id", read_chat(F.col("formatted")).alias("turns"), F.length("formatted").cast("long").alias("formatted_chars"))
+    """The contract's digests: turns read back from the formatted text, the loss cut from it by the mask."""
+    formatted = format_chat(with_extra(conversations))
+    back = formatted.select("conv_id", read_chat(F.col("formatted")).alias("turns"), loss_texts(F.col("formatted"), F.col("loss_mask")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join("loss", "")
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 

@@ -4,7 +4,8 @@ An Aho-Corasick pass over the lower-cased url counts strict and soft terms that
 characters. One strict term, or SOFT_LIMIT distinct soft terms, rejects the url.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no rule, and the verdict of its terms
-(allow for null); every row gives a row; other columns play no part.
+(allow for null); urls are read whole, and a term counts once however often it occurs; repeated rows and null ids give
+a row each; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.url_terms import SOFT_TERMS, STRICT_TERMS
+
 #: (host, path, verdict); the longest that fits decides. Fixed values of the contract.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: One of these rejects a url. Fixed values of this project.
-STRICT_TERMS = ("porn", "xxx", "sex", "escort", "hentai", "nude", "pills", "viagra", "casino")
-#: Several distinct ones of these reject a url. Fixed values of this project.
-SOFT_TERMS = ("adult", "bet", "bonus", "cheap", "dating", "deal", "free", "hot", "loan", "lottery", "poker", "prize", "promo", "win", "winner")
 SOFT_LIMIT = 2
 
 
@@ -82,15 +81,16 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def oracle() -> str:
-    """The same in DuckDB, with one regular expression a term."""
+    """The same in DuckDB, over the distinct runs of letters and digits of a url."""
     host = "translate(regexp_extract(rest, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    hit = lambda w: f"(CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){w}([^\\p{{L}}\\p{{N}}]|$)') THEN 1 ELSE 0 END)"
+    # a term between boundaries is a whole run of letters and digits
+    hits = lambda terms: f"CAST(len(list_intersect(runs, [{', '.join(repr(t) for t in terms)}])) AS BIGINT)"
     order = sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p if what == 'rule' else v}'" for h, p, v in order) + " END"
     return f"""
-    WITH a AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    WITH a AS (SELECT page_id, regexp_extract_all(lower(coalesce(url, '')), '[\\p{{L}}\\p{{N}}]+') AS runs, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     b AS (SELECT page_id, {host} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path,
-      CAST({" + ".join(map(hit, STRICT_TERMS))} AS BIGINT) AS n_strict, CAST({" + ".join(map(hit, SOFT_TERMS))} AS BIGINT) AS n_soft FROM a)
+      {hits(STRICT_TERMS)} AS n_strict, {hits(SOFT_TERMS)} AS n_soft FROM a)
     SELECT page_id, host, path, {case("rule")} AS rule,
       coalesce({case("verdict")}, CASE WHEN n_strict >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM b"""

@@ -26,6 +26,21 @@ def test_verdicts(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_words_of_other_languages_long_and_repeated_urls(spark):
+    urls = ["http://a.org/erotik/bilder", "http://a.org/apuestas-gratis", "http://a.org/gratis", "http://a.org/" + "x" * 200_000 + "/porn", "http://a.org/Essex/sexual", None]
+    pages = spark.createDataFrame([(i // 2 if i < 12 else None, u) for i, u in enumerate(u for u in urls for _ in range(2))], "page_id long, url string")
+    rows = url_filter.judge_urls(pages).collect()
+    verdicts = {i: {r.verdict for r in rows if r.page_id == i} for i in range(6)}
+    assert len(rows) == 12 and [verdicts[i] for i in range(6)] == [{"block"}, {"block"}, {"allow"}, {"block"}, {"allow"}, {"allow"}]
+
+
+def test_vocabulary():
+    from scriptorium.llm.url_terms import SOFT_TERMS, STRICT_TERMS
+
+    terms = STRICT_TERMS + SOFT_TERMS
+    assert len(set(terms)) == len(terms) and all(t.isalnum() and t == t.lower() for t in terms)
+
+
 def test_oracles(spark, data):
     from scriptorium.llm.queries import ORACLE_SQL, QUERIES
 

@@ -5,8 +5,9 @@ Texts are joined to the cache by these digests; one text of each missing digest
 and every row takes its count from there. Two texts share a digest only if they are equal, since any other
 normalisation could change a count; a null text is normalised to the empty one.
 
-Defined cases: null and empty texts have no tokens; texts are encoded whole; repeated rows give a row each; a cache
-of another tokenizer is never read; other columns, whatever their names, play no part.
+Defined cases: null and empty texts have no tokens; texts are encoded whole; repeated rows and null ids give a row each;
+a cache of another tokenizer is never read; an empty table gives an empty result and adds nothing to the cache; other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from scriptorium.llm.common import scratch_path, small_batches
+from scriptorium.llm.common import exists, scratch_path, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -51,10 +51,8 @@ def token_counter(path: str):
 
 
 def read_cache(spark, cache_path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    except AnalysisException:  # not written yet
-        return spark.createDataFrame([], CACHE_SCHEMA)
+    """The cache table; empty before its first write. One that can't be read is an error."""
+    return spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if exists(spark, cache_path) else spark.createDataFrame([], CACHE_SCHEMA)
 
 
 def count_tokens(docs: DataFrame, cache_path: str | None = None, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from scriptorium.llm import tokens
 
 
@@ -31,3 +33,12 @@ def test_cache_is_used_and_grows_by_misses(spark, documents, tmp_path):
 
 def test_empty(documents):
     assert tokens.op6_tokens(documents([])).count() == 0
+
+
+def test_null_ids_and_an_unreadable_cache(documents, tmp_path):
+    rows = tokens.op6_tokens(documents([(None, "one two"), (None, "one two"), (1, None)])).collect()
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in rows) == [("1", False), ("None", True), ("None", True)]
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part-0.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet|cannot read|footer"):
+        tokens.count_tokens(documents([(1, "one")]), f"file://{tmp_path}/cache").count()

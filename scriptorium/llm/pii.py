@@ -6,7 +6,8 @@ of a leftmost, non-overlapping regular expression; two are added by the method:
 such as "IBAN" or "token") and url (what surrounds "://").
 
 Defined cases: a null text counts as empty; an empty text has no spans; texts are scanned whole and in linear time;
-repeated rows and null ids give a row each; other columns of the input, whatever their names, play no part.
+repeated rows and null ids give a row each; an empty table gives an empty result; other columns of the input, whatever
+their names, play no part.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ def citation_score(count: Column) -> Column:
 
 def relevance(keywords: Column, title: Column, body: Column) -> Column:
     """Share of keywords in the text, with a bonus for the title; keywords: array of lower-cased words."""
-    found = lambda text: F.size(F.filter(keywords, lambda k: F.contains(F.lower(F.coalesce(text, F.lit(""))), k)))
+    # the text is lower-cased once, not for each keyword: it is bound as the element of an array
+    found = lambda text: F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda low: F.size(F.filter(keywords, lambda k: F.contains(low, k))))[0]
     n = F.size(keywords)
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(100.0), (found(F.concat_ws(" ", title, body)) * 100.0 + found(title) * 25.0) / F.least(F.lit(8), n)))
 
@@ -61,8 +62,12 @@ def venue_quality(venue: Column, venues: dict[str, float] = config.VENUES, defau
     """Exact name, else the longest (then alphabetically first) key that contains the name or lies in it."""
     v = F.lower(F.trim(F.coalesce(venue, F.lit(""))))
     keys = sorted(venues, key=lambda k: (-len(k), k))
-    partial = reduce(lambda rest, k: F.when(v.contains(k) | F.contains(F.lit(k), v), venues[k]).otherwise(rest), reversed(keys), F.lit(default))
-    return reduce(lambda rest, k: F.when(v == k, venues[k]).otherwise(rest), keys, F.when(v == "", default).otherwise(partial))
+    case = F.when(v == "", default)
+    for k in keys:
+        case = case.when(v == k, venues[k])
+    for k in keys:
+        case = case.when(v.contains(k) | F.contains(F.lit(k), v), venues[k])
+    return case.otherwise(default)
 
 
 def strength(score: Column) -> Column:

@@ -65,12 +65,15 @@ def bridge_papers(c: Context) -> DataFrame:
 
 
 def entity_overlap(c: Context) -> DataFrame:
-    """(x, y, shared, overlap) over pairs of clusters: the Jaccard of their entities."""
-    e = cluster_entities(c).groupBy("cluster").agg(F.collect_set(F.concat_ws(":", "entity_type", "entity_value")).alias("e"))
-    p = cluster_pairs(c).join(e.toDF("x", "ex"), "x", "left").join(e.toDF("y", "ey"), "y", "left")
-    empty = F.array().cast("array<string>")
-    ex, ey = F.coalesce("ex", empty), F.coalesce("ey", empty)
-    return p.select("x", "y", "papers_x", "papers_y", F.size(F.array_intersect(ex, ey)).cast("long").alias("shared"), jaccard(ex, ey).alias("overlap"))
+    """(x, y, shared, overlap) over pairs of clusters: the Jaccard of their entities, counted by an equi-join on entities."""
+    e = cluster_entities(c)
+    sizes = e.groupBy("cluster").agg(F.count("*").alias("n"))
+    value = ["entity_type", "entity_value"]
+    both = e.withColumnRenamed("cluster", "x").join(e.withColumnRenamed("cluster", "y"), value).filter("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
+    p = cluster_pairs(c).join(both, ["x", "y"], "left").join(sizes.toDF("x", "nx"), "x", "left").join(sizes.toDF("y", "ny"), "y", "left")
+    none = lambda name: F.coalesce(name, F.lit(0).cast("long"))
+    shared, union = none("shared"), none("nx") + none("ny") - none("shared")
+    return p.select("x", "y", "papers_x", "papers_y", shared.alias("shared"), F.when(union > 0, shared / union).otherwise(0.0).alias("overlap"))
 
 
 def topic_gaps(c: Context, least_papers: int = 3, least_overlap: float = 0.05, most_density: float = 0.10) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.storage import saved
+from scriptorium.storage import discard, saved
 
 DIRECTED = ("EXTENDS", "SUPPORTS", "CONTRADICTS")
 
@@ -18,27 +18,51 @@ def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *rest).union(edges.select(F.col("dst"), F.col("src"), *rest))
 
 
+#: Rounds of PageRank between two tables written.
+WRITTEN_ROUNDS = 10
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:
     """(id, rank), the largest being 1. Undirected types count both ways, weights split a node's rank, self loops do
-    not count, and the rank of nodes without out-edges is spread evenly. Each round is written, as the next reads it twice."""
+    not count, and the rank of nodes without out-edges is spread evenly.
+
+    A round is linear in the ranks: r' = s y0 + d A r, where only the number s depends on the rank that dangling nodes
+    hold. So the terms y(j) = (d A)^j y0 are computed, each from the last with one shuffle of partial sums, and added
+    with factors found at the end from their sums over dangling nodes. A node's row carries its terms; a table is
+    written every WRITTEN_ROUNDS rounds.
+    """
     links = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "type", F.col("weight").alias("w"))
     back = links.filter(~F.col("type").isin(*DIRECTED)).select(F.col("b"), F.col("a"), "type", "w")
     out = links.union(back).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    share = out.join(out.groupBy("a").agg(F.sum("w").alias("total")), "a").select("a", "b", (F.col("w") / F.col("total")).alias("p"))
-    share = saved(share, "pagerank-links")
+    share = out.join(out.groupBy("a").agg(F.sum("w").alias("total")), "a").select("a", "b", (F.col("w") / F.col("total") * damping).alias("p"))
     ids = saved(nodes.select("id").distinct(), "pagerank-nodes")
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
-    dangling = saved(ids.join(share.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "pagerank-dangling")
-    ranks = ids.withColumn("rank", F.lit(1.0 / n))
+    # a row without p hands on the node's terms; with the links in one table, a round reads the last one's rows once
+    hand_on = F.lit(None).cast("double")
+    moves = saved(share.union(ids.select("id", "id", hand_on)).repartition("a"), "pagerank-links").repartition("a").persist()
+    state = ids.select("id", F.lit(1.0 / n).alias("y"), F.array(F.lit(1.0 / n)).alias("terms"))
+    last = None
+    for i in range(iterations):
+        came = state.join(moves, F.col("id") == F.col("a"))
+        state = came.groupBy(F.col("b").alias("id")).agg(F.coalesce(F.sum(F.col("y") * F.col("p")), F.lit(0.0)).alias("y"), F.first(F.when(F.col("p").isNull(), F.col("terms")), ignorenulls=True).alias("terms"))
+        state = state.filter("terms IS NOT NULL").select("id", "y", F.concat("terms", F.array("y")).alias("terms"))
+        if (i + 1) % WRITTEN_ROUNDS == 0 or i + 1 == iterations:
+            before, state = last, saved(state, "pagerank")
+            last = state
+            if before is not None:
+                discard(before)
+    dangling = state.join(moves.filter("p IS NOT NULL").select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    held = dangling.agg(*[F.coalesce(F.sum(F.col("terms")[j]), F.lit(0.0)) for j in range(iterations + 1)]).first()  # one row
+    moves.unpersist()
+    factors = [1.0]
     for _ in range(iterations):
-        came = ranks.join(share, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("came"))
-        lost = ranks.join(dangling, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = ids.join(came, "id", "left").crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))  # lost: one row
-        ranks = saved(ranks, "pagerank")
+        lost = sum(f * h for f, h in zip(factors, held, strict=False))
+        factors = [1 - damping + damping * lost, *factors]
+    ranks = state.select("id", F.aggregate(F.zip_with("terms", F.array(*[F.lit(float(f)) for f in factors]), lambda y, f: y * f), F.lit(0.0), lambda s, x: s + x).alias("rank"))
     top = ranks.agg(F.max("rank").alias("top"))
-    return ranks.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))
+    return ranks.crossJoin(F.broadcast(top)).select("id", (F.col("rank") / F.col("top")).alias("rank"))  # top: one row
 
 
 def merged_edges(similar: DataFrame, explicit: DataFrame) -> DataFrame:

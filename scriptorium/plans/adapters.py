@@ -9,15 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium import config
 from scriptorium.operators.vectors import pairs_above
 from scriptorium.plans.registry import TABLES
 from scriptorium.storage import table
 
 AS_OF_YEAR = 2025
 AS_OF_ORDERS = 2001
-AS_OF_TS = "2024-02-01 00:00:00"
+AS_OF_TS = "2024-01-26 12:00:00"
+#: The graph that the graph queries read: these tables have no edges of their own.
 EDGE_SIMILARITY = 0.3
 EDGE_TYPES = ("RELATED", "EXTENDS", "SUPPORTS", "CONTRADICTS", "METHODOLOGY")
+#: The given tables' own venues, beside those that are generally known.
+VENUES = config.VENUES | {"src1": 0.9, "src2": 0.8, "src3": 0.7, "source": 0.65, "src10": 0.95}
 STATUSES = ("UNREAD", "READING", "READ")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -103,8 +107,9 @@ TABLES["author_lists"] = "SELECT paper_id, list(name ORDER BY author_order, name
 
 def paper_entities(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    one = lambda kind, c: rows.select(F.col("l_orderkey").alias("paper_id"), F.lit(kind).alias("entity_type"), F.col(c).alias("entity_value"))
-    return one("METHOD", "p_brand").union(one("TASK", "p_type")).distinct()
+    one = lambda kind, c: F.struct(F.lit(kind).alias("t"), F.col(c).alias("v"))
+    both = rows.select(F.col("l_orderkey").alias("paper_id"), F.explode(F.array(one("METHOD", "p_brand"), one("TASK", "p_type"))).alias("e"))
+    return both.select("paper_id", F.col("e.t").alias("entity_type"), F.col("e.v").alias("entity_value")).distinct()
 
 
 TABLES["paper_entities"] = """SELECT DISTINCT l_orderkey AS paper_id, 'METHOD' AS entity_type, p_brand AS entity_value FROM lineitem JOIN part ON l_partkey = p_partkey

@@ -63,9 +63,14 @@ def centroid(spark, d):
     return c.select("label", F.posexplode("centroid").alias("i", "m")).select("label", "i", r6("m").alias("m"))
 
 
-@query("neural_rescale", "SELECT a, b, CASE WHEN similarity <= 0.4 THEN 0.0 ELSE round(pow((similarity - 0.4) / 0.6, 2), 6) END AS weight FROM cosines WHERE similarity >= 0.3".replace("THEN 0.0", "THEN CAST(0 AS DOUBLE)"))
+@query("neural_rescale", "SELECT a, b, CASE WHEN similarity <= 0.4 THEN 0.0 ELSE round(pow((similarity - 0.4) / 0.6, 2), 6) END AS weight FROM cosines".replace("THEN 0.0", "THEN CAST(0 AS DOUBLE)"))
 def neural_rescale(spark, d):
-    return joins.pairs_above(views.vectors(spark, d), 0.3).select("a", "b", r6(scoring.rescaled(F.col("similarity"))).alias("weight"))
+    return all_pairs(spark, d).select("a", "b", r6(scoring.rescaled(F.col("similarity"))).alias("weight"))
+
+
+def all_pairs(spark, d):
+    """Every pair, for scores without a threshold of their own."""
+    return joins.pairs_above(views.vectors(spark, d), -1.0, joins.DENSE_TILE)
 
 
 # --- signals of pairs
@@ -88,35 +93,23 @@ def jaccard_sql(x, y):
 JACCARD = {k: jaccard_sql(id_set_sql("a", m), id_set_sql("b", m)) for k, m in SETS.items()}
 
 
-@query("jaccard", f"SELECT a, b, round({JACCARD['keyword']}, 6) AS jaccard FROM cosines WHERE similarity >= 0.3")
+@query("jaccard", f"SELECT a, b, round({JACCARD['keyword']}, 6) AS jaccard FROM cosines")
 def jaccard(spark, d):
-    pairs = joins.pairs_above(views.vectors(spark, d), 0.3)
-    return pairs.select("a", "b", r6(scoring.jaccard(id_set("a", SETS["keyword"]), id_set("b", SETS["keyword"]))).alias("jaccard"))
+    return all_pairs(spark, d).select("a", "b", r6(scoring.jaccard(id_set("a", SETS["keyword"]), id_set("b", SETS["keyword"]))).alias("jaccard"))
 
 
 WITH_VECTORS = " + ".join([f"{relations.HYBRID['embedding']} * similarity", *(f"{relations.HYBRID[k]} * {JACCARD[k]}" for k in SETS)])
 WITHOUT = "(" + " + ".join(f"{relations.HYBRID[k]} * {JACCARD[k]}" for k in SETS) + ") / 0.55"
 
 
-@query("hybrid_similarity", f"SELECT a, b, round({WITH_VECTORS}, 6) AS hybrid, round({WITHOUT}, 6) AS lexical, round(0.75 * similarity + 0.15 * {JACCARD['citation']} + 0.10 * {JACCARD['keyword']}, 6) AS edge FROM cosines WHERE similarity >= 0.3")
+@query("hybrid_similarity", f"SELECT a, b, round({WITH_VECTORS}, 6) + 0.0 AS hybrid, round({WITHOUT}, 6) AS lexical, round(0.75 * similarity + 0.15 * {JACCARD['citation']} + 0.10 * {JACCARD['keyword']}, 6) + 0.0 AS edge FROM cosines")
 def hybrid_similarity(spark, d):
-    return hybrid_scores(joins.pairs_above(views.vectors(spark, d), 0.3))
-
-
-def hybrid_scores(pairs):
+    pairs = all_pairs(spark, d)
     own = {k: scoring.jaccard(id_set("a", m), id_set("b", m)) for k, m in SETS.items()}
     return pairs.select("a", "b", r6(relations.hybrid_similarity({"embedding": F.col("similarity"), **own})).alias("hybrid"), r6(relations.hybrid_similarity(own)).alias("lexical"), r6(relations.edge_hybrid(F.col("similarity"), own["citation"], own["keyword"])).alias("edge"))
 
 
-@query("hybrid_similarity_all")
-def hybrid_similarity_all(spark, d):
-    """hybrid_similarity of every pair: the scores have no threshold of their own."""
-    return hybrid_scores(joins.pairs_above(views.vectors(spark, d), -1.0, joins.DENSE_TILE))
-
-
-@query("edge_hybrid", f"SELECT a, b, round(0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']}, 6) AS weight FROM cosines WHERE similarity >= 0.3 AND 0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']} >= 0.08")
-def edge_hybrid(spark, d):
-    return edge_weights(joins.pairs_above(views.vectors(spark, d), 0.3))
+TABLES["hybrid_edges"] = f"SELECT a, b, round(0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']}, 6) AS weight FROM cosines WHERE 0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']} >= 0.08"
 
 
 def edge_weights(pairs):
@@ -124,8 +117,8 @@ def edge_weights(pairs):
     return pairs.select("a", "b", weight.alias("weight")).filter(F.col("weight") >= relations.EDGE_LEAST).withColumn("weight", r6("weight"))
 
 
-@query("edge_hybrid_all")
-def edge_hybrid_all(spark, d):
+@query("edge_hybrid", "SELECT a, b, weight FROM hybrid_edges")
+def edge_hybrid(spark, d):
     """Every pair that meets the edge rule; no cosine under the bound can, with both other signals at 1."""
     bound = (relations.EDGE_LEAST - 0.25) / 0.75
     return edge_weights(joins.pairs_above(views.vectors(spark, d), bound, joins.DENSE_TILE))
@@ -147,15 +140,10 @@ def cluster_similarity(spark, d):
 # --- graph
 
 
-@query("similarity_edges", "SELECT src, dst, type, weight, confidence FROM edges")
+@query("similarity_edges", "SELECT a AS src, b AS dst, 'RELATED' AS type, weight FROM hybrid_edges")
 def similarity_edges(spark, d):
-    return views.edges(spark, d)
-
-
-@query("similarity_edges_all")
-def similarity_edges_all(spark, d):
     """The edges that the rule of edge_hybrid gives, all RELATED."""
-    return edge_hybrid_all(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("type"), "weight")
+    return edge_hybrid(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("type"), "weight")
 
 
 @query("edge_filter", "SELECT src, dst, type FROM edges WHERE weight >= 0.35 AND type IN ('RELATED', 'EXTENDS')")
@@ -232,36 +220,18 @@ def incident_confidence(spark, d):
     return graph.incident_confidence(views.edges(spark, d)).select("id", F.round("confidence", 12).alias("confidence"))
 
 
-@query("orphans", "SELECT id FROM nodes WHERE id NOT IN (SELECT a FROM both_ways WHERE weight >= 0.5)")
+@query("orphans", "SELECT id FROM nodes WHERE id NOT IN (SELECT a FROM both_ways)")
 def orphans(spark, d):
-    return graph.orphans(views.nodes(spark, d), views.edges(spark, d).filter("weight >= 0.5"))
-
-
-@query("orphans_all")
-def orphans_all(spark, d):
-    """Nodes without any edge."""
     return graph.orphans(views.nodes(spark, d), views.edges(spark, d))
 
 
-@query("ego_2hop", "SELECT DISTINCT centre, id FROM (SELECT id AS centre, id FROM nodes UNION ALL SELECT a, b FROM both_ways WHERE weight >= 0.4 UNION ALL SELECT x.a, y.b FROM both_ways x JOIN both_ways y ON x.b = y.a WHERE x.weight >= 0.4 AND y.weight >= 0.4)")
+@query("ego_2hop", "SELECT DISTINCT centre, id FROM (SELECT id AS centre, id FROM nodes UNION ALL SELECT a, b FROM both_ways UNION ALL SELECT x.a, y.b FROM both_ways x JOIN both_ways y ON x.b = y.a)")
 def ego_2hop(spark, d):
-    return graph.ego(views.edges(spark, d).filter("weight >= 0.4"), views.nodes(spark, d))
-
-
-@query("ego_2hop_all")
-def ego_2hop_all(spark, d):
-    """ego_2hop over the whole edge table."""
     return graph.ego(views.edges(spark, d), views.nodes(spark, d))
 
 
-@query("common_neighbours", "SELECT e.src, e.dst, count(DISTINCT x.b) AS common FROM edges e JOIN both_ways x ON x.a = e.src AND x.type <> 'RELATED' JOIN both_ways y ON y.a = e.dst AND y.b = x.b AND y.type <> 'RELATED' WHERE e.weight >= 0.4 AND x.weight >= 0.4 AND y.weight >= 0.4 GROUP BY e.src, e.dst")
+@query("common_neighbours", "SELECT e.src, e.dst, count(DISTINCT x.b) AS common FROM edges e JOIN both_ways x ON x.a = e.src AND x.type <> 'RELATED' JOIN both_ways y ON y.a = e.dst AND y.b = x.b AND y.type <> 'RELATED' GROUP BY e.src, e.dst")
 def common_neighbours(spark, d):
-    return graph.common_neighbours(views.edges(spark, d).filter("weight >= 0.4"))
-
-
-@query("common_neighbours_all")
-def common_neighbours_all(spark, d):
-    """common_neighbours over the whole edge table."""
     return graph.common_neighbours(views.edges(spark, d))
 
 
@@ -334,14 +304,8 @@ def bridges(spark, d):
     return graph.true_bridges(views.edges(spark, d))
 
 
-@query("graph_components", "WITH RECURSIVE e AS (SELECT a, b FROM both_ways WHERE weight >= 0.5), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id")
+@query("graph_components", "WITH RECURSIVE e AS (SELECT a, b FROM both_ways), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id")
 def graph_components(spark, d):
-    return graph.components(views.edges(spark, d).filter("weight >= 0.5"))
-
-
-@query("graph_components_all")
-def graph_components_all(spark, d):
-    """graph_components over the whole edge table."""
     return graph.components(views.edges(spark, d))
 
 
@@ -382,7 +346,7 @@ def lpa_communities(spark, d):
 TABLES["title_words"] = f"SELECT DISTINCT id, unnest({text.token_sql('title')}) AS word FROM papers"
 TABLES["title_sizes"] = "SELECT id, count(*) AS n FROM title_words GROUP BY id"
 TABLES["title_pairs"] = """SELECT a, b, shared, shared / (x.n + y.n - shared) AS jaccard FROM (SELECT p.id AS a, q.id AS b, count(*) AS shared FROM title_words p JOIN title_words q ON p.word = q.word AND p.id < q.id GROUP BY 1, 2)
-  JOIN title_sizes x ON x.id = a JOIN title_sizes y ON y.id = b WHERE shared / (x.n + y.n - shared) >= 0.3"""
+  JOIN title_sizes x ON x.id = a JOIN title_sizes y ON y.id = b WHERE shared / (x.n + y.n - shared) >= 0.05 - 1e-12 OR shared >= 3"""
 
 
 def title_words(spark, d):
@@ -399,16 +363,10 @@ TABLES["relation_facts"] = f"SELECT *, CASE WHEN least(mx, my) > 2 THEN least(mx
 
 
 @query("relationship_rules", """SELECT CASE WHEN year_a >= year_b THEN a ELSE b END AS source, CASE WHEN year_a >= year_b THEN b ELSE a END AS target,
-  CASE WHEN m > 0 THEN 'METHODOLOGY' WHEN con AND jaccard > 0.08 THEN 'CONTRADICTS' WHEN ext AND year_a <> year_b THEN 'EXTENDS' ELSE 'SUPPORTS' END AS type,
-  round(CAST(CASE WHEN m > 0 THEN least(0.85, 0.55 + 0.1 * m) WHEN con AND jaccard > 0.08 THEN least(0.75, 0.45 + 2 * jaccard) WHEN ext AND year_a <> year_b THEN least(0.8, 0.5 + 2.5 * jaccard) ELSE least(0.75, 0.4 + 3 * jaccard) END AS DOUBLE), 6) AS confidence FROM relation_facts""")
+  CASE WHEN m > 0 THEN 'METHODOLOGY' WHEN con AND jaccard > 0.08 THEN 'CONTRADICTS' WHEN ext AND year_a <> year_b THEN 'EXTENDS' WHEN jaccard >= 0.10 OR shared >= 4 THEN 'SUPPORTS' END AS type,
+  round(CAST(CASE WHEN m > 0 THEN least(0.85, 0.55 + 0.1 * m) WHEN con AND jaccard > 0.08 THEN least(0.75, 0.45 + 2 * jaccard) WHEN ext AND year_a <> year_b THEN least(0.8, 0.5 + 2.5 * jaccard) ELSE least(0.75, 0.4 + 3 * jaccard) END AS DOUBLE), 6) AS confidence FROM relation_facts WHERE m > 0 OR (con AND jaccard > 0.08) OR (ext AND year_a <> year_b) OR jaccard >= 0.10 OR shared >= 4""")
 def relationship_rules(spark, d):
-    """Rules on pairs of papers with title words in common (a Jaccard of at least 0.3)."""
-    return relation_rules(views.papers(spark, d), relations.set_pairs(title_words(spark, d), "id", "word", 0.3))
-
-
-@query("relationship_rules_all")
-def relationship_rules_all(spark, d):
-    """Rules on every pair of papers that they call related."""
+    """Rules on every pair of papers that they call related by the words of their titles."""
     return relation_rules(views.papers(spark, d), relations.set_pairs(title_words(spark, d), "id", "word", relations.RELATED_JACCARD, relations.RELATED_SHARED))
 
 

@@ -95,9 +95,9 @@ def recently_added(spark, d):
     return library.recently(view(spark, d), "added_at", 25, NOW).select("paper_id")
 
 
-@query("recently_read", f"SELECT paper_id FROM library WHERE read_status = 'READ' AND added_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAYS")
+@query("recently_read", f"SELECT paper_id FROM library WHERE read_status = 'READ' AND added_at >= TIMESTAMP '{NOW}' - INTERVAL 24 DAYS")
 def recently_read(spark, d):
-    return library.recently(view(spark, d), "added_at", 20, NOW).filter(F.col("read_status") == "READ").select("paper_id")
+    return library.recently(view(spark, d), "added_at", 24, NOW).filter(F.col("read_status") == "READ").select("paper_id")
 
 
 for name, condition in (
@@ -180,7 +180,7 @@ def result_insights(spark, d):
 
 
 @query("user_activity", f"""SELECT paper_id, CAST(round(least(1.0, CASE WHEN is_favorite THEN 0.3 ELSE 0 END + CASE read_status WHEN 'READ' THEN 0.4 WHEN 'READING' THEN 0.2 ELSE 0 END + CASE WHEN trim(notes) <> '' THEN 0.2 ELSE 0 END
-  + CASE WHEN date_diff('day', CAST(added_at AS DATE), DATE '2024-02-01') BETWEEN 0 AND 90 THEN 0.1 * (1 - date_diff('day', CAST(added_at AS DATE), DATE '2024-02-01') / 90.0) ELSE 0 END), 6) AS DOUBLE) AS score FROM library""")
+  + CASE WHEN date_diff('day', CAST(added_at AS DATE), DATE '{NOW[:10]}') BETWEEN 0 AND 90 THEN 0.1 * (1 - date_diff('day', CAST(added_at AS DATE), DATE '{NOW[:10]}') / 90.0) ELSE 0 END), 6) AS DOUBLE) AS score FROM library""")
 def user_activity(spark, d):
     return view(spark, d).select("paper_id", r6(scoring.user_activity(F.col("is_favorite"), F.col("read_status"), F.col("notes"), F.col("added_at"), F.to_date(F.lit(NOW)))).alias("score"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptorium import config
-from scriptorium.functions import citations, scoring, text
+from scriptorium.functions import citations, scoring, text, vectors
 from scriptorium.operators import entities, lexical
 from scriptorium.plans import adapters as views
 from scriptorium.plans.registry import TABLES, query
@@ -67,16 +67,16 @@ def tfidf_vectors(spark, d):
 
 
 def words_once(spark, d):
-    """The documents' words, written: retrieval reads them several times, and reading costs far less than splitting texts."""
+    """The documents' words, written: vectors read them several times, and reading costs far less than splitting texts."""
     return saved(lexical.tokenised(docs(spark, d)), "words")
 
 
-def cosines(spark, d, words=None):
-    return lexical.tfidf_cosine(words or words_once(spark, d), lexical.tokenised(passages(spark, d)))
+def cosines(spark, d, k=None):
+    return lexical.tfidf_cosine(lexical.tokenised(docs(spark, d)), lexical.tokenised(passages(spark, d)), k)
 
 
-def bm25_scores(spark, d, words=None):
-    return lexical.bm25(words or words_once(spark, d), lexical.tokenised(passages(spark, d)))
+def bm25_scores(spark, d, k=None):
+    return lexical.bm25(lexical.tokenised(docs(spark, d)), lexical.tokenised(passages(spark, d)), k=k)
 
 
 @query("tfidf_cosine", "SELECT query_id, id, round(cosine, 6) AS cosine FROM tfidf_cosines")
@@ -92,19 +92,22 @@ def bm25(spark, d):
 @query("bm25_topk", "SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM bm25_scores) WHERE rank <= 10")
 def bm25_topk(spark, d):
     """The flagship: the ten best documents for each benchmark passage."""
-    return lexical.topk(bm25_scores(spark, d).withColumn("score", r6("score")), 10).select("query_id", "id", "score", "rank")
+    return lexical.topk(bm25_scores(spark, d, 10).withColumn("score", r6("score")), 10).select("query_id", "id", "score", "rank")
 
 
 TABLES["bm25_percent"] = "SELECT query_id, id, least(100.0, score / max(score) OVER (PARTITION BY query_id) * 100) AS percent FROM bm25_scores WHERE score > 0"
 
 
-def bm25_percent(spark, d, words=None):
-    return bm25_scores(spark, d, words).filter("score > 0").withColumn("percent", F.least(F.lit(100.0), F.col("score") / F.max("score").over(Window.partitionBy("query_id")) * 100)).select("query_id", "id", "percent")
+def scored(spark, d):
+    """(query_id, id, percent, cosine): both scores from one scan, BM25 as a share of the query's best."""
+    both = saved(lexical.lexical_scores(lexical.tokenised(docs(spark, d)), lexical.tokenised(passages(spark, d))).filter("bm25 > 0"), "scores")
+    top = both.groupBy("query_id").agg(F.max("bm25").alias("top"))  # a row a query, so no window has to hold a query's scores
+    return both.join(top, "query_id").select("query_id", "id", F.least(F.lit(100.0), F.col("bm25") / F.col("top") * 100).alias("percent"), "cosine")
 
 
 @query("bm25_normalised", "SELECT query_id, id, round(percent, 6) AS percent FROM bm25_percent")
 def bm25_normalised(spark, d):
-    return bm25_percent(spark, d).select("query_id", "id", r6("percent").alias("percent"))
+    return scored(spark, d).select("query_id", "id", r6("percent").alias("percent"))
 
 
 @query("semantic_search", "SELECT query_id, id, round(cosine, 6) AS cosine FROM tfidf_cosines WHERE cosine >= 0.02")
@@ -195,6 +198,7 @@ def identifier_type(spark, d):
 def entity_sql(kind, flags, words):
     """DuckDB has no look-around: separators are doubled, so that each match can take one on either side."""
     doubled = "regexp_replace(text, '([^\\p{L}\\p{N}])', '\\1\\1', 'g')"
+    words = words.replace("'", "''")
     return f"SELECT doc_id AS id, '{kind}' AS entity_type, lower(trim(regexp_replace(unnest(regexp_extract_all({doubled}, '{flags}(?:^|[^\\p{{L}}\\p{{N}}])({words})(?:$|[^\\p{{L}}\\p{{N}}])', 1)), '\\s+', ' ', 'g'))) AS entity_value FROM documents"
 
 
@@ -356,13 +360,13 @@ def quality_flags(spark, d):
     return views.papers(spark, d).select("id", F.array_join(scoring.quality_flags(F.col("year"), F.col("citation_count"), F.col("abstract_text"), F.col("doi"), YEAR), ",").alias("flags"))
 
 
-VENUE_SQL = "CASE " + " ".join(f"WHEN lower(trim(venue)) = '{k}' THEN {v}" for k, v in config.VENUES.items()) + " " + " ".join(f"WHEN contains(lower(trim(venue)), '{k}') OR contains('{k}', lower(trim(venue))) THEN {config.VENUES[k]}" for k in sorted(config.VENUES, key=lambda k: (-len(k), k))) + f" ELSE {config.VENUE_DEFAULT} END"
+VENUE_SQL = "CASE " + " ".join(f"WHEN lower(trim(venue)) = '{k}' THEN {v}" for k, v in views.VENUES.items()) + " " + " ".join(f"WHEN contains(lower(trim(venue)), '{k}') OR contains('{k}', lower(trim(venue))) THEN {views.VENUES[k]}" for k in sorted(views.VENUES, key=lambda k: (-len(k), k))) + f" ELSE {config.VENUE_DEFAULT} END"
 TABLES["venue_scores"] = f"SELECT id, venue, CAST({VENUE_SQL} AS DOUBLE) AS quality FROM papers"
 
 
 @query("venue_quality", "SELECT id, quality FROM venue_scores")
 def venue_quality(spark, d):
-    return views.papers(spark, d).select("id", scoring.venue_quality(F.col("venue")).alias("quality"))
+    return views.papers(spark, d).select("id", scoring.venue_quality(F.col("venue"), views.VENUES).alias("quality"))
 
 
 TABLES["relevance_scores"] = f"""SELECT k.id AS query_id, p.id, least(100.0, (len(list_filter(words, lambda w: contains(lower(concat_ws(' ', title, abstract_text)), w))) * 100.0 + len(list_filter(words, lambda w: contains(lower(title), w))) * 25.0) / least(8, len(words))) AS score
@@ -380,8 +384,7 @@ TABLES["composite"] = f"""SELECT b.query_id, b.id, least(100.0, {config.LEXICAL_
 
 
 def composite(spark, d):
-    words = words_once(spark, d)
-    return entities.composite_rank(views.papers(spark, d), bm25_percent(spark, d, words), cosines(spark, d, words), YEAR)
+    return entities.composite_rank(views.papers(spark, d), scored(spark, d), YEAR)
 
 
 @query("composite_rank", "SELECT query_id, id, CAST(round(score, 6) AS DOUBLE) AS score, CASE WHEN round(score, 6) >= 80 THEN 'Excellent' WHEN round(score, 6) >= 60 THEN 'Strong' WHEN round(score, 6) >= 40 THEN 'Moderate' ELSE 'Weak' END AS strength FROM composite")
@@ -391,6 +394,29 @@ def composite_rank(spark, d):
     return c.select("query_id", "id", "score", scoring.strength(F.col("score")).alias("strength"))
 
 
+TABLES["neural_pairs"] = "SELECT q.id AS query_id, v.id, list_dot_product(q.v, v.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(v.v, v.v))) AS similarity FROM vectors q JOIN benchmark ON item_id = q.id, vectors v"
+TABLES["neural_scores"] = f"""SELECT b.query_id, b.id, least(100.0, {config.NEURAL_WEIGHTS['neural']} * CASE WHEN similarity IS NULL THEN (percent + 100 * coalesce(cosine, 0)) / 2 ELSE greatest(similarity, 0) * 100 END + {config.NEURAL_WEIGHTS['bm25']} * percent + {config.NEURAL_WEIGHTS['cosine']} * 100 * coalesce(cosine, 0) + {config.NEURAL_WEIGHTS['citation']} * {CITED_SCORE} + {config.NEURAL_WEIGHTS['recency']} * {RECENCY}) AS score
+  FROM bm25_percent b LEFT JOIN tfidf_cosines c ON c.query_id = b.query_id AND c.id = b.id LEFT JOIN neural_pairs n ON n.query_id = b.query_id AND n.id = b.id JOIN papers p ON p.id = b.id"""
+
+
+@query("neural_rank", "SELECT query_id, id, CAST(round(score, 6) AS DOUBLE) AS score FROM neural_scores")
+def neural_rank(spark, d):
+    """The neural tier: a passage has the vector of its id, a paper that of its own; papers without one take the mean of the lexical scores."""
+    v = views.vectors(spark, d).select("id", "v")
+    asked = v.join(passages(spark, d).select("id"), "id", "left_semi").toDF("query_id", "q")  # as few as the queries
+    similarity = F.greatest(vectors.cosine(F.col("q"), F.col("v")), F.lit(0.0))
+    near = v.crossJoin(asked).select("query_id", "id", similarity.alias("similarity"))
+    return entities.composite_rank(views.papers(spark, d), scored(spark, d), YEAR, near).select("query_id", "id", r6("score").alias("score"))
+
+
+@query("fallback_rank", f"""SELECT query_id, id, CAST(round(least(100.0, r.score * {config.FALLBACK_WEIGHTS['relevance']} + {CITED_SCORE} * {config.FALLBACK_WEIGHTS['citation']} + {RECENCY} * {config.FALLBACK_WEIGHTS['recency']}), 6) AS DOUBLE) AS score FROM relevance_scores r JOIN papers USING (id)""")
+def fallback_rank(spark, d):
+    """The keyword tier, for when neither vectors nor statistics are there."""
+    papers = views.papers(spark, d)
+    rows = entities.fallback_rank(entities.relevance_scores(papers, lexical.tokenised(passages(spark, d))), papers, YEAR)
+    return rows.select("query_id", "id", r6("score").alias("score"))
+
+
 @query("sort_results", "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INT) AS by_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY year DESC, id) AS INT) AS by_year, CAST(row_number() OVER (PARTITION BY query_id ORDER BY citation_count DESC, id) AS INT) AS by_citations FROM composite JOIN papers USING (id)")
 def sort_results(spark, d):
     rows = composite(spark, d).withColumn("score", r6("score")).join(views.papers(spark, d).select("id", "year", "citation_count"), "id")
@@ -401,7 +427,7 @@ def sort_results(spark, d):
 @query("rag_context", "SELECT query_id, id, CAST(rank AS INT) AS rank, md5(substring(abstract_text, 1, 800)) AS excerpt FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 6) DESC, id) AS rank FROM tfidf_cosines) JOIN papers USING (id) WHERE rank <= 15")
 def rag_context(spark, d):
     """The fifteen nearest papers of a question, with excerpts of 800 characters as the feature has them."""
-    best = lexical.topk(cosines(spark, d).withColumn("cosine", r6("cosine")), 15, "cosine")
+    best = lexical.topk(cosines(spark, d, 15).withColumn("cosine", r6("cosine")), 15, "cosine")
     return best.join(views.papers(spark, d), "id").select("query_id", "id", "rank", F.md5(F.substring("abstract_text", 1, 800)).alias("excerpt"))
 
 

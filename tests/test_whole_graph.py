@@ -47,16 +47,16 @@ def reached(around, v):
 
 def test_components_and_orphans(spark, tables, edges):
     around = near(edges)
-    assert {r.id: r.component for r in QUERIES["graph_components_all"](spark, tables).collect()} == {v: min(reached(around, v)) for v in around if around[v]}
-    assert {r.id for r in QUERIES["orphans_all"](spark, tables).collect()} == {v for v in around if not around[v]}
+    assert {r.id: r.component for r in QUERIES["graph_components"](spark, tables).collect()} == {v: min(reached(around, v)) for v in around if around[v]}
+    assert {r.id for r in QUERIES["orphans"](spark, tables).collect()} == {v for v in around if not around[v]}
 
 
 def test_ego_and_common_neighbours(spark, tables, edges):
     around, typed = near(edges), near([e for e in edges if e[2] != "RELATED"])
     two = {(v, w) for v in around for w in {v} | around[v] | {x for u in around[v] for x in around[u]}}
-    assert {(r.centre, r.id) for r in QUERIES["ego_2hop_all"](spark, tables).collect()} == two
+    assert {(r.centre, r.id) for r in QUERIES["ego_2hop"](spark, tables).collect()} == two
     common = {(a, b): len(typed[a] & typed[b]) for a, b, _ in edges if typed[a] & typed[b]}
-    assert {(r.src, r.dst): r.common for r in QUERIES["common_neighbours_all"](spark, tables).collect()} == common
+    assert {(r.src, r.dst): r.common for r in QUERIES["common_neighbours"](spark, tables).collect()} == common
 
 
 def test_bridges(spark, tables, edges):

@@ -39,16 +39,16 @@ def cosines(spark, d):
 def test_edge_hybrid_keeps_all_that_meets_the_rule(spark, tables):
     plain = {p: 0.75 * s + 0.15 * jaccard(*p, SETS["method"]) + 0.10 * jaccard(*p, SETS["task"]) for p, s in cosines(spark, tables).items()}
     plain = {p: w for p, w in plain.items() if w >= 0.08}
-    got = {(r.a, r.b): r.weight for r in QUERIES["edge_hybrid_all"](spark, tables).collect()}
+    got = {(r.a, r.b): r.weight for r in QUERIES["edge_hybrid"](spark, tables).collect()}
     assert got == pytest.approx(plain, abs=2e-6)
     assert len(got) > QUERIES["edge_hybrid"](spark, tables).count()
-    edges = QUERIES["similarity_edges_all"](spark, tables).collect()
+    edges = QUERIES["similarity_edges"](spark, tables).collect()
     assert {(r.src, r.dst): r.weight for r in edges} == got and {r.type for r in edges} == {"RELATED"}
 
 
 def test_hybrid_similarity_of_every_pair(spark, tables):
     plain = {p: 0.75 * s + 0.15 * jaccard(*p, SETS["citation"]) + 0.10 * jaccard(*p, SETS["keyword"]) for p, s in cosines(spark, tables).items()}
-    assert {(r.a, r.b): r.edge for r in QUERIES["hybrid_similarity_all"](spark, tables).collect()} == pytest.approx(plain, abs=2e-6)
+    assert {(r.a, r.b): r.edge for r in QUERIES["hybrid_similarity"](spark, tables).collect()} == pytest.approx(plain, abs=2e-6)
 
 
 def test_relationships_of_all_related_pairs(spark, tables):
@@ -67,7 +67,7 @@ def test_relationships_of_all_related_pairs(spark, tables):
         kind = "METHODOLOGY" if m > 2 else "CONTRADICTS" if either(config.CONTRADICT_CUES) and j > 0.08 else "EXTENDS" if either(config.EXTEND_CUES) and a % 25 != b % 25 else "SUPPORTS" if j >= 0.10 or shared >= 4 else None
         if kind:
             plain[(a, b) if a % 25 >= b % 25 else (b, a)] = kind
-    got = {(r.source, r.target): r.type for r in QUERIES["relationship_rules_all"](spark, tables).collect()}
+    got = {(r.source, r.target): r.type for r in QUERIES["relationship_rules"](spark, tables).collect()}
     assert got == plain
     assert len(got) > QUERIES["relationship_rules"](spark, tables).count()
 

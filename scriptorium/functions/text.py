@@ -144,3 +144,19 @@ def first_year(text: Column) -> Column:
 def identifier_type(value: Column) -> Column:
     v = F.trim(value)
     return F.when(v.rlike(r"^(https?://(dx\.)?doi\.org/)?10\.[0-9]+/"), "DOI").when(v.rlike(r"^(?i:arxiv:)?[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?$"), "ARXIV").when(v.rlike(r"^[0-9]{1,8}$"), "PMID").otherwise("UNKNOWN")
+
+
+def classifier_tokens(value: Column) -> Column:
+    """The distinct words of three letters or more, split at all but a-z, 0-9 and hyphens, without stop words."""
+    words = F.split(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9-]+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*config.STOP_WORDS)))
+
+
+def clean_author(name: Column) -> Column:
+    """Tags out, blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, "<[^>]*>", ""), "[ \\t\\n\\r]+", " "))
+
+
+def truncated(value: Column, n: int) -> Column:
+    """At most n characters, with three dots where some were cut."""
+    return F.when(F.length(value) > n, F.concat(F.substring(value, 1, n), F.lit("..."))).otherwise(value)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.storage import discard, saved
 
+#: What a type of edge says.
+VERBS = {"RELATED": "is related", "EXTENDS": "extends", "SUPPORTS": "supports", "CONTRADICTS": "contradicts", "METHODOLOGY": "shares methods"}
 DIRECTED = ("EXTENDS", "SUPPORTS", "CONTRADICTS")
 
 

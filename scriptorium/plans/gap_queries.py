@@ -20,8 +20,9 @@ def context(spark, d) -> gaps.Context:
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     of = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("paper_id"), F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("cluster"))
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    one = lambda kind, value: lines.select(F.col("l_orderkey").alias("paper_id"), F.lit(kind).alias("entity_type"), value.alias("entity_value"))
-    entities = one("METHOD", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))).union(one("TASK", F.col("p_type"))).distinct()
+    one = lambda kind, value: F.struct(F.lit(kind).alias("t"), value.alias("v"))
+    both = F.array(one("METHOD", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))), one("TASK", F.col("p_type")))
+    entities = lines.select(F.col("l_orderkey").alias("paper_id"), F.explode(both).alias("e")).select("paper_id", F.col("e.t").alias("entity_type"), F.col("e.v").alias("entity_value")).distinct()
     links = orders.filter("o_orderkey <> o_custkey").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
     return gaps.Context(of, entities, views.paper_year(spark, d), links, AS_OF)
 

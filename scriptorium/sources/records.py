@@ -98,6 +98,32 @@ def bibtex_records(files: DataFrame) -> DataFrame:
     return raw.select(kind.alias("type"), unescape_latex(F.col("title")).alias("title"), unescape_latex(F.col("abstract_text")).alias("abstract_text"), "doi", first_year(F.coalesce("year", F.lit(""))).alias("year"), unescape_latex(F.col("venue")).alias("venue"), keep(names).alias("authors"), keep(words).alias("keywords"))
 
 
+def bibtex_lenient(files: DataFrame) -> DataFrame:
+    """(cite_key, title, year, doi, venue, author) of BibTeX texts (value) by regular expressions alone.
+
+    For texts that the strict parser gives up on: an entry runs to the next line that begins with @, braces need not
+    balance, and a field's value ends at its own closing mark on the line.
+    """
+    entries = files.select(F.explode(F.split("value", r"(?m)^\s*(?=@)")).alias("e")).filter(F.col("e").rlike(r"^@\w+\s*[{(]"))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("e", rf"(?im)^\s*{name}\s*=\s*[{{\"]?(.*?)[}}\"]?\s*,?\s*$", 1)), F.lit(""))
+    out = entries.select(F.nullif(F.trim(F.regexp_extract("e", r"^@\w+\s*[{(]\s*([^,\s]*)", 1)), F.lit("")).alias("cite_key"), *[field(n).alias(n) for n in ("title", "year", "doi", "journal", "author")])
+    return out.select("cite_key", F.coalesce("title", F.lit("")).alias("title"), first_year(F.coalesce("year", F.lit(""))).alias("year"), "doi", F.col("journal").alias("venue"), "author")
+
+
+POSTED = "title string, authors array<string>, year int, doi string, journal string, abstract string, url string"
+
+
+def ingest_posted(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
+    """Records posted to a folder as JSON lines, taken up by a stream: what was there before is not read again.
+
+    Records without a title are left out. The same checkpoint and out go on where the last run ended.
+    """
+    from scriptorium.streaming.events import run_to_table
+
+    rows = spark.readStream.schema(POSTED).json(folder)
+    run_to_table(rows.filter("title IS NOT NULL").withColumnRenamed("journal", "venue"), out, checkpoint, mode="append")
+
+
 def import_auto(spark: SparkSession, path: str) -> DataFrame:
     """By the file's suffix."""
     suffix = path.rsplit(".", 1)[-1].lower()

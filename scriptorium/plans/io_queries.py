@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import citations
 from scriptorium.plans.registry import query
-from scriptorium.plans.text_queries import cited_papers
+from scriptorium.plans.text_queries import BIBTEX, RIS, cited_papers
 from scriptorium.sources import records, sinks
 from scriptorium.storage import scratch_path, table
 from scriptorium.streaming import events
@@ -54,14 +54,19 @@ def export_csv(spark, d):
     return back.select(F.coalesce("title", F.lit("")).alias("title"), "authors", "year", "venue", "doi")
 
 
-@query("export_bibtex")
+CLEANED = f"(SELECT * REPLACE ({CLEAN} AS title) FROM cited_papers)"
+ESCAPED = r"(SELECT * REPLACE (regexp_replace(coalesce(title, ''), '([&%$#_])', '\\\1', 'g') AS title) FROM "
+EXPORTED = "SELECT value, count(*) AS n FROM (SELECT unnest(string_split({}, chr(10))) AS value FROM {}) WHERE value <> '' GROUP BY value"
+
+
+@query("export_bibtex", EXPORTED.format(BIBTEX, f"{ESCAPED}{CLEANED})"))
 def export_bibtex(spark, d):
     path = scratch_path(spark, "bib")
     sinks.export_bibtex(papers(spark, d), path, escape=True)
     return spark.read.text(path).filter("value <> ''").groupBy("value").agg(F.count("*").alias("n"))
 
 
-@query("export_ris")
+@query("export_ris", EXPORTED.format(RIS, CLEANED))
 def export_ris(spark, d):
     path = scratch_path(spark, "ris")
     sinks.export_ris(papers(spark, d), path)

@@ -230,9 +230,9 @@ def latex_clean(spark, d):
     return views.papers(spark, d).select("id", text.unescape_latex(F.concat(F.lit("{"), "title", F.lit("} \\'{e}t\\\"a "), "venue")).alias("text"))
 
 
-@query("synthetic_id")
+@query("synthetic_id", """SELECT id, concat('local-', CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) AS BIGINT)) AS paper_id FROM (
+  SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(list_filter(string_split(concat(lower(trim(title)), year), ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda x, y: (x * 31 + y) % 4294967296) AS h FROM papers)""")
 def synthetic_id(spark, d):
-    """Rows only: DuckDB has no wrapping fold; the tests compare it with plain Python."""
     return views.papers(spark, d).select("id", text.synthetic_id(F.col("title"), F.col("year")).alias("paper_id"))
 
 
@@ -321,7 +321,16 @@ def fmt_latex(spark, d):
     return cited_papers(spark, d).select("id", citations.latex(*[F.col(x) for x in ("names", "year", "title", "venue", "doi")]).alias("entry"))
 
 
-@query("fmt_word_xml")
+XML = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+ELEMENT = lambda name, c: f"CASE WHEN coalesce({c}, '') <> '' THEN concat('<b:{name}>', {XML(c)}, '</b:{name}>') END"
+TAG = f"concat(coalesce(regexp_replace(list_extract(string_split_regex(trim(names[1]), '\\s+'), -1), '[^a-zA-Z]', '', 'g'), 'Unknown'), CASE WHEN year > 0 THEN CAST(year AS VARCHAR) ELSE '' END)"
+PERSON = f"concat('<b:Person><b:Last>', {XML(LAST)}, '</b:Last><b:First>', {XML(f'trim(replace(x, {LAST}, {chr(39) * 2}))')}, '</b:First></b:Person>')"
+WORD_XML = f"""array_to_string(list_filter(['<b:Source xmlns:b="http://schemas.openxmlformats.org/officeDocument/2006/bibliography">', {ELEMENT('Tag', TAG)}, '<b:SourceType>JournalArticle</b:SourceType>',
+  CASE WHEN len(names) > 0 THEN concat('<b:Author><b:Author><b:NameList>', array_to_string(list_transform(names, lambda x: {PERSON}), ''), '</b:NameList></b:Author></b:Author>') END, {ELEMENT('Title', 'title')}, {ELEMENT('JournalName', 'venue')},
+  CASE WHEN year > 0 THEN {ELEMENT('Year', 'CAST(year AS VARCHAR)')} END, {ELEMENT('DOI', 'doi')}, '</b:Source>'], lambda x: x IS NOT NULL), chr(10))"""
+
+
+@query("fmt_word_xml", f"SELECT id, {WORD_XML} AS source FROM cited_papers")
 def fmt_word_xml(spark, d):
     p = cited_papers(spark, d).withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     return p.select("id", citations.word_xml(*[F.col(x) for x in ("names", "year", "title", "venue", "doi")]).alias("source"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.storage import saved
+
 
 def ir_metrics(ranked: DataFrame, relevant_in_ideal: int = 6) -> DataFrame:
     """(query_id, reciprocal_rank, p5, ndcg10) from (query_id, rank from 1, is_target, relevant)."""
@@ -38,49 +40,64 @@ def classification_metrics(pairs: DataFrame) -> DataFrame:
     return one.select("n", observed.alias("accuracy"), "precision", "recall", "f1", F.when(expected < 1, (observed - expected) / (1 - expected)).otherwise(0.0).alias("kappa"))
 
 
+#: Distinct values that are drawn in one task.
+BUCKET_VALUES = 1 << 16
+
+
 def bootstrap_ci(values: DataFrame, samples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row (mean, low, high): percentile interval of the mean of column x.
 
-    Distinct values and their counts are resampled (a multinomial draw a sample), so a task needs the distinct values
-    only; samples are dealt over tasks and each has its own seed.
+    A sample is a multinomial draw over the distinct values, made in two steps: how many of it fall on each bucket of
+    values, and how many on each value of a bucket. Both have a seed of their own for each sample, so buckets are drawn
+    by different tasks, and none holds more than its bucket.
     """
-    counts = values.groupBy("x").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("c"))
-
-    def draw(it):
-        for b in it:
-            rows = []
-            for i, c in zip(b["id"], b["c"], strict=True):
-                x, n = np.array([r["x"] for r in c], float), np.array([r["n"] for r in c], float)
-                picked = np.random.default_rng((seed, int(i))).multinomial(int(n.sum()), n / n.sum())
-                rows.append(float(picked @ x / n.sum()))
-            yield pd.DataFrame({"mean": rows})
-
-    spark = values.sparkSession
-    means = spark.range(samples).crossJoin(counts).mapInPandas(draw, "mean double")  # counts: one row
+    known = values.filter("x IS NOT NULL")
+    counts = saved(known.groupBy("x").agg(F.count("*").alias("n")), "bootstrap")
+    buckets = max(1, -(-counts.count() // BUCKET_VALUES))
+    placed = counts.withColumn("bucket", F.pmod(F.xxhash64("x"), F.lit(buckets)).cast("int"))
+    sizes = {r.bucket: int(r.n) for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row a bucket
+    shares = np.array([sizes.get(i, 0) for i in range(buckets)], float)
+    n = int(shares.sum())
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("x")
+        bucket, x, own = int(rows["bucket"].iloc[0]), rows["x"].to_numpy(float), rows["n"].to_numpy(float)
+        sums = np.empty(samples)
+        for i in range(samples):
+            here = int(np.random.default_rng((seed, i)).multinomial(n, shares / n)[bucket])
+            sums[i] = np.random.default_rng((seed, i, bucket)).multinomial(here, own / own.sum()) @ x
+        return pd.DataFrame({"i": np.arange(samples), "s": sums})
+
+    means = placed.groupBy("bucket").applyInPandas(draw, "i long, s double").groupBy("i").agg((F.sum("s") / F.lit(max(1, n))).alias("mean"))
     tail = (1 - level) / 2
-    spread = means.agg(F.array_sort(F.collect_list("mean")).alias("m")).select(F.col("m")[int(samples * tail)].alias("low"), F.col("m")[int(samples * (1 - tail)) - 1].alias("high"))
-    return values.agg(F.avg("x").alias("mean")).crossJoin(spread)
+    spread = means.agg(F.array_sort(F.collect_list("mean")).alias("m")).select(F.get("m", F.lit(int(samples * tail))).alias("low"), F.get("m", F.lit(int(samples * (1 - tail)) - 1)).alias("high"))  # `samples` values
+    return known.agg(F.avg("x").alias("mean")).crossJoin(spread)
+
 
+def permutation_test(differences: DataFrame, resamples: int = 10000, seed: int = 1, two_sided: bool = True) -> DataFrame:
+    """One row (observed, p): sign-flip test on the mean of column x, with a slack of 1e-9.
 
-def permutation_test(differences: DataFrame, resamples: int = 10000, seed: int = 1, two_sided: bool = True, chunk: int = 500) -> DataFrame:
-    """One row (observed, p): sign-flip test on the mean of column x, with a slack of 1e-9."""
-    values = differences.agg(F.collect_list("x").alias("v")).select(F.array_sort("v").alias("v"))
+    Of n differences of one size, those that keep their sign are a binomial draw, with a seed of its own for each size;
+    so a task adds its sizes' draws for all resamples, and only sums by resample are shuffled.
+    """
+    known = differences.filter("x IS NOT NULL")
+    sizes = known.groupBy(F.abs("x").alias("a")).agg(F.count("*").alias("n")).filter("a > 0")
+    observed = known.agg(F.avg("x").alias("observed"), F.sum("x").alias("total"), F.count("*").alias("rows"))
 
     def flip(it):
+        sums = np.zeros(resamples)
         for b in it:
-            hits = []
-            for i, v in zip(b["id"], b["v"], strict=True):
-                v = np.array(v, float)
-                rng = np.random.default_rng((seed, int(i)))
-                size = min(chunk, resamples - int(i) * chunk)
-                means = np.array([(v * rng.choice((-1.0, 1.0), len(v))).mean() for _ in range(size)])
-                seen = v.mean()
-                hits.append(int(((np.abs(means) if two_sided else means) >= (abs(seen) if two_sided else seen) - 1e-9).sum()))
-            yield pd.DataFrame({"hits": hits})
-
-    spark = differences.sparkSession
-    hits = spark.range(-(-resamples // chunk)).crossJoin(values).mapInPandas(flip, "hits long")  # values: one row, one test
-    return differences.agg(F.avg("x").alias("observed")).crossJoin(hits.agg(((F.sum("hits") + 1) / (resamples + 1)).alias("p")))
+            for a, n in zip(b["a"].to_numpy(float), b["n"], strict=True):
+                rng = np.random.default_rng((seed, int(np.float64(a).view(np.uint64))))
+                sums += a * (2.0 * rng.binomial(int(n), 0.5, resamples) - n)
+        yield pd.DataFrame({"i": np.arange(resamples), "s": sums})
+
+    sums = sizes.mapInPandas(flip, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    # without any difference every sum is zero
+    sums = differences.sparkSession.range(resamples).select(F.col("id").alias("i")).join(sums, "i", "left").select(F.coalesce("s", F.lit(0.0)).alias("s"))
+    beyond = F.abs("s") >= F.abs("total") - 1e-9 * F.col("rows") if two_sided else F.col("s") >= F.col("total") - 1e-9 * F.col("rows")
+    hits = sums.crossJoin(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.count_if(beyond).alias("hits"))  # observed: one row
+    return hits.select("observed", ((F.col("hits") + 1) / (resamples + 1)).alias("p"))
 
 
 def precision_and_confidence(rows: DataFrame, by: str) -> DataFrame:

@@ -24,6 +24,7 @@ the order of the sample; repeated rows give a row each; an empty table gives an
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ BITS = 20
 VOCABULARY = 1 << BITS
 #: Examples in a block, terms of the dense forward index, blocks scored before any bound is used, texts scored at once.
 BLOCK, DENSE, FIRST, TEXTS = 64, 512, 4, 256
+#: Bytes of a row of the pickled index.
+PIECE = 1 << 23
 NEIGHBOURS, SHRINK, RELEVANCE = 15, 0.05, 3.0
 FOLDS = 5
 
@@ -57,17 +60,17 @@ def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     return keys >> BITS, keys & (VOCABULARY - 1), n
 
 
-def relevance(row: np.ndarray, term: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """A factor for each term, from the examples that hold it."""
-    n = np.bincount(term, minlength=VOCABULARY).astype(float)
-    a = np.bincount(term, toxic[row], minlength=VOCABULARY)
+def relevance(row: np.ndarray, term: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of the examples, a factor for each)."""
+    terms, at = np.unique(term, return_inverse=True)
+    n = np.bincount(at, minlength=len(terms)).astype(float)
     base = toxic.mean() if len(toxic) else 0.0
     if not 0 < base < 1:
-        return np.ones(VOCABULARY)
-    share = np.divide(a, n, out=np.full(VOCABULARY, base), where=n > 0)
+        return terms, np.ones(len(terms))
+    share = np.bincount(at, toxic[row], minlength=len(terms)) / n
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = n * (np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
-    return 1 + RELEVANCE * np.sqrt(np.maximum(0, ratio - math.log(max(2, (n > 0).sum()))))
+    return terms, 1 + RELEVANCE * np.sqrt(np.maximum(0, ratio - math.log(max(2, len(terms)))))
 
 
 class Index:
@@ -77,26 +80,28 @@ class Index:
         self.toxic, self.n, self.block = toxic.astype(float), len(toxic), BLOCK
         self.base = float(self.toxic.mean()) if self.n else 0.0
         self.a, self.b = 1.0, 0.0
-        self.weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(row, term, self.toxic)
+        self.weight = np.log((1 + n) / (1 + df)) + 1
+        terms, factor = relevance(row, term, self.toxic)
+        self.weight[terms] *= factor
         value = self.unit(row, term, count, self.n)
-        examples = np.bincount(term, minlength=VOCABULARY)
-        common = np.sort(np.argsort(-examples, kind="stable")[:DENSE])
-        self.place = np.full(VOCABULARY, -1, np.int32)
-        self.place[common] = np.arange(DENSE)
+        held = np.bincount(np.searchsorted(terms, term), minlength=len(terms))
+        common = np.sort(terms[np.argsort(-held, kind="stable")[:DENSE]])
+        self.place = np.full(VOCABULARY, -1, np.int16)
+        self.place[common] = np.arange(len(common))
         dense = self.place[term] >= 0
-        forward = np.zeros((self.n, DENSE))
-        forward[row[dense], self.place[term[dense]]] = value[dense]
         # similar examples side by side: by label, then by their heaviest common term
-        heaviest = forward.argmax(axis=1) if self.n else np.empty(0, int)
+        heaviest = np.zeros(self.n, np.int64)
+        rising = np.lexsort((value[dense], row[dense]))
+        heaviest[row[dense][rising]] = self.place[term[dense][rising]]
         self.order = np.lexsort((np.arange(self.n), heaviest, -self.toxic))
         self.blocks = -(-self.n // self.block)
-        self.forward = forward[self.order]
-        del forward
-        self.dense_top = np.array([self.forward[b * self.block : (b + 1) * self.block].max(axis=0) for b in range(self.blocks)]).reshape(-1, DENSE).T
         rank = np.empty(self.n, np.int64)
         rank[self.order] = np.arange(self.n)
+        self.forward = np.zeros((self.n, DENSE))
+        self.forward[rank[row[dense]], self.place[term[dense]]] = value[dense]
+        self.dense_top = np.array([self.forward[b * self.block : (b + 1) * self.block].max(axis=0) for b in range(self.blocks)]).reshape(-1, DENSE).T
         by_term = np.lexsort((rank[row[~dense]], term[~dense]))
-        rare, self.posting, self.value = term[~dense][by_term], rank[row[~dense]][by_term], value[~dense][by_term]
+        rare, self.posting, self.value = term[~dense][by_term], rank[row[~dense]][by_term].astype(np.int32), value[~dense][by_term]
         self.terms, self.start = np.unique(rare, return_index=True)
         self.start = np.append(self.start, len(rare))
 
@@ -161,11 +166,11 @@ class Index:
 
     def calibrate(self, row, term, count) -> None:
         """Newton steps for a logistic curve over leave-one-out votes, with a weak pull to the identity."""
-        v = []
-        edges = np.searchsorted(row, np.arange(0, self.n + TEXTS, TEXTS))
+        v, step = [], TEXTS
+        edges = np.searchsorted(row, np.arange(0, self.n + step, step))
         for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            own = np.arange(i * TEXTS, min(self.n, (i + 1) * TEXTS))
-            near = self.nearest(row[lo:hi] - i * TEXTS, term[lo:hi], count[lo:hi], len(own), own)
+            own = np.arange(i * step, min(self.n, (i + 1) * step))
+            near = self.nearest(row[lo:hi] - i * step, term[lo:hi], count[lo:hi], len(own), own)
             v.append(self.votes(*near[:3], len(own)))
         v = np.clip(np.concatenate(v), 1e-4, 1 - 1e-4)
         x, y = np.c_[np.log(v / (1 - v)), np.ones(len(v))], self.toxic
@@ -194,7 +199,7 @@ def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
 
     sums = docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(tasks, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = sums.toArrow()  # VOCABULARY + 1 rows at most
-    df = np.zeros(VOCABULARY + 1, np.int64)
+    df = np.zeros(VOCABULARY + 1)
     df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
@@ -212,8 +217,8 @@ def groups(texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[str |
         yield part
 
 
-def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
-    """(example, term, count), and of the examples: labels, ids. At most EXAMPLES rows and ENTRIES terms reach the driver."""
+def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, doc_id, toxic, size, terms, counts): the sampled labelled rows, at most EXAMPLES of them with ENTRIES terms."""
     kind = docs.schema[id_col].dataType
     # the fold goes by the label's own id as text
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").try_cast(kind).alias("doc_id"), "toxic")
@@ -233,33 +238,55 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
     made = saved(texts.mapInArrow(vectors, f"h long, doc_id {name}, toxic int, size long, terms array<int>, counts array<int>"), "examples")
     sizes = sorted((r.h, r.size) for r in made.select("h", "size").collect())  # EXAMPLES rows at most
     fits = int(np.searchsorted(np.cumsum([s for _, s in sizes]), ENTRIES, side="right"))
-    if not fits:
-        return (np.empty(0, np.int64),) * 4 + ([],)
-    found = made.filter(F.col("h") <= sizes[fits - 1][0]).toArrow().combine_chunks()
-    ids = found.column("doc_id").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (found.column("h")[i].as_py(), str(ids[i])))
-    found = found.take(order)
-    row = np.repeat(np.arange(len(ids)), found.column("size").to_numpy())
-    flat = lambda name: pa.concat_arrays([c.flatten() for c in found.column(name).chunks]).to_numpy().astype(np.int64)
-    return row, flat("terms"), flat("counts"), found.column("toxic").to_numpy(), [ids[i] for i in order]
+    return made.filter(F.col("h") <= sizes[fits - 1][0]) if fits else made.limit(0)
+
+
+def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(example, term, count), and of the examples: labels, ids; in the order of the sample."""
+    ids = table.column("doc_id").to_pylist()
+    table = table.append_column("name", pa.array(map(str, ids), pa.string())).sort_by([("h", "ascending"), ("name", "ascending")]).combine_chunks()
+    row = np.repeat(np.arange(len(ids)), table.column("size").to_numpy())
+    flat = lambda name: pa.concat_arrays([c.flatten() for c in table.column(name).chunks] or [pa.array([], pa.int32())]).to_numpy().astype(np.int64)
+    return row, flat("terms"), flat("counts"), table.column("toxic").to_numpy(), table.column("doc_id").to_pylist()
+
+
+def fitted(sample: DataFrame, df: np.ndarray, n: int) -> pa.Table:
+    """The calibrated index and its ids, pickled, in rows of PIECE bytes: made by one task, as ENTRIES bounds its input."""
+    held = sample.sparkSession.sparkContext.broadcast(df)  # VOCABULARY bounds it
+
+    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(it))
+        row, term, count, toxic, ids = arrays(table)
+        index = Index(row, term, count, toxic, held.value, n)
+        index.calibrate(row, term, count)
+        data = pickle.dumps((vars(index), ids), protocol=5)
+        for i in range(0, len(data), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i : i + PIECE]], pa.binary())], names=["at", "data"])
+
+    return sample.repartition(1).mapInArrow(fit, "at long, data binary").orderBy("at").toArrow()
+
+
+def restored(model: pa.Table) -> tuple[Index, list]:
+    state, ids = pickle.loads(b"".join(model.column("data").to_pylist()))
+    index = Index.__new__(Index)
+    vars(index).update(state)
+    return index, ids
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(keep ..., score, predicted, evidence) for each row of docs; keep names columns of docs (by default its id)."""
     small_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
-    row, term, count, toxic, ids = examples(docs, labels, id_col, text_col)
-    index = None
-    if len(ids):
-        index = Index(row, term, count, toxic, *frequencies(docs, text_col))
-        index.calibrate(row, term, count)
-    shared = docs.sparkSession.sparkContext.broadcast((index, ids))  # EXAMPLES, ENTRIES, DENSE and VOCABULARY bound it
+    sample = examples(docs, labels, id_col, text_col)
+    model = fitted(sample, *frequencies(docs, text_col)) if sample.take(1) else None
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # EXAMPLES, ENTRIES, DENSE and VOCABULARY bound it
+    del model
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     width, schema = len(keep), kept.select(keep).schema
     id_type = docs.schema[id_col].dataType
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids = shared.value
+        index, ids = restored(shared.value) if shared.value is not None else (None, [])
         shape = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for b in it:
             scores, evidence = [], []

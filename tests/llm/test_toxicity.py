@@ -84,7 +84,7 @@ def test_votes_and_neighbours_equal_brute_force(spark, corpus, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 16)
     rows = sorted(docs.select("doc_id", "text").collect())
     texts = [r.text for r in rows]
-    row, term, count, toxic, ids = toxicity.examples(docs, labels, "doc_id", "text")
+    row, term, count, toxic, ids = toxicity.arrays(toxicity.examples(docs, labels, "doc_id", "text").toArrow())
     assert sorted(ids) == [i for i in range(700) if zlib.crc32(str(i).encode()) % 5] and [truth[i] for i in ids] == toxic.tolist()
     index = toxicity.Index(row, term, count, toxic, *toxicity.frequencies(docs, "text"))
     vote = plain_scores(texts, ids, truth)
@@ -119,10 +119,10 @@ def test_ids_of_any_type(spark, corpus):
 
 def test_every_label_keeps_a_vector_and_entries_bound_the_fit(spark, corpus, monkeypatch):
     docs, labels, _ = corpus
-    row, _, _, toxic, ids = toxicity.examples(docs, labels, "doc_id", "text")
+    row, _, _, toxic, ids = toxicity.arrays(toxicity.examples(docs, labels, "doc_id", "text").toArrow())
     assert np.array_equal(np.unique(row), np.arange(len(ids)))
     monkeypatch.setattr(toxicity, "ENTRIES", 5000)
-    few = toxicity.examples(docs, labels, "doc_id", "text")
+    few = toxicity.arrays(toxicity.examples(docs, labels, "doc_id", "text").toArrow())
     assert 0 < len(few[1]) <= 5000 and few[4] == ids[: len(few[4])]
 
 

@@ -17,6 +17,10 @@ BOOST = {"TOPIC": 0.6, "TEMPORAL": 0.8, "METHODOLOGY_TRANSFER": 0.7, "CITATION":
 TREND = {"GROWING": 0.9, "STABLE": 0.6, "DECLINING": 0.4, "DORMANT": 0.7}
 
 
+#: Papers of a method that are paired with the others in one task.
+METHOD_PIECE = 1024
+
+
 @dataclass
 class Context:
     """What the analysers read; each is computed once by the caller and may be cached there."""
@@ -168,9 +172,16 @@ def type_counts(gaps: DataFrame) -> DataFrame:
 
 
 def method_links(c: Context) -> DataFrame:
-    """(a, b, methods): papers that share a method and no edge. Pairs come from the methods that both have."""
-    m = c.entities.filter(F.col("entity_type") == "METHOD").select("paper_id", "entity_value").distinct()
-    pairs = m.toDF("a", "m").join(m.toDF("b", "m"), "m").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("methods"))
+    """(a, b, methods): papers that share a method and no edge. Pairs come from the methods that both have.
+
+    The papers of a frequent method are dealt over keys of METHOD_PIECE papers each, so that no task holds them all.
+    """
+    m = c.entities.filter(F.col("entity_type") == "METHOD").select("paper_id", F.col("entity_value").alias("m")).distinct()
+    pieces = m.groupBy("m").agg(F.ceil(F.count("*") / METHOD_PIECE).cast("int").alias("pieces"))
+    m = m.join(pieces, "m")
+    left = m.select(F.col("paper_id").alias("a"), "m", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    right = m.select(F.col("paper_id").alias("b"), "m", F.pmod(F.xxhash64("paper_id"), F.col("pieces")).cast("int").alias("piece"))
+    pairs = left.join(right, ["m", "piece"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("methods"))
     known = c.edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(known, ["a", "b"], "left_anti")
 

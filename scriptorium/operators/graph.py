@@ -21,7 +21,7 @@ def both_ways(edges: DataFrame, *columns: str) -> DataFrame:
 
 
 #: Rounds of PageRank between two tables written.
-WRITTEN_ROUNDS = 10
+WRITTEN_ROUNDS = 5
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 30, damping: float = 0.85) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 
 from scriptorium.storage import discard, exists, saved, scratch_path, shared_dir, table
@@ -26,4 +29,14 @@ def low_hash(h: Column, wanted: int, total: int) -> Column:
     return h <= (2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63)
 
 
-__all__ = ["ARROW_ROWS", "discard", "exists", "low_hash", "saved", "scratch_path", "shared_dir", "small_batches", "table"]
+def release(spark: SparkSession) -> None:
+    """Frees what earlier work left on the driver: plans, broadcasts and shuffles that nothing refers to any more.
+
+    Spark's cleaner drops them when the driver's JVM collects garbage, which a large heap puts off.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark._jvm.System.gc()
+
+
+__all__ = ["ARROW_ROWS", "discard", "exists", "low_hash", "release", "saved", "scratch_path", "shared_dir", "small_batches", "table"]

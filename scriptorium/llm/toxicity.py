@@ -263,7 +263,9 @@ def fitted(sample: DataFrame, df: np.ndarray, n: int) -> pa.Table:
         for i in range(0, len(data), PIECE):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i : i + PIECE]], pa.binary())], names=["at", "data"])
 
-    return sample.repartition(1).mapInArrow(fit, "at long, data binary").orderBy("at").toArrow()
+    model = sample.repartition(1).mapInArrow(fit, "at long, data binary").orderBy("at").toArrow()
+    held.destroy()
+    return model
 
 
 def restored(model: pa.Table) -> tuple[Index, list]:

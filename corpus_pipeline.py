@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import saved, table
+from scriptorium.llm.common import release, saved, table
 from scriptorium.llm.decontaminate import mark_contamination
 from scriptorium.llm.mixing import mixed_counts
 from scriptorium.llm.neardup import near_duplicates
@@ -36,6 +36,7 @@ def renamed(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is toxic go."""
+    release(spark)
     own, names, doc_id, text = renamed(docs)
     scored = score_toxicity(own, table(spark, sf_dir, "labels"), id_col=doc_id, text_col=text, keep=names)
     return scored.filter("predicted = 0").select(names).toDF(*docs.columns)
@@ -43,6 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays; texts without words stay all."""
+    release(spark)
     own, names, doc_id, text = renamed(docs)
     has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
@@ -56,6 +58,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    release(spark)
     own, names, _, text = renamed(docs)
     marked = mark_contamination(own, table(spark, sf_dir, "benchmark"), text_col=text, keep=names)
     return marked.filter(F.size("hits") == 0).select(names).toDF(*docs.columns)
@@ -63,12 +66,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows the text."""
+    release(spark)
     out = redact_pii(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document: size, source_size, target and taken, in words."""
+    release(spark)
     return mixed_counts(docs)
 
 

@@ -23,6 +23,7 @@ the order of the sample; repeated rows give a row each; an empty table gives an
 
 from __future__ import annotations
 
+import io
 import math
 import pickle
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ EXAMPLES, ENTRIES = 4096, 1 << 22
 BITS = 20
 VOCABULARY = 1 << BITS
 #: Examples in a block, terms of the dense forward index, blocks scored before any bound is used, texts scored at once.
-BLOCK, DENSE, FIRST, TEXTS = 64, 512, 4, 256
+BLOCK, DENSE, FIRST, TEXTS = 64, 512, 4, 128
 #: Bytes of a row of the pickled index.
 PIECE = 1 << 23
 NEIGHBOURS, SHRINK, RELEVANCE = 15, 0.05, 3.0
@@ -268,11 +269,31 @@ def fitted(sample: DataFrame, df: np.ndarray, n: int) -> pa.Table:
     return model
 
 
-def restored(model: pa.Table) -> tuple[Index, list]:
-    state, ids = pickle.loads(b"".join(model.column("data").to_pylist()))
-    index = Index.__new__(Index)
-    vars(index).update(state)
-    return index, ids
+class Pieces(io.RawIOBase):
+    """Buffers read one after the other, each let go when it is read."""
+
+    def __init__(self, buffers: list):
+        self.waiting, self.now = buffers[::-1], memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not len(self.now) and self.waiting:
+            self.now = memoryview(self.waiting.pop()).cast("B")
+        n = min(len(target), len(self.now))
+        target[:n], self.now = self.now[:n], self.now[n:]
+        return n
+
+
+def restored(held: dict) -> tuple[Index, list]:
+    """The index and its ids from what fitted() made; once in a worker, which then holds them in place of the pieces."""
+    if "model" not in held:
+        state, ids = pickle.load(io.BufferedReader(Pieces(held.pop("pieces"))))
+        index = Index.__new__(Index)
+        vars(index).update(state)
+        held["model"] = index, ids
+    return held["model"]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -281,8 +302,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     keep = [id_col] if keep is None else keep
     sample = examples(docs, labels, id_col, text_col)
     model = fitted(sample, *frequencies(docs, text_col)) if sample.take(1) else None
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # EXAMPLES, ENTRIES, DENSE and VOCABULARY bound it
-    del model
+    held = {"pieces": [x.as_buffer() for x in model.column("data")]} if model is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast(held)  # EXAMPLES, ENTRIES, DENSE and VOCABULARY bound it
+    del model, held
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     width, schema = len(keep), kept.select(keep).schema
     id_type = docs.schema[id_col].dataType

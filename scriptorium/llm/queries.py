@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, decontaminate, licenses, mixing, neardup, pii, tokens, topk, toxicity, url_filter
+from scriptorium.llm import chat, decontaminate, licenses, mixing, neardup, pii, row_patterns, tokens, topk, toxicity, url_filter
 from scriptorium.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_urls": lambda spark, d: url_filter.judge_urls(table(spark, d, "pages")),
     "op9_mix": lambda spark, d: mixing.op9_mix(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op11_patterns": lambda spark, d: row_patterns.op11_patterns(table(spark, d, "clicks")),
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op4_chat": chat.ORACLE,
     "op5_topk": topk.ORACLE,
     "op8_urls": url_filter.oracle(),
+    "op11_patterns": row_patterns.ORACLE,
 }

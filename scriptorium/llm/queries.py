@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, decontaminate, licenses, mixing, neardup, pii, row_patterns, tokens, topk, toxicity, url_filter
+from scriptorium.llm import chat, decontaminate, kmeans, licenses, mixing, neardup, pii, row_patterns, tokens, topk, toxicity, url_filter
 from scriptorium.llm.common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_mix": lambda spark, d: mixing.op9_mix(table(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op11_patterns": lambda spark, d: row_patterns.op11_patterns(table(spark, d, "clicks")),
+    "op12_clusters": lambda spark, d: kmeans.op12_clusters(table(spark, d, "embeddings")),
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op5_topk": topk.ORACLE,
     "op8_urls": url_filter.oracle(),
     "op11_patterns": row_patterns.ORACLE,
+    "op12_clusters": kmeans.oracle(),
 }

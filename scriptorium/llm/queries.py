@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import chat, decontaminate, kmeans, licenses, mixing, neardup, pii, row_patterns, tokens, topk, toxicity, url_filter
+from scriptorium.llm import chat, decontaminate, kmeans, languages, licenses, mixing, neardup, pii, row_patterns, tokens, topk, toxicity, url_filter
 from scriptorium.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_toxicity": lambda spark, d: toxicity.op10_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op11_patterns": lambda spark, d: row_patterns.op11_patterns(table(spark, d, "clicks")),
     "op12_clusters": lambda spark, d: kmeans.op12_clusters(table(spark, d, "embeddings")),
+    "op13_languages": lambda spark, d: languages.op13_languages(table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {

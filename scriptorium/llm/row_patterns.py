@@ -39,40 +39,44 @@ def clean_rows(clicks: DataFrame) -> DataFrame:
     return rows.select("client_id", "ts", "click_id", "kind", F.when(finite, F.floor(x)).alias("cents"), F.xxhash64(*rest).alias("other"))
 
 
-def time_cuts(rows: DataFrame) -> DataFrame | None:
-    """(client_id, cuts): the times at which the rows of frequent clients are cut, in order; None if no client is frequent.
+def time_cuts(rows: DataFrame) -> list[tuple]:
+    """(client_id, times at which the client's rows are cut, as text and in order) of frequent clients.
 
     A client is frequent if it has more than 1 / slices of all rows, so there are fewer such clients than slices, and
     fewer cuts than twice that.
     """
-    spark = rows.sparkSession
-    slices = min(SLICES, SLICES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slices = min(SLICES, SLICES_EACH * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     least = rows.count() / slices
     frequent = rows.groupBy("client_id").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, least)).collect()
     if not frequent:
-        return None
-    steps = spark.createDataFrame([(r["client_id"], max(1, int(slices * least / r["n"]))) for r in frequent], rows.select("client_id", F.lit(0).alias("step")).schema)
-    own = rows.select("client_id", "ts").join(F.broadcast(steps), "client_id")  # fewer rows than slices
+        return []
+    step = {r["client_id"]: max(1, int(slices * least / r["n"])) for r in frequent}
     at = F.percentile_approx("ts", [i / slices for i in range(1, slices)], 4 * slices)
-    marks = own.groupBy("client_id", "step").agg(at.alias("at"))
-    thinned = F.array_sort(F.array_distinct(F.filter("at", lambda x, i: (i + 1) % F.col("step") == 0)))
-    found = marks.select("client_id", thinned.alias("cuts")).filter(F.size("cuts") > 0)
-    cuts = found.collect()
-    return spark.createDataFrame(cuts, found.schema) if cuts else None
+    marks = rows.filter(F.col("client_id").isin(list(step))).groupBy("client_id").agg(F.transform(at, lambda x: x.cast("string")).alias("at"))
+    found = ((r["client_id"], list(dict.fromkeys(r["at"][step[r["client_id"]] - 1 :: step[r["client_id"]]]))) for r in marks.collect())
+    return [(client, cuts) for client, cuts in found if cuts]
+
+
+def cut_map(rows: DataFrame, cuts: list[tuple]) -> Column:
+    """The cuts by client, as a constant: joins by client would meet a frequent client's rows in one key."""
+    client, ts = (rows.schema[c].dataType.simpleString() for c in ("client_id", "ts"))
+    keys = F.array(*[F.lit(c).cast(client) for c, _ in cuts])
+    return F.map_from_arrays(keys, F.array(*[F.array(*map(F.lit, own)).cast(f"array<{ts}>") for _, own in cuts]))
 
 
 def place(cuts: Column, x: Column) -> Column:
     """How many of the sorted cuts are at or below x, by bisection."""
-    size = F.size(cuts)
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
 
-    def halve(at: Column, _: Column) -> Column:
-        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        below = (at["lo"] < at["hi"]) & (F.get(cuts, mid) <= x)
-        above = (at["lo"] < at["hi"]) & ~(F.get(cuts, mid) <= x)
-        return F.struct(F.when(below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(above, mid).otherwise(at["hi"]).alias("hi"))
+    def bisected(own: Column) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+            open_, below = at["lo"] < at["hi"], F.get(own, mid) <= x
+            return F.struct(F.when(open_ & below, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(open_ & ~below, mid).otherwise(at["hi"]).alias("hi"))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(own) + 1)).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi")), halve)["lo"]
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve)["lo"]
+    return F.transform(F.array(cuts), bisected)[0]  # bound as an element, so that the cuts are looked up once
 
 
 ORDER = ("ts", "click_id", "kind", "cents", "other")
@@ -82,16 +86,16 @@ def facts() -> Column:
     return F.struct(*ORDER)
 
 
-def sliced(rows: DataFrame, cuts: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+def sliced(rows: DataFrame, cuts: list[tuple]) -> tuple[DataFrame, DataFrame | None]:
     """rows with slice, the number of their client's slice; (client_id, slice, before, after): the last row before each slice and the first one after it."""
-    if cuts is None:
+    if not cuts:
         return rows.withColumn("slice", F.lit(0)), None
-    placed = rows.join(F.broadcast(cuts), "client_id", "left")  # fewer cuts than twice SLICES
-    placed = placed.withColumn("slice", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(place(F.col("cuts"), F.col("ts"))))
-    ends = placed.filter("cuts IS NOT NULL").groupBy("client_id", "slice").agg(F.min(facts()).alias("first"), F.max(facts()).alias("last"))
+    frequent = F.col("client_id").isin([client for client, _ in cuts])
+    placed = rows.withColumn("slice", F.when(frequent, place(cut_map(rows, cuts)[F.col("client_id")], F.col("ts"))).otherwise(0))
+    ends = placed.filter(frequent).groupBy("client_id", "slice").agg(F.min(facts()).alias("first"), F.max(facts()).alias("last"))
     by = Window.partitionBy("client_id").orderBy("slice")
     around = ends.select("client_id", "slice", F.lag("last").over(by).alias("before"), F.lead("first").over(by).alias("after"))
-    return placed.drop("cuts"), saved(around, "slice-ends")
+    return placed, saved(around, "slice-ends")
 
 
 def lettered(rows: DataFrame, around: DataFrame | None) -> DataFrame:
@@ -186,16 +190,16 @@ def row_pattern_matches(clicks: DataFrame) -> DataFrame:
     kept = pieces.select("client_id", "slice", "segment", F.when(apart, segment_matches(F.col("rows"))).alias("matches"), F.when(~apart, F.col("rows")).alias("rows"))
     kept = saved(kept.filter("rows IS NOT NULL OR size(matches) > 0"), "segments")
     found = kept.filter("rows IS NULL").select("client_id", F.explode("matches").alias("m"))
-    if cuts is not None:
+    if cuts:
         whole = joined_segments(kept.filter("rows IS NOT NULL").select("client_id", "slice", "segment", "rows"))
         found = found.unionByName(whole.select("client_id", F.explode(segment_matches(F.col("rows"))).alias("m")))
     found = found.select("client_id", "m.*")
     by = Window.partitionBy("client_id", "slice").orderBy("at")
     numbered = found.withColumn("place", F.row_number().over(by).cast("long"))
-    if cuts is None:
+    if not cuts:
         numbered = numbered.withColumn("match_no", F.col("place"))
     else:
-        per_slice = found.join(F.broadcast(cuts.select("client_id")), "client_id", "left_semi").groupBy("client_id", "slice").agg(F.count("*").alias("n"))
+        per_slice = found.filter(F.col("client_id").isin([client for client, _ in cuts])).groupBy("client_id", "slice").agg(F.count("*").alias("n"))
         earlier = F.sum("n").over(Window.partitionBy("client_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
         offsets = saved(per_slice.select("client_id", "slice", earlier.alias("earlier")), "match-counts")
         numbered = numbered.join(F.broadcast(offsets), ["client_id", "slice"], "left").withColumn("match_no", F.col("place") + F.coalesce("earlier", F.lit(0)))  # a row a slice

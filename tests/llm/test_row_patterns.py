@@ -88,8 +88,8 @@ def test_one_client_over_many_slices(spark):
     want = plain(rows)
     assert max(r[4] for r in want) > 100  # over several cuts
     assert got(spark, rows) == want
-    cuts = row_patterns.time_cuts(row_patterns.clean_rows(spark.createDataFrame(rows, SCHEMA))).first()["cuts"]
-    assert len(cuts) >= 10
+    ((client, cuts),) = row_patterns.time_cuts(row_patterns.clean_rows(spark.createDataFrame(rows, SCHEMA)))
+    assert client == 5 and len(cuts) >= 10
 
 
 def test_gap_is_exact_and_p_may_be_d(spark):

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.scoring import evidence_band, jaccard, severity
 
-BOOST = {"TOPIC": 0.6, "TEMPORAL": 0.8, "METHODOLOGY_TRANSFER": 0.7, "CITATION": 0.5, "INTERDISCIPLINARY": 0.9}
+#: How new a gap of each type is at best, and what the trend of its papers promises. Fixed values.
+BOOST = {"TOPIC": 0.6, "METHODOLOGY_TRANSFER": 0.8, "TEMPORAL_DORMANT": 0.7, "TEMPORAL_DECLINING": 0.5, "INTERDISCIPLINARY": 0.9}
 TREND = {"GROWING": 0.9, "STABLE": 0.6, "DECLINING": 0.4, "DORMANT": 0.7}
 
 
@@ -30,6 +31,8 @@ class Context:
     years: DataFrame
     edges: DataFrame
     as_of: int
+    #: (paper_id, venue, citations): a score of the paper's venue and its citations, where known.
+    quality: DataFrame | None = None
 
 
 def sizes(c: Context) -> DataFrame:
@@ -81,87 +84,117 @@ def entity_overlap(c: Context) -> DataFrame:
 
 
 def topic_gaps(c: Context, least_papers: int = 3, least_overlap: float = 0.05, most_density: float = 0.10) -> DataFrame:
-    """(gap_id, x, y, confidence): clusters with common entities and few links."""
+    """(gap_id, x, y, confidence, evidence): clusters with common entities and few links."""
     rows = entity_overlap(c).join(cross_edges(c), ["x", "y"], "left").withColumn("density", F.coalesce("links", F.lit(0)) / (F.col("papers_x") * F.col("papers_y")))
     rows = rows.filter((F.col("papers_x") >= least_papers) & (F.col("papers_y") >= least_papers) & (F.col("overlap") >= least_overlap) & (F.col("density") <= most_density) & (F.col("shared") > 0))
-    return rows.select(F.concat_ws(":", F.lit("TOPIC"), "x", "y").alias("gap_id"), "x", "y", F.least(F.lit(1.0), 2 * F.col("overlap") * (1 - F.col("density"))).alias("confidence"))
+    return rows.select(F.concat_ws(":", F.lit("TOPIC"), "x", "y").alias("gap_id"), "x", "y", F.least(F.lit(1.0), 2 * F.col("overlap") * (1 - F.col("density"))).alias("confidence"), F.col("overlap").alias("evidence"))
 
 
 def cluster_years(c: Context) -> DataFrame:
     return c.cluster.join(c.years, "paper_id").filter("year > 0").groupBy("cluster", "year").agg(F.count("*").alias("n"))
 
 
-def timelines(c: Context) -> DataFrame:
-    """(cluster, peak, peak_year, last_year, recent, total, trend): the earliest of equal peaks counts."""
+def trend_lines(counts: DataFrame, key: str, as_of: int) -> DataFrame:
+    """(key, peak, peak_year, last_year, recent, total, trend) from (key, year, n): the earliest of equal peaks counts."""
     peak = F.max(F.struct("n", (-F.col("year")).alias("minus")))
-    t = cluster_years(c).groupBy("cluster").agg(
-        peak["n"].alias("peak"), (-peak["minus"]).alias("peak_year"), F.max("year").alias("last_year"), (F.sum(F.when(F.col("year").between(c.as_of - 2, c.as_of), F.col("n")).otherwise(0)) / 3).alias("recent"), F.sum("n").alias("total")
+    t = counts.groupBy(key).agg(
+        peak["n"].alias("peak"), (-peak["minus"]).alias("peak_year"), F.max("year").alias("last_year"), (F.sum(F.when(F.col("year").between(as_of - 2, as_of), F.col("n")).otherwise(0)) / 3).alias("recent"), F.sum("n").alias("total")
     )
-    trend = F.when(F.lit(c.as_of) - F.col("last_year") >= 3, "DORMANT").when(F.col("recent") >= 0.8 * F.col("peak"), "GROWING").when(F.col("recent") >= 0.4 * F.col("peak"), "STABLE").otherwise("DECLINING")
+    trend = F.when(F.lit(as_of) - F.col("last_year") >= 3, "DORMANT").when(F.col("recent") >= 0.8 * F.col("peak"), "GROWING").when(F.col("recent") >= 0.4 * F.col("peak"), "STABLE").otherwise("DECLINING")
     return t.withColumn("trend", trend)
 
 
+def timelines(c: Context) -> DataFrame:
+    return trend_lines(cluster_years(c), "cluster", c.as_of)
+
+
 def temporal_gaps(c: Context, least_papers: int = 3, least_peak: int = 2) -> DataFrame:
     t = timelines(c).join(sizes(c), "cluster").filter((F.col("papers") >= least_papers) & (F.col("peak") >= least_peak))
     silent = F.lit(c.as_of) - F.col("last_year")
     ratio = F.col("recent") / F.col("peak")
     confidence = F.when(silent >= 3, F.least(F.lit(1.0), 0.5 + 0.1 * silent + 0.02 * F.col("papers"))).when(ratio < 0.5, F.least(F.lit(1.0), 0.3 + 0.5 * (1 - ratio) + 0.01 * F.col("papers")))
-    return t.select(F.concat_ws(":", F.lit("TEMPORAL"), "cluster").alias("gap_id"), "cluster", "trend", confidence.alias("confidence")).filter("confidence IS NOT NULL")
+    return t.select(F.concat_ws(":", F.lit("TEMPORAL"), "cluster").alias("gap_id"), "cluster", "trend", confidence.alias("confidence"), (silent >= 3).alias("dormant"), F.when(silent >= 3, 0.8).otherwise(0.7).alias("evidence")).filter("confidence IS NOT NULL")
 
 
 def method_transfer(c: Context, least_papers: int = 2, least_overlap: float = 0.03) -> DataFrame:
-    """(gap_id, method, source, target, confidence): methods of one cluster that another, alike, lacks."""
+    """(gap_id, method, source, target, confidence, evidence, papers): methods of one cluster that another, alike, lacks."""
     have = method_counts(c)
     o = entity_overlap(c).filter(F.col("overlap") >= least_overlap)
     ways = o.select(F.col("x").alias("source"), F.col("y").alias("target"), "overlap").union(o.select("y", "x", "overlap"))
     rows = have.filter(F.col("papers") >= least_papers).withColumnRenamed("cluster", "source").join(ways, "source")
     missing = rows.join(have.select(F.col("cluster").alias("target"), "method"), ["target", "method"], "left_anti")
-    return missing.select(F.concat_ws(":", F.lit("METHODOLOGY_TRANSFER"), "method", "target").alias("gap_id"), "method", "source", "target", F.least(F.lit(1.0), 3 * F.col("overlap") + F.col("papers") / 10).alias("confidence"))
+    return missing.select(F.concat_ws(":", F.lit("METHODOLOGY_TRANSFER"), "method", "target").alias("gap_id"), "method", "source", "target", F.least(F.lit(1.0), 3 * F.col("overlap") + F.col("papers") / 10).alias("confidence"), F.col("overlap").alias("evidence"), "papers")
 
 
 def interdisciplinary_gaps(c: Context, least_papers: int = 5, least_span: int = 2, least_similarity: float = 0.08, most_bridges: int = 2) -> DataFrame:
     span = cluster_years(c).groupBy("cluster").agg((F.max("year") - F.min("year")).alias("span"))
     rows = entity_overlap(c).join(span.toDF("x", "sx"), "x").join(span.toDF("y", "sy"), "y").join(bridge_papers(c), ["x", "y"], "left").withColumn("bridges", F.coalesce("bridges", F.lit(0)))
     rows = rows.filter((F.least("papers_x", "papers_y") >= least_papers) & (F.least("sx", "sy") >= least_span) & (F.col("overlap") >= least_similarity) & (F.col("bridges") <= most_bridges))
-    return rows.select(F.concat_ws(":", F.lit("INTERDISCIPLINARY"), "x", "y").alias("gap_id"), "x", "y", F.least(F.lit(1.0), 3 * F.col("overlap") + 0.3 / (F.col("bridges") + 1)).alias("confidence"))
+    return rows.select(F.concat_ws(":", F.lit("INTERDISCIPLINARY"), "x", "y").alias("gap_id"), "x", "y", F.least(F.lit(1.0), 3 * F.col("overlap") + 0.3 / (F.col("bridges") + 1)).alias("confidence"), F.col("overlap").alias("evidence"))
 
 
 def all_gaps(c: Context, least_papers: int = 5) -> DataFrame:
-    """(gap_id, gap_type, clusters, confidence) of the four analysers, the most confident of each id; none for a tiny library."""
+    """(gap_id, gap_type, clusters, confidence, evidence, supporting) of the four analysers, the most confident of each id; none for a tiny library.
+
+    evidence: how sure the gap's one piece of evidence is; supporting: its papers, null where these are all of the clusters.
+    """
     many = c.cluster.agg(F.count("*").alias("__n")).filter(F.col("__n") >= least_papers)
-    part = lambda df, kind, *columns: df.select("gap_id", F.lit(kind).alias("gap_type"), F.array(*columns).alias("clusters"), "confidence")
-    found = part(topic_gaps(c), "TOPIC", "x", "y").union(part(temporal_gaps(c), "TEMPORAL", "cluster")).union(part(method_transfer(c), "METHODOLOGY_TRANSFER", "source", "target")).union(part(interdisciplinary_gaps(c), "INTERDISCIPLINARY", "x", "y"))
+    every = F.lit(None).cast("long")
+    part = lambda df, kind, supporting, *columns: df.select("gap_id", kind.alias("gap_type"), F.array(*columns).alias("clusters"), "confidence", "evidence", supporting.alias("supporting"))
+    found = part(topic_gaps(c), F.lit("TOPIC"), every, "x", "y")
+    found = found.union(part(temporal_gaps(c), F.when(F.col("dormant"), "TEMPORAL_DORMANT").otherwise("TEMPORAL_DECLINING"), every, "cluster"))
+    found = found.union(part(method_transfer(c), F.lit("METHODOLOGY_TRANSFER"), F.col("papers"), "source", "target"))
+    found = found.union(part(interdisciplinary_gaps(c), F.lit("INTERDISCIPLINARY"), every, "x", "y"))
     best = F.row_number().over(Window.partitionBy("gap_id").orderBy(F.desc("confidence"), "clusters"))
     return found.withColumn("n", best).filter("n = 1").drop("n").crossJoin(F.broadcast(many)).drop("__n")  # one row or none
 
 
-def opportunity_score(kind: Column, confidence: Column, coverage: Column, papers: Column, venue: Column, trend: Column) -> Column:
-    """0..100 from novelty, evidence, trend and confidence; unknown trends and no papers have fixed values."""
+def opportunity_score(kind: Column, confidence: Column, coverage: Column, evidence: Column, supporting: Column, venue: Column, trend: Column) -> Column:
+    """0..100 from novelty, evidence, trend and confidence.
+
+    coverage: the share of the library that the gap affects, null for an empty library; evidence: the mean confidence of
+    its pieces of evidence, null without any; venue: the mean score of the affected papers' venues, null if unknown.
+    """
     from itertools import chain
 
     boost = F.create_map(*[F.lit(x) for x in chain(*BOOST.items())])
     trends = F.create_map(*[F.lit(x) for x in chain(*TREND.items())])
-    none = F.coalesce(papers, F.lit(0)) == 0
-    novelty = F.when(none, 0.5).otherwise(F.coalesce(boost[kind], F.lit(0.5)) * (1 - 0.5 * F.coalesce(coverage, F.lit(0.0))))
-    evidence = F.when(none, 0.3).otherwise(0.4 * confidence + 0.3 * F.least(F.lit(1.0), papers / 20) + 0.3 * F.coalesce(venue, F.lit(0.0)))
-    return F.least(F.lit(100.0), 100 * (0.35 * novelty + 0.25 * evidence + 0.20 * F.coalesce(trends[trend], F.lit(0.5)) + 0.20 * confidence))
+    novelty = F.when(coverage.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.coalesce(boost[kind], F.lit(0.5)) * (1 - 0.5 * coverage)))
+    support = F.when(evidence.isNull(), 0.3).otherwise(0.4 * evidence + 0.3 * F.least(F.lit(1.0), supporting / 20) + 0.3 * F.coalesce(venue, F.lit(0.5)))
+    return F.least(F.lit(100.0), 100 * (0.35 * novelty + 0.25 * support + 0.20 * F.coalesce(trends[trend], F.lit(0.5)) + 0.20 * confidence))
+
+
+def evidence_value(papers: Column, venues: Column, citations: Column) -> Column:
+    """0..1 from the sums of venue scores and citations of so many papers, of which some may be unknown; 0 without papers."""
+    return F.when(papers > 0, 0.4 * venues / papers + 0.3 * F.least(F.lit(1.0), F.log10(citations + 1.0) / 3) + 0.3 * F.least(F.lit(1.0), papers / 20)).otherwise(0.0)
+
+
+def cluster_quality(c: Context) -> DataFrame:
+    """(cluster, papers, venues, known, citations): sums over the cluster's papers; known: those whose venue has a score."""
+    rows = c.cluster.select("paper_id", "cluster").distinct()
+    rows = rows.join(c.quality, "paper_id", "left") if c.quality is not None else rows.withColumns({"venue": F.lit(None).cast("double"), "citations": F.lit(0)})
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return rows.groupBy("cluster").agg(F.count("*").alias("papers"), zero("venue").alias("venues"), F.count("venue").alias("known"), zero("citations").alias("citations"))
 
 
 def evaluated(c: Context, gaps: DataFrame, promote: float = 20) -> DataFrame:
     """gaps with affected papers, score, severity, evidence band and whether each is an opportunity.
 
-    Methodology-transfer gaps affect no papers, as the published behaviour has it.
+    Methodology-transfer gaps affect no papers, as the published behaviour has it. The trend is that of all papers of the
+    gap's clusters, of a transfer's source alone.
     """
-    n = sizes(c)
-    rows = gaps.select("gap_id", F.explode("clusters").alias("cluster")).join(n, "cluster").groupBy("gap_id").agg(F.sum("papers").alias("members"))
+    of = gaps.select("gap_id", "gap_type", F.posexplode("clusters").alias("place", "cluster"))
+    sums = of.filter("gap_type <> 'METHODOLOGY_TRANSFER'").join(cluster_quality(c), "cluster").groupBy("gap_id").agg(*[F.sum(x).alias(x) for x in ("papers", "venues", "known", "citations")])
+    years = of.filter("gap_type <> 'METHODOLOGY_TRANSFER' OR place = 0").join(cluster_years(c), "cluster").groupBy("gap_id", "year").agg(F.sum("n").alias("n"))
+    trend = trend_lines(years, "gap_id", c.as_of).select("gap_id", "trend")
     total = F.broadcast(c.cluster.agg(F.countDistinct("paper_id").alias("total")))  # one row
-    trend = timelines(c).select("cluster", "trend")
-    g = gaps.withColumn("cluster", F.get("clusters", F.lit(0))).join(rows, "gap_id", "left").join(trend, "cluster", "left").crossJoin(total)
-    papers = F.when(F.col("gap_type") == "METHODOLOGY_TRANSFER", 0).otherwise(F.coalesce("members", F.lit(0)))
-    g = g.withColumn("papers", papers).withColumn("coverage", F.col("papers") / F.col("total"))
-    score = opportunity_score(F.col("gap_type"), F.col("confidence"), F.col("coverage"), F.col("papers"), F.lit(0.5), F.col("trend"))
-    strength = 0.4 * F.col("confidence") + 0.3 * F.least(F.lit(1.0), F.col("papers") / 20) + 0.3 * F.when(F.col("papers") > 0, 0.5).otherwise(0.0)
-    g = g.withColumn("score", F.round(score, 6)).withColumn("strength", F.round(strength, 6))
+    g = gaps.join(sums, "gap_id", "left").join(trend, "gap_id", "left").crossJoin(total).fillna(0, ["papers", "venues", "known", "citations"])
+    venue = F.when(F.col("known") > 0, F.col("venues") / F.col("known"))
+    coverage = F.when(F.col("total") > 0, F.col("papers") / F.col("total"))
+    score = opportunity_score(F.col("gap_type"), F.col("confidence"), coverage, F.col("evidence"), F.coalesce("supporting", "papers"), venue, F.coalesce("trend", F.lit("DORMANT")))
+    strength = evidence_value(F.col("papers"), F.col("venues"), F.col("citations"))
+    nearest = lambda x: F.round(x + 1e-9, 6)  # noqa: E731  halves go up, whatever the last bit of the sum
+    g = g.withColumn("score", nearest(score)).withColumn("strength", nearest(strength))
     return g.select("gap_id", "gap_type", F.round("confidence", 6).alias("confidence"), F.col("papers").cast("long").alias("papers"), "score", severity(F.col("score")).alias("severity"), evidence_band(F.col("strength")).alias("evidence"), (F.col("score") >= promote).alias("is_opportunity"), F.when(F.col("papers") > 0, 1.0).otherwise(0.0).alias("readiness"))
 
 
@@ -189,7 +222,7 @@ def method_links(c: Context) -> DataFrame:
 def summary(kind: Column, clusters: Column, confidence: Column) -> Column:
     """One sentence on a gap."""
     where = F.array_join(clusters, " and ")
-    say = {"TOPIC": "Few links join %s", "TEMPORAL": "Work on %s has slowed", "METHODOLOGY_TRANSFER": "A method may move between %s", "INTERDISCIPLINARY": "Little bridges %s"}
+    say = {"TOPIC": "Few links join %s", "TEMPORAL_DORMANT": "Work on %s has stopped", "TEMPORAL_DECLINING": "Work on %s has slowed", "METHODOLOGY_TRANSFER": "A method may move between %s", "INTERDISCIPLINARY": "Little bridges %s"}
     text = F.lit("Unexplored: %s")
     for k, v in say.items():
         text = F.when(kind == k, v).otherwise(text)

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium import config
+from scriptorium.functions.text import sentences as split
+from scriptorium.functions.text import token_array
 from scriptorium.storage import discard, saved
 
 #: What a type of edge says.
@@ -192,48 +195,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def edge_betweenness(edges: DataFrame, sources_at_once: int = 32) -> DataFrame:
-    """(src, dst, betweenness) by Brandes' accumulation, unweighted and halved.
-
-    Sources are dealt over tasks; the adjacency of a component, which the algorithm needs whole, is sent to the tasks
-    of its own sources only. Components must fit in a task's memory.
-    """
-    inside = both_ways(edges).distinct()
-    member = components(edges)
-    adjacency = inside.join(member, F.col("a") == F.col("id")).select("component", "a", "b")
-    parts = F.ceil(F.count("*") / sources_at_once).cast("int")
-    deal = member.groupBy("component").agg(parts.alias("parts"))
-    sources = member.join(deal, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).select("component", "part", "id")
-    graphs = adjacency.join(deal, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("component").alias("c"), F.col("part").alias("p"), "a", "b")
-
-    def run(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(graph["a"].tolist(), graph["b"].tolist(), strict=True):
-            near.setdefault(a, []).append(b)
-        total: dict[tuple[int, int], float] = {}
-        for s in own["id"].tolist():
-            order, depth, paths, before = [s], {s: 0}, {s: 1.0}, {s: []}
-            for v in order:
-                for w in near[v]:
-                    if w not in depth:
-                        depth[w], paths[w], before[w] = depth[v] + 1, 0.0, []
-                        order.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        before[w].append(v)
-            passed = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    c = paths[v] / paths[w] * (1 + passed[w])
-                    passed[v] += c
-                    edge = (min(v, w), max(v, w))
-                    total[edge] = total.get(edge, 0.0) + c
-        return pd.DataFrame([(a, b, x / 2) for (a, b), x in total.items()], columns=["src", "dst", "part_sum"]).astype({"src": "int64", "dst": "int64", "part_sum": "float64"})
-
-    done = sources.groupBy("component", "part").cogroup(graphs.groupBy("c", "p")).applyInPandas(run, "src long, dst long, part_sum double")
-    return done.groupBy("src", "dst").agg(F.sum("part_sum").alias("betweenness"))
-
-
 def bridge_edges_by_rank(betweenness: DataFrame) -> DataFrame:
     """Edges at or above the value in place max(1, m/10) of the descending list."""
     m = betweenness.count()
@@ -244,39 +205,6 @@ def bridge_edges_by_rank(betweenness: DataFrame) -> DataFrame:
     return betweenness.crossJoin(F.broadcast(limit)).filter(F.col("betweenness") >= F.col("limit")).drop("limit")  # one row
 
 
-def true_bridges(edges: DataFrame) -> DataFrame:
-    """(src, dst) of edges whose removal parts a component: an iterative low-link search in each component."""
-    inside = both_ways(edges).filter("a <> b").distinct()
-    grouped = inside.join(components(edges), F.col("a") == F.col("id")).select("component", "a", "b")
-
-    def run(graph: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(graph["a"].tolist(), graph["b"].tolist(), strict=True):
-            near.setdefault(a, []).append(b)
-        seen, low, found = {}, {}, []
-        root = min(near)
-        seen[root] = low[root] = 0
-        stack = [(root, None, iter(near[root]))]
-        while stack:
-            v, parent, rest = stack[-1]
-            for w in rest:
-                if w not in seen:
-                    seen[w] = low[w] = len(seen)
-                    stack.append((w, v, iter(near[w])))
-                    break
-                if w != parent:
-                    low[v] = min(low[v], seen[w])
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[v])
-                    if low[v] > seen[parent]:
-                        found.append((min(v, parent), max(v, parent)))
-        return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
-
-    return grouped.groupBy("component").applyInPandas(run, "src long, dst long")
-
-
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(both_ways(edges).select(F.col("a").alias("id")), "id", "left_anti")
 
@@ -313,42 +241,48 @@ def bridge_authors(pairs: DataFrame, community: DataFrame) -> DataFrame:
     return seen.filter("communities >= 2")
 
 
-def textrank(docs: DataFrame, sentences: int = 3, rounds: int = 30, damping: float = 0.85) -> DataFrame:
-    """(id, summary): the best sentences of each text in their order; each text is ranked on its own.
+def sentence_ranks(words: list[list[str]], rounds: int = 30, damping: float = 0.85, enough: float = 1e-4) -> np.ndarray:
+    """The rank of each sentence by its words: PageRank over the cosines of the sentences' TF-IDF vectors.
 
-    The matrix of a text's sentences is kept sparse as an incidence of sentences and words, so that memory grows with
-    the text and not with its square.
+    The matrix of cosines is kept as the incidence of sentences and words, so that memory grows with the text and not
+    with the square of its sentences.
     """
-    from scriptorium.functions.text import sentences as split
+    n, at = len(words), {}
+    cells = [i * (1 << 32) + at.setdefault(w, len(at)) for i, own in enumerate(words) for w in own]
+    cell, count = np.unique(np.array(cells, np.int64), return_counts=True)
+    row, col = cell >> 32, cell & (1 << 32) - 1
+    df = np.bincount(col, minlength=len(at))
+    value = count * np.maximum(config.IDF_FLOOR, np.log(n / (1.0 + df)))[col]
+    norm = np.sqrt(np.bincount(row, value * value, n))
+    value = value / norm[row]
+    own = (norm > 0).astype(float)  # what a sentence has in common with itself, which doesn't count
+    times = lambda x: np.bincount(row, value * np.bincount(col, value * x[row], len(at))[col], n) - own * x
+    total = np.maximum(times(np.ones(n)), 0)
+    total[total < 1e-12] = 0
+    rank = np.full(n, 1 / n)
+    for _ in range(rounds):
+        new = (1 - damping) / n + damping * times(np.divide(rank, total, out=np.zeros(n), where=total > 0))
+        done = np.abs(new - rank).sum() < enough
+        rank = new
+        if done:
+            break
+    return rank
+
 
+def textrank(docs: DataFrame, sentences: int = 3) -> DataFrame:
+    """(id, summary): the best sentences of each text in their order, equal ranks by place; each text is ranked on its own."""
     rows = docs.select("id", split(F.col("text")).alias("s"))
+    rows = rows.select("id", "s", F.when(F.size("s") > sentences, F.transform("s", token_array)).alias("w"))
 
-    def one(parts: list[str]) -> str:
-        if len(parts) <= sentences:
+    def one(parts, words) -> str:
+        if words is None:
             return " ".join(parts)
-        at: dict[str, int] = {}
-        cells = [(i, at.setdefault(w, len(at))) for i, p in enumerate(parts) for w in p.lower().split()]
-        row, col = (np.array(x) for x in zip(*cells, strict=True))
-        tf = np.ones(len(row))
-        idf = np.log(1 + len(parts) / (1 + np.bincount(np.unique(np.c_[col, row], axis=0)[:, 0], minlength=len(at))))
-        value = tf * idf[col]
-        norm = np.sqrt(np.bincount(row, value * value, len(parts)))
-        value = value / np.where(norm > 0, norm, 1)[row]
-        own = np.bincount(row, value * value, len(parts))
-        times = lambda x: np.bincount(row, value * np.bincount(col, value * x[row], len(at))[col], len(parts)) - own * x
-        total = times(np.ones(len(parts)))
-        rank = np.full(len(parts), 1 / len(parts))
-        for _ in range(rounds):
-            new = (1 - damping) / len(parts) + damping * times(np.divide(rank, total, out=np.zeros_like(rank), where=total > 0))
-            done = np.abs(new - rank).sum() < 1e-4
-            rank = new
-            if done:
-                break
-        best = sorted(np.lexsort((np.arange(len(parts)), -np.round(rank, 9)))[:sentences])
+        rank = sentence_ranks([list(w) for w in words])
+        best = sorted(np.lexsort((np.arange(len(rank)), -np.round(rank, 9)))[:sentences])
         return " ".join(parts[i] for i in best)
 
     def batches(it):
         for b in it:
-            yield pd.DataFrame({"id": b["id"], "summary": [one(list(s)) for s in b["s"]]})
+            yield pd.DataFrame({"id": b["id"], "summary": [one(s, w) for s, w in zip(b["s"], b["w"], strict=True)]})
 
     return rows.filter("s[0] IS NOT NULL").mapInPandas(batches, "id long, summary string")

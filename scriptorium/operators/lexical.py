@@ -58,15 +58,20 @@ def idf(df, n):
     return F.greatest(F.lit(config.IDF_FLOOR), F.log(n / (1 + df)))
 
 
-def tfidf_vectors(words: DataFrame) -> DataFrame:
-    """(id, term, weight)."""
+def weighted_terms(words: DataFrame) -> DataFrame:
+    """(id, term, weight, df)."""
     n = corpus_size(words).select("n")
     return _weights(term_counts(words), document_frequency(words), n)
 
 
+def tfidf_vectors(words: DataFrame) -> DataFrame:
+    """(id, term, weight)."""
+    return weighted_terms(words).drop("df")
+
+
 def _weights(counts: DataFrame, dfs: DataFrame, n: DataFrame) -> DataFrame:
     dfs = dfs.crossJoin(F.broadcast(n.withColumnRenamed("n", "corpus")))  # one row
-    return counts.join(dfs, "term").select("id", "term", (F.col("n") / F.col("length") * idf(F.col("df"), F.col("corpus"))).alias("weight"))
+    return counts.join(dfs, "term").select("id", "term", (F.col("n") / F.col("length") * idf(F.col("df"), F.col("corpus"))).alias("weight"), "df")
 
 
 def query_weights(queries: DataFrame, dfs: DataFrame, n: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ AS_OF = views.AS_OF_ORDERS
 
 
 def context(spark, d) -> gaps.Context:
-    """Orders as papers: clusters by segment and nation, methods by brand and size, tasks by type, links by number."""
+    """Orders as papers: clusters by segment and nation, methods by brand and size, tasks by type, links by number; venues and citations are the documents'."""
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     of = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("paper_id"), F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("cluster"))
     lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -24,7 +24,8 @@ def context(spark, d) -> gaps.Context:
     both = F.array(one("METHOD", F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))), one("TASK", F.col("p_type")))
     entities = lines.select(F.col("l_orderkey").alias("paper_id"), F.explode(both).alias("e")).select("paper_id", F.col("e.t").alias("entity_type"), F.col("e.v").alias("entity_value")).distinct()
     links = orders.filter("o_orderkey <> o_custkey").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
-    return gaps.Context(of, entities, views.paper_year(spark, d), links, AS_OF)
+    papers = views.papers(spark, d).select(F.col("id").alias("paper_id"), scoring.venue_quality(F.col("venue"), views.VENUES).alias("venue"), F.col("citation_count").cast("long").alias("citations"))
+    return gaps.Context(of, entities, views.paper_year(spark, d), links, AS_OF, papers)
 
 
 TABLES["g_cluster"] = "SELECT o_orderkey AS paper_id, concat(c_mktsegment, '-', c_nationkey) AS cluster FROM orders JOIN customer ON o_custkey = c_custkey"
@@ -40,25 +41,33 @@ TABLES["g_shared"] = "SELECT p.cluster AS x, q.cluster AS y, count(*) AS shared
 TABLES["g_total"] = "SELECT cluster, count(*) AS n FROM g_of GROUP BY cluster"
 TABLES["g_overlap"] = """SELECT p.cluster AS x, q.cluster AS y, p.papers AS papers_x, q.papers AS papers_y, coalesce(shared, 0) AS shared, CASE WHEN coalesce(a.n, 0) + coalesce(b.n, 0) = 0 THEN 0.0 ELSE coalesce(shared, 0) / (coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(shared, 0)) END AS overlap
   FROM g_size p JOIN g_size q ON p.cluster < q.cluster LEFT JOIN g_shared s ON s.x = p.cluster AND s.y = q.cluster LEFT JOIN g_total a ON a.cluster = p.cluster LEFT JOIN g_total b ON b.cluster = q.cluster"""
-TABLES["g_topic"] = """SELECT concat('TOPIC:', x, ':', y) AS gap_id, x, y, least(1.0, 2 * overlap * (1 - density)) AS confidence FROM (SELECT o.*, coalesce(links, 0) / (papers_x * papers_y) AS density FROM g_overlap o LEFT JOIN g_cross c ON c.x = o.x AND c.y = o.y)
+TABLES["g_topic"] = """SELECT concat('TOPIC:', x, ':', y) AS gap_id, x, y, least(1.0, 2 * overlap * (1 - density)) AS confidence, overlap AS evidence FROM (SELECT o.*, coalesce(links, 0) / (papers_x * papers_y) AS density FROM g_overlap o LEFT JOIN g_cross c ON c.x = o.x AND c.y = o.y)
   WHERE papers_x >= 3 AND papers_y >= 3 AND overlap >= 0.05 AND density <= 0.10 AND shared > 0"""
 TABLES["g_years"] = "SELECT cluster, year, count(*) AS n FROM g_cluster JOIN paper_year USING (paper_id) WHERE year > 0 GROUP BY 1, 2"
 TABLES["g_line"] = f"""SELECT cluster, peak, peak_year, last_year, recent, total, CASE WHEN {AS_OF} - last_year >= 3 THEN 'DORMANT' WHEN recent >= 0.8 * peak THEN 'GROWING' WHEN recent >= 0.4 * peak THEN 'STABLE' ELSE 'DECLINING' END AS trend FROM (
   SELECT cluster, max(n) AS peak, arg_min(year, (-n, year)) AS peak_year, max(year) AS last_year, sum(CASE WHEN year BETWEEN {AS_OF - 2} AND {AS_OF} THEN n ELSE 0 END) / 3.0 AS recent, sum(n) AS total FROM g_years GROUP BY cluster)"""
-TABLES["g_temporal"] = f"""SELECT concat('TEMPORAL:', cluster) AS gap_id, cluster, trend, CASE WHEN {AS_OF} - last_year >= 3 THEN least(1.0, 0.5 + 0.1 * ({AS_OF} - last_year) + 0.02 * papers) WHEN recent / peak < 0.5 THEN least(1.0, 0.3 + 0.5 * (1 - recent / peak) + 0.01 * papers) END AS confidence
+TABLES["g_temporal"] = f"""SELECT concat('TEMPORAL:', cluster) AS gap_id, cluster, trend, CASE WHEN {AS_OF} - last_year >= 3 THEN least(1.0, 0.5 + 0.1 * ({AS_OF} - last_year) + 0.02 * papers) WHEN recent / peak < 0.5 THEN least(1.0, 0.3 + 0.5 * (1 - recent / peak) + 0.01 * papers) END AS confidence, {AS_OF} - last_year >= 3 AS dormant
   FROM g_line JOIN g_size USING (cluster) WHERE papers >= 3 AND peak >= 2"""
-TABLES["g_transfer"] = """SELECT concat('METHODOLOGY_TRANSFER:', method, ':', target) AS gap_id, method, source, target, least(1.0, 3 * overlap + papers / 10) AS confidence FROM (SELECT m.method, m.cluster AS source, target, overlap, papers FROM g_method m
+TABLES["g_transfer"] = """SELECT concat('METHODOLOGY_TRANSFER:', method, ':', target) AS gap_id, method, source, target, least(1.0, 3 * overlap + papers / 10) AS confidence, overlap AS evidence, papers FROM (SELECT m.method, m.cluster AS source, target, overlap, papers FROM g_method m
   JOIN (SELECT x AS source, y AS target, overlap FROM g_overlap UNION ALL SELECT y, x, overlap FROM g_overlap) w ON w.source = m.cluster WHERE papers >= 2 AND overlap >= 0.03 AND NOT EXISTS (SELECT 1 FROM g_method t WHERE t.cluster = target AND t.method = m.method))"""
-TABLES["g_inter"] = """SELECT concat('INTERDISCIPLINARY:', o.x, ':', o.y) AS gap_id, o.x, o.y, least(1.0, 3 * overlap + 0.3 / (coalesce(bridges, 0) + 1)) AS confidence FROM g_overlap o JOIN (SELECT cluster, max(year) - min(year) AS span FROM g_years GROUP BY 1) p ON p.cluster = o.x JOIN (SELECT cluster, max(year) - min(year) AS span FROM g_years GROUP BY 1) q ON q.cluster = o.y
+TABLES["g_inter"] = """SELECT concat('INTERDISCIPLINARY:', o.x, ':', o.y) AS gap_id, o.x, o.y, least(1.0, 3 * overlap + 0.3 / (coalesce(bridges, 0) + 1)) AS confidence, overlap AS evidence FROM g_overlap o JOIN (SELECT cluster, max(year) - min(year) AS span FROM g_years GROUP BY 1) p ON p.cluster = o.x JOIN (SELECT cluster, max(year) - min(year) AS span FROM g_years GROUP BY 1) q ON q.cluster = o.y
   LEFT JOIN g_bridge b ON b.x = o.x AND b.y = o.y WHERE least(papers_x, papers_y) >= 5 AND least(p.span, q.span) >= 2 AND overlap >= 0.08 AND coalesce(bridges, 0) <= 2"""
-TABLES["g_all"] = """SELECT gap_id, gap_type, clusters, confidence FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY confidence DESC, clusters) AS n FROM (SELECT gap_id, 'TOPIC' AS gap_type, [x, y] AS clusters, confidence FROM g_topic
-  UNION ALL SELECT gap_id, 'TEMPORAL', [cluster], confidence FROM g_temporal WHERE confidence IS NOT NULL UNION ALL SELECT gap_id, 'METHODOLOGY_TRANSFER', [source, target], confidence FROM g_transfer UNION ALL SELECT gap_id, 'INTERDISCIPLINARY', [x, y], confidence FROM g_inter)) WHERE n = 1"""
+TABLES["g_all"] = """SELECT gap_id, gap_type, clusters, confidence, evidence, supporting FROM (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY confidence DESC, clusters) AS n FROM (
+  SELECT gap_id, 'TOPIC' AS gap_type, [x, y] AS clusters, confidence, evidence, NULL AS supporting FROM g_topic
+  UNION ALL SELECT gap_id, CASE WHEN dormant THEN 'TEMPORAL_DORMANT' ELSE 'TEMPORAL_DECLINING' END, [cluster], confidence, CASE WHEN dormant THEN 0.8 ELSE 0.7 END, NULL FROM g_temporal WHERE confidence IS NOT NULL
+  UNION ALL SELECT gap_id, 'METHODOLOGY_TRANSFER', [source, target], confidence, evidence, papers FROM g_transfer UNION ALL SELECT gap_id, 'INTERDISCIPLINARY', [x, y], confidence, evidence, NULL FROM g_inter)) WHERE n = 1"""
+TABLES["g_quality"] = "SELECT cluster, count(*) AS papers, coalesce(sum(quality), 0) AS venues, count(quality) AS known, coalesce(sum(citation_count), 0) AS citations FROM (SELECT DISTINCT paper_id, cluster FROM g_cluster) LEFT JOIN (SELECT v.id AS paper_id, quality, citation_count FROM venue_scores v JOIN papers p ON p.id = v.id) USING (paper_id) GROUP BY cluster"
+TABLES["g_affects"] = "SELECT gap_id, CAST(sum(papers) AS DOUBLE) AS papers, sum(venues) AS venues, sum(known) AS known, CAST(sum(citations) AS DOUBLE) AS citations FROM (SELECT gap_id, unnest(clusters) AS cluster FROM g_all WHERE gap_type <> 'METHODOLOGY_TRANSFER') JOIN g_quality USING (cluster) GROUP BY gap_id"
+TABLES["g_gap_years"] = "SELECT gap_id, year, sum(n) AS n FROM (SELECT gap_id, unnest(CASE WHEN gap_type = 'METHODOLOGY_TRANSFER' THEN clusters[1:1] ELSE clusters END) AS cluster FROM g_all) JOIN g_years USING (cluster) GROUP BY gap_id, year"
+TABLES["g_trend"] = f"""SELECT gap_id, CASE WHEN {AS_OF} - last_year >= 3 THEN 'DORMANT' WHEN recent >= 0.8 * peak THEN 'GROWING' WHEN recent >= 0.4 * peak THEN 'STABLE' ELSE 'DECLINING' END AS trend FROM (
+  SELECT gap_id, max(n) AS peak, max(year) AS last_year, sum(CASE WHEN year BETWEEN {AS_OF - 2} AND {AS_OF} THEN n ELSE 0 END) / 3.0 AS recent FROM g_gap_years GROUP BY gap_id)"""
+EVIDENCE = "CASE WHEN papers > 0 THEN 0.4 * venues / papers + 0.3 * least(1.0, log10(citations + 1.0) / 3) + 0.3 * least(1.0, papers / 20) ELSE 0.0 END"
 BOOST = "CASE gap_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in gaps.BOOST.items()) + " ELSE 0.5 END"
 TREND = "CASE trend " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in gaps.TREND.items()) + " ELSE 0.5 END"
-SCORE = f"least(100.0, 100 * (0.35 * CASE WHEN papers = 0 THEN 0.5 ELSE {BOOST} * (1 - 0.5 * coverage) END + 0.25 * CASE WHEN papers = 0 THEN 0.3 ELSE 0.4 * confidence + 0.3 * least(1.0, papers / 20) + 0.3 * venue END + 0.20 * {TREND} + 0.20 * confidence))"
-TABLES["g_scored"] = f"""SELECT gap_id, gap_type, clusters, confidence, papers, round({SCORE}, 6) AS score, round(0.4 * confidence + 0.3 * least(1.0, papers / 20) + 0.3 * CASE WHEN papers > 0 THEN 0.5 ELSE 0.0 END, 6) AS strength FROM (
-  SELECT g.gap_id, gap_type, clusters, confidence, 0.5 AS venue, trend, CASE WHEN gap_type = 'METHODOLOGY_TRANSFER' THEN 0 ELSE coalesce(members, 0) END AS papers, CASE WHEN gap_type = 'METHODOLOGY_TRANSFER' THEN 0 ELSE coalesce(members, 0) END / (SELECT count(DISTINCT paper_id) FROM g_cluster) AS coverage
-  FROM g_all g LEFT JOIN (SELECT gap_id, sum(papers) AS members FROM (SELECT gap_id, unnest(clusters) AS cluster FROM g_all) JOIN g_size USING (cluster) GROUP BY gap_id) m ON m.gap_id = g.gap_id LEFT JOIN g_line l ON l.cluster = clusters[1])"""
+SCORE = f"least(100.0, 100 * (0.35 * CASE WHEN coverage IS NULL THEN 0.5 ELSE least(1.0, {BOOST} * (1 - 0.5 * coverage)) END + 0.25 * CASE WHEN evidence IS NULL THEN 0.3 ELSE 0.4 * evidence + 0.3 * least(1.0, supporting / 20) + 0.3 * coalesce(venue, 0.5) END + 0.20 * {TREND} + 0.20 * confidence))"
+TABLES["g_scored"] = f"""SELECT gap_id, gap_type, clusters, confidence, papers, round({SCORE} + 1e-9, 6) AS score, round({EVIDENCE} + 1e-9, 6) AS strength FROM (
+  SELECT g.gap_id, gap_type, clusters, confidence, evidence, coalesce(papers, 0) AS papers, coalesce(venues, 0) AS venues, coalesce(citations, 0) AS citations, coalesce(supporting, papers, 0) AS supporting, CASE WHEN known > 0 THEN venues / known END AS venue, coalesce(trend, 'DORMANT') AS trend,
+    coalesce(papers, 0) / (SELECT count(DISTINCT paper_id) FROM g_cluster) AS coverage FROM g_all g LEFT JOIN g_affects a ON a.gap_id = g.gap_id LEFT JOIN g_trend t ON t.gap_id = g.gap_id)"""
 
 
 @query("cluster_year", "SELECT cluster, year, n FROM g_years")
@@ -155,12 +164,12 @@ def gap_filter(spark, d):
     return scored(spark, d).filter(F.col("is_opportunity") & (F.col("gap_type") == "TOPIC")).select("gap_id", "score")
 
 
-@query("gap_type_counts", "SELECT k AS gap_type, (SELECT count(*) FROM g_all WHERE gap_type = k) AS n FROM (SELECT unnest(['TOPIC', 'TEMPORAL', 'METHODOLOGY_TRANSFER', 'CITATION', 'INTERDISCIPLINARY']) AS k)")
+@query("gap_type_counts", f"SELECT k AS gap_type, (SELECT count(*) FROM g_all WHERE gap_type = k) AS n FROM (SELECT unnest({list(gaps.BOOST)}) AS k)")
 def gap_type_counts(spark, d):
     return gaps.type_counts(gaps.all_gaps(context(spark, d)))
 
 
-@query("gap_summary", """SELECT gap_id, concat(replace(CASE gap_type WHEN 'TOPIC' THEN 'Few links join %s' WHEN 'TEMPORAL' THEN 'Work on %s has slowed' WHEN 'METHODOLOGY_TRANSFER' THEN 'A method may move between %s' WHEN 'INTERDISCIPLINARY' THEN 'Little bridges %s' ELSE 'Unexplored: %s' END, '%s', array_to_string(clusters, ' and ')), ' (confidence ', CAST(round(round(confidence, 6) * 100) AS BIGINT), '%).') AS summary FROM g_all WHERE gap_type <> 'METHODOLOGY_TRANSFER'""")
+@query("gap_summary", """SELECT gap_id, concat(replace(CASE gap_type WHEN 'TOPIC' THEN 'Few links join %s' WHEN 'TEMPORAL_DORMANT' THEN 'Work on %s has stopped' WHEN 'TEMPORAL_DECLINING' THEN 'Work on %s has slowed' WHEN 'METHODOLOGY_TRANSFER' THEN 'A method may move between %s' WHEN 'INTERDISCIPLINARY' THEN 'Little bridges %s' ELSE 'Unexplored: %s' END, '%s', array_to_string(clusters, ' and ')), ' (confidence ', CAST(round(round(confidence, 6) * 100) AS BIGINT), '%).') AS summary FROM g_all WHERE gap_type <> 'METHODOLOGY_TRANSFER'""")
 def gap_summary(spark, d):
     g = gaps.all_gaps(context(spark, d)).filter(F.col("gap_type") != "METHODOLOGY_TRANSFER")
     return g.select("gap_id", gaps.summary(F.col("gap_type"), F.col("clusters"), r6("confidence")).alias("summary"))
@@ -172,20 +181,21 @@ def method_links(spark, d):
     return gaps.method_links(context(spark, d)).orderBy("a", "b").limit(20)
 
 
-@query("opportunity_score", f"SELECT event_id, CAST(round({SCORE}, 6) AS DOUBLE) AS score FROM (SELECT event_id, (['TOPIC', 'TEMPORAL', 'CITATION', 'INTERDISCIPLINARY'])[CAST(event_id % 4 + 1 AS INT)] AS gap_type, event_id % 100 / 100.0 AS confidence, event_id % 10 / 10.0 AS coverage, event_id % 25 AS papers, event_id % 7 / 7.0 AS venue, (['GROWING', 'STABLE', 'DECLINING', 'DORMANT', NULL])[CAST(event_id % 5 + 1 AS INT)] AS trend FROM events)")
+@query("opportunity_score", f"SELECT event_id, CAST(round({SCORE}, 6) AS DOUBLE) AS score FROM (SELECT event_id, ({list(gaps.BOOST)})[CAST(event_id % 5 + 1 AS INT)] AS gap_type, event_id % 100 / 100.0 AS confidence, CASE WHEN event_id % 10 <> 9 THEN event_id % 10 / 10.0 END AS coverage, CASE WHEN event_id % 6 <> 5 THEN event_id % 6 / 6.0 END AS evidence, event_id % 25 AS supporting, CASE WHEN event_id % 7 <> 6 THEN event_id % 7 / 7.0 END AS venue, (['GROWING', 'STABLE', 'DECLINING', 'DORMANT', NULL])[CAST(event_id % 5 + 1 AS INT)] AS trend FROM events)")
 def opportunity_score(spark, d):
+    """The formula over all its cases, made from events."""
     i = F.col("event_id")
     pick = lambda options, n: F.element_at(F.array(*[F.lit(o).cast("string") for o in options]), (i % n + 1).cast("int"))
-    s = gaps.opportunity_score(pick(("TOPIC", "TEMPORAL", "CITATION", "INTERDISCIPLINARY"), 4), i % 100 / 100.0, i % 10 / 10.0, i % 25, i % 7 / 7.0, pick(("GROWING", "STABLE", "DECLINING", "DORMANT", None), 5))
+    some = lambda n: F.when(i % n != n - 1, i % n / float(n))
+    s = gaps.opportunity_score(pick(gaps.BOOST, 5), i % 100 / 100.0, some(10), some(6), i % 25, some(7), pick(("GROWING", "STABLE", "DECLINING", "DORMANT", None), 5))
     return table(spark, d, "events").select("event_id", r6(s).alias("score"))
 
 
-@query("evidence_strength", "SELECT cluster, CASE WHEN e >= 0.7 THEN 'HIGH' WHEN e >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS evidence, CAST(e AS DOUBLE) AS value FROM (SELECT cluster, round(0.4 * 0.8 + 0.3 * least(1.0, count(*) / 20) + 0.3 * avg(ln(1 + o_totalprice) / 20), 6) AS e FROM g_cluster JOIN orders ON o_orderkey = paper_id GROUP BY cluster)")
+@query("evidence_strength", f"SELECT cluster, CASE WHEN e >= 0.7 THEN 'HIGH' WHEN e >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS evidence, CAST(e AS DOUBLE) AS value FROM (SELECT cluster, round({EVIDENCE}, 6) AS e FROM g_quality)")
 def evidence_strength(spark, d):
-    c = context(spark, d)
-    price = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), "o_totalprice")
-    e = r6(F.lit(0.4 * 0.8) + 0.3 * F.least(F.lit(1.0), F.count("*") / 20) + 0.3 * F.avg(F.log(1 + F.col("o_totalprice")) / 20))
-    rows = c.cluster.join(price, "paper_id").groupBy("cluster").agg(e.alias("value"))
+    """Of each cluster's papers, by venues and citations."""
+    e = r6(gaps.evidence_value(F.col("papers"), F.col("venues"), F.col("citations")))
+    rows = gaps.cluster_quality(context(spark, d)).select("cluster", e.alias("value"))
     return rows.select("cluster", scoring.evidence_band(F.col("value")).alias("evidence"), "value")
 
 

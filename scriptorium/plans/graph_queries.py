@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from scriptorium import config
 from scriptorium.functions import scoring, text, vectors
-from scriptorium.operators import cluster, graph, lexical, relations
+from scriptorium.operators import cluster, frontiers, graph, lexical, relations, signals
 from scriptorium.operators import vectors as joins
 from scriptorium.plans import adapters as views
 from scriptorium.plans.registry import TABLES, query
-from scriptorium.storage import spread, table
+from scriptorium.storage import saved, spread, table
 
 r6 = lambda c: F.round(c, 6)
 DIRECTED = ", ".join(f"'{t}'" for t in graph.DIRECTED)
@@ -109,19 +109,31 @@ def hybrid_similarity(spark, d):
     return pairs.select("a", "b", r6(relations.hybrid_similarity({"embedding": F.col("similarity"), **own})).alias("hybrid"), r6(relations.hybrid_similarity(own)).alias("lexical"), r6(relations.edge_hybrid(F.col("similarity"), own["citation"], own["keyword"])).alias("edge"))
 
 
-TABLES["hybrid_edges"] = f"SELECT a, b, round(0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']}, 6) AS weight FROM cosines WHERE 0.75 * similarity + 0.15 * {JACCARD['method']} + 0.10 * {JACCARD['task']} >= 0.08"
+TABLES["author_sets"] = "SELECT paper_id, list_distinct(list(lower(name))) AS names FROM paper_authors JOIN authors ON author_id = id GROUP BY paper_id"
+TABLES["tag_sets"] = "SELECT paper_id, list_distinct(list(lower(name))) AS names FROM paper_tags JOIN tags ON tag_id = id GROUP BY paper_id"
+SHARED_SQL = " + ".join(f"{w} * CASE WHEN len({x}) + len({y}) > 0 THEN {jaccard_sql(x, y)} ELSE 0 END" for w, (x, y) in zip(signals.WEIGHTS[1:], ((f"coalesce(x{s}.names, [])", f"coalesce(y{s}.names, [])") for s in "at"), strict=True))
+SETS_SQL = " ".join(f"LEFT JOIN {t}_sets {side}{t[0]} ON {side}{t[0]}.paper_id = {c}" for t in ("author", "tag") for side, c in (("x", "a"), ("y", "b")))
+TABLES["hybrid_edges"] = f"""SELECT a, b, round(weight, 6) AS weight FROM (SELECT a, b, {signals.WEIGHTS[0]} * CASE WHEN similarity <= 0.4 THEN 0 ELSE pow((similarity - 0.4) / 0.6, 2) END + {SHARED_SQL} AS weight
+  FROM cosines {SETS_SQL}) WHERE weight >= {signals.EDGE_LEAST}"""
+TABLES["units"] = "SELECT id, term, weight / norm AS u FROM weights JOIN (SELECT id, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY id) USING (id) WHERE norm > 0"
+TABLES["lexical_pairs"] = "SELECT x.id AS a, y.id AS b, sum(x.u * y.u) AS s FROM units x JOIN units y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id"
+TABLES["worded"] = "SELECT DISTINCT id FROM units"
+TABLES["lexical_edges"] = f"""SELECT a, b, round(weight, 6) AS weight FROM (SELECT a, b, {signals.WEIGHTS[0]} * coalesce(s, 0) + {SHARED_SQL} AS weight FROM (SELECT x.id AS a, y.id AS b FROM worded x JOIN worded y ON x.id < y.id)
+  LEFT JOIN lexical_pairs USING (a, b) {SETS_SQL}) WHERE weight >= {signals.EDGE_LEAST}"""
 
 
-def edge_weights(pairs):
-    weight = relations.edge_hybrid(F.col("similarity"), *[scoring.jaccard(id_set("a", SETS[k]), id_set("b", SETS[k])) for k in ("method", "task")])
-    return pairs.select("a", "b", weight.alias("weight")).filter(F.col("weight") >= relations.EDGE_LEAST).withColumn("weight", r6("weight"))
+def shared_sets(spark, d):
+    """The papers' authors and tags, by lower-cased name."""
+    authors = views.paper_authors(spark, d).join(views.authors(spark, d), F.col("author_id") == F.col("id")).select(F.col("paper_id").alias("id"), F.lower("name").alias("value"))
+    tags = views.paper_tags(spark, d).join(views.tags(spark, d), F.col("tag_id") == F.col("id")).select(F.col("paper_id").alias("id"), F.lower("name").alias("value"))
+    return signals.ordered_sets(authors), signals.ordered_sets(tags)
 
 
 @query("edge_hybrid", "SELECT a, b, weight FROM hybrid_edges")
 def edge_hybrid(spark, d):
-    """Every pair that meets the edge rule; no cosine under the bound can, with both other signals at 1."""
-    bound = (relations.EDGE_LEAST - 0.25) / 0.75
-    return edge_weights(joins.pairs_above(views.vectors(spark, d), bound, joins.DENSE_TILE))
+    """Pairs of papers with vectors that meet the edge rule: rescaled cosine, shared authors, shared tags."""
+    units = views.vectors(spark, d).select("id", vectors.l2_normalise(F.col("v")).alias("v"))
+    return signals.signal_pairs(units, *shared_sets(spark, d), dense=True).withColumn("weight", r6("weight"))
 
 
 TABLES["centroids"] = "SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY label, i) GROUP BY label"
@@ -146,6 +158,14 @@ def similarity_edges(spark, d):
     return edge_hybrid(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("type"), "weight")
 
 
+@query("similarity_edges_tfidf", "SELECT a AS src, b AS dst, 'RELATED' AS type, weight FROM lexical_edges")
+def similarity_edges_tfidf(spark, d):
+    """The edges of papers without vectors: the same rule over the cosine of their TF-IDF vectors."""
+    terms = signals.ordered_vectors(lexical.weighted_terms(saved(words_of(spark, d), "words")))
+    edges = signals.signal_pairs(saved(terms, "term-vectors"), *shared_sets(spark, d))
+    return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("type"), r6("weight").alias("weight"))
+
+
 @query("edge_filter", "SELECT src, dst, type FROM edges WHERE weight >= 0.35 AND type IN ('RELATED', 'EXTENDS')")
 def edge_filter(spark, d):
     return views.edges(spark, d).filter((F.col("weight") >= 0.35) & F.col("type").isin("RELATED", "EXTENDS")).select("src", "dst", "type")
@@ -291,7 +311,7 @@ def timeline_xy(spark, d):
 
 @query("edge_betweenness")
 def edge_betweenness(spark, d):
-    return graph.edge_betweenness(views.edges(spark, d)).withColumn("betweenness", r6("betweenness"))
+    return frontiers.edge_betweenness(views.edges(spark, d)).withColumn("betweenness", r6("betweenness"))
 
 
 @query("bridge_edges")
@@ -299,9 +319,9 @@ def bridge_edges(spark, d):
     return graph.bridge_edges_by_rank(edge_betweenness(spark, d))
 
 
-@query("bridges")
+@query("bridges", "WITH RECURSIVE r AS (SELECT src, dst, src AS node FROM edges UNION SELECT r.src, r.dst, e.b FROM r JOIN both_ways e ON e.a = r.node WHERE NOT (least(e.a, e.b) = r.src AND greatest(e.a, e.b) = r.dst)) SELECT src, dst FROM edges WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM r WHERE node = dst)")
 def bridges(spark, d):
-    return graph.true_bridges(views.edges(spark, d))
+    return frontiers.true_bridges(views.edges(spark, d))
 
 
 @query("graph_components", "WITH RECURSIVE e AS (SELECT a, b FROM both_ways), r AS (SELECT a AS id, a AS seen FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id")

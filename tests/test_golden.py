@@ -36,10 +36,30 @@ def test_bands(spark):
 
 
 def test_opportunity_score_of_the_published_example(spark):
-    score = gaps.opportunity_score(F.lit("INTERDISCIPLINARY"), F.lit(0.85), F.lit(None).cast("double"), F.lit(0), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    none = F.lit(None).cast("double")
+    score = gaps.opportunity_score(F.lit("INTERDISCIPLINARY"), F.lit(0.85), none, none, F.lit(0), none, F.lit(None).cast("string"))
     assert one(spark, score) == pytest.approx(52.0)
 
 
+def test_gaps_are_evaluated_by_venues_and_citations(spark):
+    """Worked by hand: two clusters of 3 and 2 papers in a library of 8; paper 5 is unknown."""
+    cluster = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "c"), (7, "c"), (8, "c")], "paper_id long, cluster string")
+    years = spark.createDataFrame([(1, 2020), (2, 2021), (3, 2021), (4, 2021), (5, 2010), (6, 2001)], "paper_id long, year int")
+    quality = spark.createDataFrame([(1, 0.9, 100), (2, 0.6, 0), (3, 0.3, 20), (4, 0.8, 878), (6, 0.1, 5)], "paper_id long, venue double, citations long")
+    c = gaps.Context(cluster, None, years, None, 2022, quality)
+    found = [("g1", "TOPIC", ["a", "b"], 0.5, 0.2, None), ("g2", "TEMPORAL_DORMANT", ["c"], 0.9, 0.8, None), ("g3", "METHODOLOGY_TRANSFER", ["a", "c"], 0.4, 0.1, 2)]
+    rows = {r.gap_id: r for r in gaps.evaluated(c, spark.createDataFrame(found, "gap_id string, gap_type string, clusters array<string>, confidence double, evidence double, supporting long")).collect()}
+    # g1: 5 papers, venues 2.6 of 4 known, 998 citations; 2021 has 3 of the 5 years known, recent (2020 to 2022) 4 / 3: stable
+    assert rows["g1"].papers == 5 and rows["g1"].score == pytest.approx(100 * (0.35 * 0.6 * (1 - 5 / 16) + 0.25 * (0.4 * 0.2 + 0.3 * 0.25 + 0.3 * 0.65) + 0.2 * 0.6 + 0.2 * 0.5), abs=1e-6)
+    assert rows["g1"].evidence == "MEDIUM"  # .4 * 2.6 / 5 + .3 * log10(999) / 3 + .3 * 5 / 20 = .583
+    # g2: 3 papers, one venue known, dormant since 2001
+    assert rows["g2"].score == pytest.approx(100 * (0.35 * 0.7 * (1 - 3 / 16) + 0.25 * (0.4 * 0.8 + 0.3 * 0.15 + 0.3 * 0.1) + 0.2 * 0.7 + 0.2 * 0.9), abs=1e-6)
+    assert rows["g2"].evidence == "LOW" and rows["g2"].severity == "MEDIUM"
+    # g3 affects no papers; its evidence has two; the source's trend counts: 2 of 3 in 2021, recent 1: stable
+    assert (rows["g3"].papers, rows["g3"].evidence, rows["g3"].readiness) == (0, "LOW", 0.0)
+    assert rows["g3"].score == pytest.approx(100 * (0.35 * 0.8 + 0.25 * (0.4 * 0.1 + 0.3 * 0.1 + 0.3 * 0.5) + 0.2 * 0.6 + 0.2 * 0.4), abs=1e-6)
+
+
 def test_citations(spark):
     names = F.array(F.lit("Ana B. Cole"), F.lit("Dan Eng"))
     args = (names, F.lit(2020), F.lit("On X"), F.lit("Venue"), F.lit("10.1/2"))

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from scriptorium.operators import cluster, graph, relations
+from scriptorium.operators import cluster, frontiers, graph, relations
 from scriptorium.operators.vectors import cosine_topk, pairs_above
 
 EDGE = "src long, dst long, type string, weight double, confidence double"
@@ -56,7 +56,7 @@ def test_components_bridges_and_betweenness(spark):
     assert {r.id: r.component for r in graph.components(df).collect()} == parts(nodes, pairs)
     count = lambda ps: len(set(parts(nodes, ps).values()))
     plain = {p for p in pairs if count([q for q in pairs if q != p]) > count(pairs)}
-    assert {(r.src, r.dst) for r in graph.true_bridges(df).collect()} == plain
+    assert {(r.src, r.dst) for r in frontiers.true_bridges(df).collect()} == plain
     near = {v: [b if a == v else a for a, b in pairs if v in (a, b)] for v in nodes}
     expected = dict.fromkeys(pairs, 0.0)
     for s, t in itertools.combinations(nodes, 2):
@@ -69,7 +69,7 @@ def test_components_bridges_and_betweenness(spark):
         for p in paths:
             for x, y in itertools.pairwise(p):
                 expected[min(x, y), max(x, y)] += 1 / len(paths)
-    got = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(df, 4).collect()}
+    got = {(r.src, r.dst): r.betweenness for r in frontiers.edge_betweenness(df, 150).collect()}
     assert got == pytest.approx(expected)
 
 
@@ -120,16 +120,96 @@ def test_vector_joins_match_numpy(spark):
         assert [top[i][k] for k in range(1, 6)] == sorted((j for j in range(60) if j != i), key=lambda j: (-round(s[i, j], 12), j))[:5]
 
 
+def plain_ward(points):
+    """Labels (smallest member) by the sequential method: the pair of least distance first, cut at the first largest jump."""
+    members, heights, states = {i: [i] for i in range(len(points))}, [], []
+    if len(points) < 4:
+        return [0] * len(points)
+    while len(members) > 1:
+        states.append(list(members.values()))
+        mean = {i: points[m].mean(axis=0) for i, m in members.items()}
+        cost = lambda a, b: len(members[a]) * len(members[b]) / (len(members[a]) + len(members[b])) * ((mean[a] - mean[b]) ** 2).sum()  # noqa: B023, E731
+        h, a, b = min((cost(a, b), a, b) for a, b in itertools.combinations(sorted(members), 2))
+        heights.append(h)
+        members[a] = members[a] + members.pop(b)
+    groups = states[len(points) - cluster.cluster_number(heights)]
+    return [min(next(g for g in groups if i in g)) for i in range(len(points))]
+
+
+def ward_labels(spark, points, **how):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, v array<double>").repartition(3)
+    label = {r.id: r.cluster for r in cluster.ward_clusters(df, **how).collect()}
+    return [label[i] for i in range(len(points))]
+
+
 def test_ward_finds_separate_blobs(spark):
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(m, 0.05, (12, 3)) for m in 10 * np.eye(3)])  # all at the same distance
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, v array<double>")
-    for found in (cluster.ward_clusters(df), cluster.ward_clusters(df, exact=32)):
-        label = {r.id: r.cluster for r in found.collect()}
-        assert len(label) == 36 and all(len({label[i] for i in range(k, k + 12)}) == 1 for k in (0, 12, 24)) and len(set(label.values())) == 3
-    tiny = cluster.ward_clusters(df.filter("id < 3")).collect()
-    assert len({r.cluster for r in tiny}) == 1
+    for how in ({}, {"finish": 3, "tile": 7}):
+        label = ward_labels(spark, points, **how)
+        assert all(len(set(label[k : k + 12])) == 1 for k in (0, 12, 24)) and len(set(label)) == 3
+    assert ward_labels(spark, points[:3]) == [0, 0, 0]
     assert [cluster.cluster_number(h) for h in ([1, 1, 1, 1], [1, 1, 1, 9])] == [2, 2]
+    assert [cluster.cut_number(5, place) for place in (0, 3)] == [2, 2]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ward_in_rounds_equals_the_sequential_method(spark, seed):
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(45, 5)) + rng.integers(0, 3, (45, 1)) * seed
+    points[40:] = points[:5] + 8 * (seed == 1)  # copies, or far pairs that are merged early and parted by the cut
+    assert ward_labels(spark, points, finish=2 + 3 * seed, tile=16) == plain_ward(points)
+
+
+def test_heights_of_ward_never_fall(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 2)))], "id long, v array<double>")
+    merges = cluster.merge_tree(df, 8, 16).orderBy("height", "round", "place").collect()
+    assert len(merges) == 59 and len({r.b for r in merges}) == 59
+    gone = set()
+    for r in merges:  # whatever is merged is still there
+        assert r.a < r.b and not {r.a, r.b} & gone
+        gone.add(r.b)
+    assert [r.height for r in merges] == pytest.approx(sorted(h for *_, h in cluster.ward(np.random.default_rng(5).normal(size=(60, 2)), np.ones(60))))
+    place = int(np.argmax(np.diff([r.height for r in merges]))) + 1
+    assert cluster.largest_jump(spark.createDataFrame([(r.height,) for r in merges], "height double").repartition(5)) == (59, place)
+
+
+def test_bridges_of_trees_and_rings(spark):
+    ring = [(i, (i + 1) % 9, "RELATED", 1.0, 1.0) for i in range(9)]
+    path = [(20 + i, 21 + i, "RELATED", 1.0, 1.0) for i in range(40)]
+    both = [*ring, *path, (8, 20, "RELATED", 1.0, 1.0), (3, 3, "RELATED", 1.0, 1.0), (60, 58, "RELATED", 1.0, 1.0)]
+    got = {(r.src, r.dst) for r in frontiers.true_bridges(spark.createDataFrame(both, EDGE)).collect()}
+    assert got == {(20 + i, 21 + i) for i in range(38)} | {(8, 20)}
+    empty = spark.createDataFrame([], EDGE)
+    assert frontiers.true_bridges(empty).collect() == [] and frontiers.edge_betweenness(empty).collect() == []
+
+
+def plain_ranks(words):
+    """A dense matrix of cosines, rows that sum to 1, and the power iteration as it stands."""
+    n = len(words)
+    df = {w: sum(w in own for own in words) for own in words for w in own}
+    vectors = [{w: own.count(w) / len(own) * max(1e-4, np.log(n / (1 + df[w]))) for w in own} for own in words]
+    length = [np.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    m = np.array([[0.0 if i == j or not vectors[i] or not vectors[j] else sum(x * vectors[j].get(w, 0.0) for w, x in vectors[i].items()) / (length[i] * length[j]) for j in range(n)] for i in range(n)])
+    total = m.sum(axis=1, keepdims=True)
+    m = np.divide(m, total, out=np.zeros_like(m), where=total > 0)
+    rank = np.full(n, 1 / n)
+    for _ in range(30):
+        new = 0.15 / n + 0.85 * m.T @ rank
+        done = np.abs(new - rank).sum() < 1e-4
+        rank = new
+        if done:
+            break
+    return rank
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sentence_ranks_equal_a_dense_matrix(seed):
+    rng = random.Random(seed)
+    words = [[rng.choice("abcdefghijkl") for _ in range(rng.choice((0, 1, 4, 9)))] for _ in range(14)]
+    words += [["z"] * 5, ["z", "z", "a"], ["alone"]]  # repeated words; nothing in common with any
+    assert graph.sentence_ranks(words) == pytest.approx(plain_ranks(words), abs=1e-9)
 
 
 def test_textrank(spark):

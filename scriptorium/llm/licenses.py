@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ GAP, PIECE = 8, 1 << 18
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 LETTERS = np.array([chr(c).isalpha() or c >= 128 for c in range(128)] + [True] * 128)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Bytes of a word that its hash sees, besides its length.
+#: Words of up to so many bytes are hashed side by side, longer ones one by one.
 WORD_BYTES = 24
 
 
@@ -64,7 +65,8 @@ class Words:
     def __init__(self, texts: list[bytes]):
         # three line ends: a line without letters lies between two texts
         self.begins = np.cumsum([0] + [len(t) + 3 for t in texts])[:-1]
-        a = np.frombuffer(b"\n\n\n".join(texts), np.uint8)
+        joined = b"\n\n\n".join(texts)
+        a = np.frombuffer(joined, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], LETTERS[a], [False]]).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
         length = self.end - self.start
@@ -75,6 +77,8 @@ class Words:
             if not len(own):
                 break
             h[own] = h[own] * np.uint64(0x100000001B3) + a[self.start[own] + k]
+        for i in np.flatnonzero(length > WORD_BYTES).tolist():
+            h[i] ^= np.uint64(xxhash.xxh64_intdigest(joined[self.start[i] + WORD_BYTES : self.end[i]]))
         self.hash = mixed(h)
         line = np.searchsorted(np.flatnonzero(a == 10), self.start)
         self.text = np.searchsorted(self.begins, self.start, side="right") - 1

@@ -23,9 +23,7 @@ the order of the sample; repeated rows give a row each; an empty table gives an
 
 from __future__ import annotations
 
-import io
 import math
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +41,6 @@ BITS = 20
 VOCABULARY = 1 << BITS
 #: Examples in a block, terms of the dense forward index, blocks scored before any bound is used, texts scored at once.
 BLOCK, DENSE, FIRST, TEXTS = 64, 512, 4, 128
-#: Bytes of a row of the pickled index.
-PIECE = 1 << 23
 NEIGHBOURS, SHRINK, RELEVANCE = 15, 0.05, 3.0
 FOLDS = 5
 
@@ -221,9 +217,9 @@ def groups(texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[str |
 def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, doc_id, toxic, size, terms, counts): the sampled labelled rows, at most EXAMPLES of them with ENTRIES terms."""
     kind = docs.schema[id_col].dataType
-    # the fold goes by the label's own id as text
-    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").try_cast(kind).alias("doc_id"), "toxic")
-    chosen = chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").try_cast(kind).alias("doc_id"), "toxic")
+    # the fold goes by the document's id as text, whatever type the label's has
+    chosen = chosen.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     present = docs.select(F.col(id_col).alias("doc_id")).join(chosen, "doc_id", "left_semi").distinct().join(chosen, "doc_id")
     present = saved(present.withColumn("h", F.xxhash64("doc_id")), "labelled")
     sample = present.filter(low_hash(F.col("h"), EXAMPLES, present.count())).orderBy("h", "doc_id").limit(EXAMPLES)
@@ -238,8 +234,9 @@ def examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
 
     made = saved(texts.mapInArrow(vectors, f"h long, doc_id {name}, toxic int, size long, terms array<int>, counts array<int>"), "examples")
     sizes = sorted((r.h, r.size) for r in made.select("h", "size").collect())  # EXAMPLES rows at most
-    fits = int(np.searchsorted(np.cumsum([s for _, s in sizes]), ENTRIES, side="right"))
-    return made.filter(F.col("h") <= sizes[fits - 1][0]) if fits else made.limit(0)
+    sizes = [(h, size) for h, size in sizes if size <= ENTRIES]  # a text beyond the bound alone is passed over
+    fits = int(np.searchsorted(np.cumsum([size for _, size in sizes]), ENTRIES, side="right"))
+    return made.filter((F.col("h") <= sizes[fits - 1][0]) & (F.col("size") <= ENTRIES)) if fits else made.limit(0)
 
 
 def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
@@ -251,49 +248,38 @@ def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return row, flat("terms"), flat("counts"), table.column("toxic").to_numpy(), table.column("doc_id").to_pylist()
 
 
-def fitted(sample: DataFrame, df: np.ndarray, n: int) -> pa.Table:
-    """The calibrated index and its ids, pickled, in rows of PIECE bytes: made by one task, as ENTRIES bounds its input."""
-    held = sample.sparkSession.sparkContext.broadcast(df)  # VOCABULARY bounds it
+def sampled(sample: DataFrame, df: np.ndarray, n: int) -> dict:
+    """What an index is built from, in small types: EXAMPLES, ENTRIES and VOCABULARY bound it to some 40 MB at most."""
+    row, term, count, toxic, ids = arrays(sample.toArrow())
+    small = np.int32 if df.max(initial=0) < 2**31 else np.int64
+    return {"row": row.astype(np.int16), "term": term.astype(np.int32), "count": count.astype(np.int32), "toxic": toxic, "df": df.astype(small), "n": n, "ids": ids}
 
-    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(it))
-        row, term, count, toxic, ids = arrays(table)
-        index = Index(row, term, count, toxic, held.value, n)
-        index.calibrate(row, term, count)
-        data = pickle.dumps((vars(index), ids), protocol=5)
-        for i in range(0, len(data), PIECE):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i : i + PIECE]], pa.binary())], names=["at", "data"])
-
-    model = sample.repartition(1).mapInArrow(fit, "at long, data binary").orderBy("at").toArrow()
-    held.destroy()
-    return model
 
+def built(given: dict) -> Index:
+    return Index(given["row"].astype(np.int64), given["term"].astype(np.int64), given["count"].astype(np.int64), given["toxic"], given["df"].astype(float), given["n"])
 
-class Pieces(io.RawIOBase):
-    """Buffers read one after the other, each let go when it is read."""
 
-    def __init__(self, buffers: list):
-        self.waiting, self.now = buffers[::-1], memoryview(b"")
+def restored(given: dict, curve: tuple[float, float]) -> tuple[Index, list]:
+    """The index and the ids of its examples; built once in a worker, which then holds them in place of the sample."""
+    if "model" not in given:
+        index = built(given)
+        index.a, index.b = curve
+        ids = given["ids"]
+        given.clear()
+        given["model"] = index, ids
+    return given["model"]
 
-    def readable(self) -> bool:
-        return True
 
-    def readinto(self, target) -> int:
-        while not len(self.now) and self.waiting:
-            self.now = memoryview(self.waiting.pop()).cast("B")
-        n = min(len(target), len(self.now))
-        target[:n], self.now = self.now[:n], self.now[n:]
-        return n
+def calibrated(spark, shared) -> tuple[float, float]:
+    """The two numbers of the curve, found by one task, as ENTRIES bounds its input."""
 
+    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in it:
+            index, given = built(shared.value), shared.value
+            index.calibrate(given["row"].astype(np.int64), given["term"].astype(np.int64), given["count"].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([index.a]), pa.array([index.b])], names=["a", "b"])
 
-def restored(held: dict) -> tuple[Index, list]:
-    """The index and its ids from what fitted() made; once in a worker, which then holds them in place of the pieces."""
-    if "model" not in held:
-        state, ids = pickle.load(io.BufferedReader(Pieces(held.pop("pieces"))))
-        index = Index.__new__(Index)
-        vars(index).update(state)
-        held["model"] = index, ids
-    return held["model"]
+    return tuple(spark.range(0, 1, 1, 1).mapInArrow(fit, "a double, b double").first())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -301,16 +287,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     small_batches(docs.sparkSession)
     keep = [id_col] if keep is None else keep
     sample = examples(docs, labels, id_col, text_col)
-    model = fitted(sample, *frequencies(docs, text_col)) if sample.take(1) else None
-    held = {"pieces": [x.as_buffer() for x in model.column("data")]} if model is not None else None
-    shared = docs.sparkSession.sparkContext.broadcast(held)  # EXAMPLES, ENTRIES, DENSE and VOCABULARY bound it
-    del model, held
+    spark = docs.sparkSession
+    shared, curve = None, (1.0, 0.0)
+    if sample.take(1):
+        shared = spark.sparkContext.broadcast(sampled(sample, *frequencies(docs, text_col)))  # EXAMPLES, ENTRIES and VOCABULARY bound it
+        curve = calibrated(spark, shared)
     kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
     width, schema = len(keep), kept.select(keep).schema
     id_type = docs.schema[id_col].dataType
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids = restored(shared.value) if shared.value is not None else (None, [])
+        index, ids = restored(shared.value, curve) if shared is not None else (None, [])
         shape = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for b in it:
             scores, evidence = [], []

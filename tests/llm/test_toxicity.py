@@ -117,6 +117,22 @@ def test_ids_of_any_type(spark, corpus):
     assert len(rows) == 700 and any(r.evidence and isinstance(r.evidence[0].doc_id, str) for r in rows)
 
 
+def test_the_fold_goes_by_the_documents_id(spark, corpus):
+    """Labels whose ids are doubles: 7.0 stands for document 7, and its fold is that of "7"."""
+    docs, labels, _ = corpus
+    own = labels.withColumn("doc_id", F.col("doc_id").cast("double"))
+    ids = lambda given: sorted(r.doc_id for r in toxicity.examples(docs, given, "doc_id", "text").collect())
+    assert ids(own) == ids(labels) and all(zlib.crc32(str(i).encode()) % 5 for i in ids(own))
+
+
+def test_a_text_beyond_the_bound_is_passed_over(spark, corpus, monkeypatch):
+    docs, labels, _ = corpus
+    sizes = {r.doc_id: r.size for r in toxicity.examples(docs, labels, "doc_id", "text").collect()}
+    monkeypatch.setattr(toxicity, "ENTRIES", max(sizes.values()) - 1)
+    kept = {r.doc_id: r.size for r in toxicity.examples(docs, labels, "doc_id", "text").collect()}
+    assert kept and max(kept.values()) < max(sizes.values()) and set(kept) < set(sizes)
+
+
 def test_every_label_keeps_a_vector_and_entries_bound_the_fit(spark, corpus, monkeypatch):
     docs, labels, _ = corpus
     row, _, _, toxic, ids = toxicity.arrays(toxicity.examples(docs, labels, "doc_id", "text").toArrow())

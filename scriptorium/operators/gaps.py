@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.scoring import evidence_band, jaccard, severity
+from scriptorium.storage import saved
 
 #: How new a gap of each type is at best, and what the trend of its papers promises. Fixed values.
 BOOST = {"TOPIC": 0.6, "METHODOLOGY_TRANSFER": 0.8, "TEMPORAL_DORMANT": 0.7, "TEMPORAL_DECLINING": 0.5, "INTERDISCIPLINARY": 0.9}
@@ -183,6 +184,7 @@ def evaluated(c: Context, gaps: DataFrame, promote: float = 20) -> DataFrame:
     Methodology-transfer gaps affect no papers, as the published behaviour has it. The trend is that of all papers of the
     gap's clusters, of a transfer's source alone.
     """
+    gaps = saved(gaps, "gaps")  # read several times below
     of = gaps.select("gap_id", "gap_type", F.posexplode("clusters").alias("place", "cluster"))
     sums = of.filter("gap_type <> 'METHODOLOGY_TRANSFER'").join(cluster_quality(c), "cluster").groupBy("gap_id").agg(*[F.sum(x).alias(x) for x in ("papers", "venues", "known", "citations")])
     years = of.filter("gap_type <> 'METHODOLOGY_TRANSFER' OR place = 0").join(cluster_years(c), "cluster").groupBy("gap_id", "year").agg(F.sum("n").alias("n"))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from scriptorium import config
 from scriptorium.functions.scoring import jaccard
+from scriptorium.functions.text import classifier_tokens
+from scriptorium.functions.vectors import l2_normalise
+from scriptorium.operators.signals import products
 
 #: Signals and their weights; without vectors the others are divided by their sum.
 HYBRID = {"embedding": 0.45, "citation": 0.20, "method": 0.15, "task": 0.10, "keyword": 0.10}
@@ -25,12 +30,7 @@ def cluster_similarity(centroid: Column | None, method: Column, task: Column) ->
     return method * 0.60 + task * 0.40 if centroid is None else centroid * 0.50 + method * 0.30 + task * 0.20
 
 
-def edge_hybrid(semantic: Column, authors: Column, tags: Column) -> Column:
-    return semantic * 0.75 + authors * 0.15 + tags * 0.10
-
-
-#: The rules that make a pair an edge, and a pair of titles related.
-EDGE_LEAST = 0.08
+#: What two papers must have in common to be compared at all.
 RELATED_JACCARD, RELATED_SHARED = 0.05, 3
 
 
@@ -93,36 +93,84 @@ def duplicate_groups(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             return state
 
 
-def cue_count(text: Column, cues: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a + b, (F.contains(low, F.lit(c)).cast("int") for c in cues))
-
-
-def relationship(pairs: DataFrame) -> DataFrame:
-    """type and confidence for pairs (a, b, jaccard, shared, methods, contradicts, extends, year_a, year_b, neural).
-
-    The first rule that holds decides; neural similarity, where known, scales the confidence. Unrelated pairs go.
+def relationship_facts(papers: DataFrame, vectors: DataFrame | None = None, methods=config.METHOD_WORDS, contradicts=config.CONTRADICT_WORDS, extends=config.EXTEND_WORDS) -> DataFrame:
+    """(id, year, w, m, contradicts, extends, d) of papers (id, title, abstract_text, year): hashes of all words and of
+    method words, whether the abstract has words of objection and of advance, and the vector (id, v) at norm 1, if any."""
+    body = classifier_tokens(F.col("abstract_text"))
+    rows = papers.select("id", F.col("year").cast("int").alias("year"), F.array_union(classifier_tokens(F.col("title")), body).alias("words"), body.alias("body"))
+    listed = lambda words: F.array(*map(F.lit, words))
+    hashes = lambda x: F.transform(x, lambda w: F.xxhash64(w))
+    rows = rows.select("id", "year", hashes(F.col("words")).alias("w"), hashes(F.array_intersect("words", listed(methods))).alias("m"), F.arrays_overlap("body", listed(contradicts)).alias("contradicts"), F.arrays_overlap("body", listed(extends)).alias("extends"))
+    if vectors is None:
+        return rows.withColumn("d", F.lit(None).cast("array<double>"))
+    return rows.join(vectors.select("id", l2_normalise(F.col("v")).alias("d")), "id", "left")
+
+
+def _binary(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lists = rows.column(name).combine_chunks()
+    keys = lists.flatten().to_numpy()
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), keys, np.ones(len(keys))
+
+
+def _rules(left: pa.Table, right: pa.Table, own: bool) -> tuple[np.ndarray, ...]:
+    """(row of left, row of right, kind, confidence) of the pairs that a rule relates; own: both are the same rows."""
+    shape = left.num_rows, right.num_rows
+    x, y = _binary(left, "w"), _binary(right, "w")
+    shared = products(x, y, shape)
+    union = np.bincount(x[0], minlength=shape[0])[:, None] + np.bincount(y[0], minlength=shape[1])[None] - shared
+    j = np.divide(shared, union, out=np.zeros(shape), where=union > 0)
+    related = (j >= RELATED_JACCARD) | (shared >= RELATED_SHARED)
+    related &= left.column("id").to_numpy()[:, None] < right.column("id").to_numpy() if own else True
+    p, q = np.nonzero(related)
+    j, shared = j[p, q], shared[p, q]
+    methods = products(_binary(left, "m"), _binary(right, "m"), shape)[p, q]
+    either = lambda name: left.column(name).to_numpy(zero_copy_only=False)[p] | right.column(name).to_numpy(zero_copy_only=False)[q]
+    contradicts, extends = either("contradicts"), either("extends")
+    neural = np.full(len(p), np.nan)
+    one, two = (np.flatnonzero(t.column("d").is_valid().to_numpy(zero_copy_only=False)) for t in (left, right))
+    if len(one) and len(two):
+        cosine = np.full(shape, np.nan)
+        cosine[np.ix_(one, two)] = np.stack(left.column("d").take(pa.array(one)).to_pylist()) @ np.stack(right.column("d").take(pa.array(two)).to_pylist()).T
+        neural = cosine[p, q]
+    other_year = left.column("year").to_numpy()[p] != right.column("year").to_numpy()[q]
+    by_words = (j >= 0.10) | (shared >= 4)
+    cases = [methods > 0, contradicts & (j > 0.08), extends & other_year, by_words, neural >= 0.60]
+    kind = np.select(cases, [0, 1, 2, 3, 3], -1)
+    raw = np.select(cases, [np.minimum(0.85, 0.55 + 0.1 * methods), np.minimum(0.75, 0.45 + 2 * j), np.minimum(0.80, 0.5 + 2.5 * j), np.minimum(0.75, 0.4 + 3 * j), np.minimum(0.70, 0.35 + 0.5 * neural)], 0.0)
+    scaled = np.select([neural >= 0.75, (neural >= 0) & (neural < 0.30)], [np.minimum(0.95, raw * 1.15), raw * 0.70], raw)
+    keep = kind >= 0
+    return p[keep], q[keep], kind[keep], scaled[keep]
+
+
+KINDS = ("METHODOLOGY", "CONTRADICTS", "EXTENDS", "SUPPORTS")
+RELATION = pa.schema([("source", pa.int64()), ("target", pa.int64()), ("type", pa.string()), ("confidence", pa.float64())])
+
+
+def relationships(facts: DataFrame, tile: int = 1024) -> DataFrame:
+    """(source, target, type, confidence) of all pairs of papers that a rule relates, from relationship_facts().
+
+    The first rule that holds decides: shared method words; words of objection and a Jaccard over 0.08; words of advance
+    and different years; a Jaccard of 0.10 or four words in common; vectors with a cosine of 0.60. The source is the
+    newer paper, of the same year the one of smaller id. Four shared words relate most papers of a language, so no bound
+    spares comparisons: papers meet in tiles, and only what a rule relates leaves a task.
     """
-    j, neural = F.col("jaccard"), F.col("neural")
-    related = (j >= RELATED_JACCARD) | (F.col("shared") >= RELATED_SHARED)
-    kind = (
-        F.when(F.col("methods") > 0, "METHODOLOGY")
-        .when(F.col("contradicts") & (j > 0.08), "CONTRADICTS")
-        .when(F.col("extends") & (F.col("year_a") != F.col("year_b")), "EXTENDS")
-        .when((j >= 0.10) | (F.col("shared") >= 4), "SUPPORTS")
-        .when(neural >= 0.60, "SUPPORTS")
-    )
-    raw = (
-        F.when(F.col("methods") > 0, F.least(F.lit(0.85), 0.55 + 0.1 * F.col("methods")))
-        .when(kind == "CONTRADICTS", F.least(F.lit(0.75), 0.45 + 2 * j))
-        .when(kind == "EXTENDS", F.least(F.lit(0.80), 0.5 + 2.5 * j))
-        .when((j >= 0.10) | (F.col("shared") >= 4), F.least(F.lit(0.75), 0.4 + 3 * j))
-        .otherwise(F.least(F.lit(0.70), 0.35 + 0.5 * neural))
-    )
-    scaled = F.when(neural >= 0.75, F.least(F.lit(0.95), raw * 1.15)).when((neural >= 0) & (neural < 0.30), raw * 0.70).otherwise(raw)
-    newer = F.col("year_a") >= F.col("year_b")
-    rows = pairs.filter(related).withColumns({"type": kind, "confidence": scaled}).filter("type IS NOT NULL")
-    return rows.select(F.when(newer, F.col("a")).otherwise(F.col("b")).alias("source"), F.when(newer, F.col("b")).otherwise(F.col("a")).alias("target"), "type", F.round("confidence", 6).alias("confidence"))
+    tiles = max(1, -(-facts.count() // tile))
+    own = facts.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    sent = own.withColumns({"i": F.least("tile", "other"), "k": F.greatest("tile", "other")}).drop("other")
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        at = rows.column("tile").to_numpy()
+        left, right = rows.filter(pa.array(at == key[0].as_py())), rows.filter(pa.array(at == key[1].as_py()))
+        if not left.num_rows or not right.num_rows:
+            return RELATION.empty_table()
+        p, q, kind, confidence = _rules(left, right, key[0] == key[1])
+        a, b = left.column("id").to_numpy()[p], right.column("id").to_numpy()[q]
+        ya, yb = left.column("year").to_numpy()[p], right.column("year").to_numpy()[q]
+        first = (ya > yb) | ((ya == yb) & (a < b))
+        names = pa.array(KINDS).take(pa.array(kind))
+        return pa.table([np.where(first, a, b), np.where(first, b, a), names, confidence], schema=RELATION)
+
+    return sent.groupBy("i", "k").applyInArrow(meet, "source long, target long, type string, confidence double")
 
 
 def best_relationships(rows: DataFrame, n: int = 15) -> DataFrame:

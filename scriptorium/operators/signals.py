@@ -58,7 +58,7 @@ def jaccard_prefix(v: Column, least: float) -> Column:
     return F.slice(v, 1, F.size(v) - F.ceil(F.size(v) * least - 1e-9).cast("int") + 1)
 
 
-def _products(left: tuple, right: tuple, shape: tuple[int, int]) -> np.ndarray:
+def products(left: tuple, right: tuple, shape: tuple[int, int]) -> np.ndarray:
     """Inner products of sparse rows (row, key, value), frequent keys as matrices and the others one by one."""
     out = np.zeros(shape)
     (lr, lk, lv), (rr, rk, rv) = left, right
@@ -105,14 +105,14 @@ def _sparse(rows: pa.Table, name: str) -> tuple:
 
 def _cosines(left: pa.Table, right: pa.Table, dense: bool) -> np.ndarray:
     if not dense:
-        return _products(_sparse(left, "v"), _sparse(right, "v"), (left.num_rows, right.num_rows))
+        return products(_sparse(left, "v"), _sparse(right, "v"), (left.num_rows, right.num_rows))
     x, y = (np.stack(t.column("d").to_numpy()) if t.num_rows else np.zeros((0, 0)) for t in (left, right))
     return x @ y.T
 
 
 def _jaccards(left: pa.Table, right: pa.Table, name: str) -> np.ndarray:
     x, y = _sparse(left, name), _sparse(right, name)
-    shared = _products(x, y, (left.num_rows, right.num_rows))
+    shared = products(x, y, (left.num_rows, right.num_rows))
     union = np.bincount(x[0], minlength=left.num_rows)[:, None] + np.bincount(y[0], minlength=right.num_rows)[None] - shared
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 
@@ -125,7 +125,6 @@ def rescaled(s: np.ndarray) -> np.ndarray:
 #: Weights of vectors, authors and tags; what makes an edge; bounds of the signals, which no edge stays below in all.
 WEIGHTS, EDGE_LEAST = (0.75, 0.15, 0.10), 0.08
 BOUNDS = (0.041, 0.10, 0.34)
-assert sum(w * b for w, b in zip(WEIGHTS, BOUNDS, strict=True)) <= EDGE_LEAST
 
 
 def routed(docs: DataFrame, prefixes: list[Column], tiles: int) -> DataFrame:
@@ -142,21 +141,26 @@ def routed(docs: DataFrame, prefixes: list[Column], tiles: int) -> DataFrame:
     return met.union(own.filter("NOT wide").select("id", "tile")).union(own.filter("wide").select("id", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))).distinct()
 
 
-def signal_pairs(vectors: DataFrame, authors: DataFrame, tags: DataFrame, dense: bool = False, least: float = EDGE_LEAST, weights=WEIGHTS, bounds=BOUNDS, tile: int = TILE) -> DataFrame:
-    """(a, b, weight) of ids a < b whose weighted cosine, author and tag Jaccards sum to `least` or more.
+def signal_pairs(vectors: DataFrame, sets: list[DataFrame], weights: tuple[float, ...] = WEIGHTS, least: float = EDGE_LEAST, bounds: tuple[float, ...] | None = BOUNDS, dense: bool = False, scale=None, tile: int = TILE) -> DataFrame:
+    """(a, b, weight) of ids a < b whose weighted signals sum to `least` or more: the cosine of their vectors, after
+    `scale` if given, and the Jaccard of each of their sets.
 
-    vectors: (id, v) of ordered_vectors(), or dense ones of norm 1, whose cosines are rescaled; these are the papers that
-    are compared. authors, tags: (id, v) of ordered_sets(); a paper may have none.
+    vectors: (id, v) of ordered_vectors(), or dense ones of norm 1; these are the papers that are compared. sets: (id, v)
+    of ordered_sets(); a paper may have none. bounds: one for each signal, whose weighted sum is `least` at most; without
+    them, and for dense vectors, every paper goes to every tile.
     """
+    if bounds is not None and sum(w * b for w, b in zip(weights, bounds, strict=True)) > least + 1e-12:
+        raise ValueError("the weighted bounds must not exceed the threshold")
     tiles = max(1, -(-vectors.count() // tile))
-    none = F.array().cast(ENTRY)
-    own = vectors.select("id", F.col("v").alias("d" if dense else "v")).join(authors.withColumnRenamed("v", "x"), "id", "left").join(tags.withColumnRenamed("v", "g"), "id", "left")
-    own = own.withColumns({"x": F.coalesce("x", none), "g": F.coalesce("g", none), "tile": F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")})
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    if dense or tiles == 1:
-        sent = own.withColumn("other", every)
+    names = [f"s{i}" for i in range(len(sets))]
+    own = vectors.select("id", F.col("v").alias("d" if dense else "v"))
+    for name, one in zip(names, sets, strict=True):
+        own = own.join(one.withColumnRenamed("v", name), "id", "left")
+    own = own.withColumns({name: F.coalesce(name, F.array().cast(ENTRY)) for name in names} | {"tile": F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")})
+    if dense or bounds is None or tiles == 1:
+        sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     else:
-        prefixes = [cosine_prefix(F.col("v"), bounds[0]), jaccard_prefix(F.col("x"), bounds[1]), jaccard_prefix(F.col("g"), bounds[2])]
+        prefixes = [cosine_prefix(F.col("v"), bounds[0]), *(jaccard_prefix(F.col(name), b) for name, b in zip(names, bounds[1:], strict=True))]
         sent = own.join(routed(own, prefixes, tiles), "id")
     sent = sent.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("weight", pa.float64())])
@@ -167,7 +171,9 @@ def signal_pairs(vectors: DataFrame, authors: DataFrame, tags: DataFrame, dense:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         s = _cosines(left, right, dense)
-        total = weights[0] * (rescaled(s) if dense else s) + weights[1] * _jaccards(left, right, "x") + weights[2] * _jaccards(left, right, "g")
+        total = weights[0] * (s if scale is None else scale(s))
+        for w, name in zip(weights[1:], names, strict=True):
+            total = total + w * _jaccards(left, right, name)
         p, q = np.nonzero(total >= least)
         one, two = left.column("id").to_numpy()[p], right.column("id").to_numpy()[q]
         keep = one < two if key[0] == key[1] else one != two

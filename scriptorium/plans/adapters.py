@@ -22,6 +22,12 @@ EDGE_SIMILARITY = 0.3
 EDGE_TYPES = ("RELATED", "EXTENDS", "SUPPORTS", "CONTRADICTS", "METHODOLOGY")
 #: The given tables' own venues, beside those that are generally known.
 VENUES = config.VENUES | {"src1": 0.9, "src2": 0.8, "src3": 0.7, "source": 0.65, "src10": 0.95}
+#: Words of the given tables' invented prose that stand for methods, objections and advances, beside the real ones.
+METHOD_WORDS = (*config.METHOD_WORDS, "nttion", "lement", "enheit")
+CONTRADICT_WORDS = (*config.CONTRADICT_WORDS, "queque", "sten")
+EXTEND_WORDS = (*config.EXTEND_WORDS, "inging", "ount", "aire")
+#: Phrases that the given tables' documents hold.
+PHRASES = (("LICENCE", "licensed under the apache license"), ("LICENCE", "licensed under"), ("LICENCE", "apache license"), ("LICENCE", "all rights reserved"), ("LICENCE", "mit"), ("NOTICE", "rights"), ("NOTICE", "version"), ("NOTICE", "the license"), ("NOTICE", "this"), ("NOTICE", "this work is licensed"))
 STATUSES = ("UNREAD", "READING", "READ")
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -63,54 +63,45 @@ def centroid(spark, d):
     return c.select("label", F.posexplode("centroid").alias("i", "m")).select("label", "i", r6("m").alias("m"))
 
 
-@query("neural_rescale", "SELECT a, b, CASE WHEN similarity <= 0.4 THEN 0.0 ELSE round(pow((similarity - 0.4) / 0.6, 2), 6) END AS weight FROM cosines".replace("THEN 0.0", "THEN CAST(0 AS DOUBLE)"))
+@query("neural_rescale", "SELECT a, b, round(pow((similarity - 0.4) / 0.6, 2), 6) AS weight FROM cosines WHERE similarity > 0.4")
 def neural_rescale(spark, d):
-    return all_pairs(spark, d).select("a", "b", r6(scoring.rescaled(F.col("similarity"))).alias("weight"))
-
-
-def all_pairs(spark, d):
-    """Every pair, for scores without a threshold of their own."""
-    return joins.pairs_above(views.vectors(spark, d), -1.0, joins.DENSE_TILE)
+    """The pairs of vectors that the rescaled cosine says anything on."""
+    return joins.pairs_above(views.vectors(spark, d), 0.4).filter("similarity > 0.4").select("a", "b", r6(scoring.rescaled(F.col("similarity"))).alias("weight"))
 
 
 # --- signals of pairs
 
-SETS = {"citation": (7, 11), "method": (4, 6), "task": (3, 8), "keyword": (5, 9)}
-
-
-def id_set(c, moduli):
-    return F.array_distinct(F.array(*[(F.col(c) % m) for m in moduli]))
-
-
-def id_set_sql(c, moduli):
-    return f"list_distinct([{', '.join(f'{c} % {m}' for m in moduli)}])"
-
 
 def jaccard_sql(x, y):
     return f"(len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))))"
 
 
-JACCARD = {k: jaccard_sql(id_set_sql("a", m), id_set_sql("b", m)) for k, m in SETS.items()}
-
-
-@query("jaccard", f"SELECT a, b, round({JACCARD['keyword']}, 6) AS jaccard FROM cosines")
-def jaccard(spark, d):
-    return all_pairs(spark, d).select("a", "b", r6(scoring.jaccard(id_set("a", SETS["keyword"]), id_set("b", SETS["keyword"]))).alias("jaccard"))
+TABLES["author_sets"] = "SELECT paper_id, list_distinct(list(lower(name))) AS names FROM paper_authors JOIN authors ON author_id = id GROUP BY paper_id"
+TABLES["tag_sets"] = "SELECT paper_id, list_distinct(list(lower(name))) AS names FROM paper_tags JOIN tags ON tag_id = id GROUP BY paper_id"
 
 
-WITH_VECTORS = " + ".join([f"{relations.HYBRID['embedding']} * similarity", *(f"{relations.HYBRID[k]} * {JACCARD[k]}" for k in SETS)])
-WITHOUT = "(" + " + ".join(f"{relations.HYBRID[k]} * {JACCARD[k]}" for k in SETS) + ") / 0.55"
+SIGNAL_SETS = {"citation": ("lineitem", "l_orderkey", "l_partkey"), "method": ("paper_entities", "paper_id", "entity_value"), "task": ("paper_entities", "paper_id", "entity_value"), "keyword": ("paper_tags", "paper_id", "tag_id")}
+for name, (source, key, value) in SIGNAL_SETS.items():
+    TABLES[f"{name}_of"] = f"SELECT {key} AS id, list_distinct(list({value})) AS v FROM {source}" + (f" WHERE entity_type = '{name.upper()}'" if source == "paper_entities" else "") + f" GROUP BY {key}"
+JOINED = " ".join(f"LEFT JOIN {k}_of x_{k} ON x_{k}.id = a LEFT JOIN {k}_of y_{k} ON y_{k}.id = b" for k in SIGNAL_SETS)
+JACCARD = {k: f"CASE WHEN len(coalesce(x_{k}.v, [])) + len(coalesce(y_{k}.v, [])) > 0 THEN {jaccard_sql(f'coalesce(x_{k}.v, [])', f'coalesce(y_{k}.v, [])')} ELSE 0 END" for k in SIGNAL_SETS}
+HYBRID_LEAST = 0.15
+TABLES["hybrids"] = f"SELECT a, b, {' + '.join([f'{relations.HYBRID["embedding"]} * similarity', *(f'{relations.HYBRID[k]} * {JACCARD[k]}' for k in SIGNAL_SETS)])} AS hybrid FROM cosines {JOINED}"
 
 
-@query("hybrid_similarity", f"SELECT a, b, round({WITH_VECTORS}, 6) + 0.0 AS hybrid, round({WITHOUT}, 6) AS lexical, round(0.75 * similarity + 0.15 * {JACCARD['citation']} + 0.10 * {JACCARD['keyword']}, 6) + 0.0 AS edge FROM cosines")
+@query("hybrid_similarity", f"SELECT a, b, round(hybrid, 6) AS hybrid FROM hybrids WHERE hybrid >= {HYBRID_LEAST}")
 def hybrid_similarity(spark, d):
-    pairs = all_pairs(spark, d)
-    own = {k: scoring.jaccard(id_set("a", m), id_set("b", m)) for k, m in SETS.items()}
-    return pairs.select("a", "b", r6(relations.hybrid_similarity({"embedding": F.col("similarity"), **own})).alias("hybrid"), r6(relations.hybrid_similarity(own)).alias("lexical"), r6(relations.edge_hybrid(F.col("similarity"), own["citation"], own["keyword"])).alias("edge"))
+    """Pairs of papers alike by vectors, cited parts, methods, tasks and tags: all five signals in one join."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("value"))
+    entities = views.paper_entities(spark, d).withColumnRenamed("paper_id", "id").withColumnRenamed("entity_value", "value")
+    tags = views.paper_tags(spark, d).select(F.col("paper_id").alias("id"), F.col("tag_id").alias("value"))
+    sets = [lines, entities.filter("entity_type = 'METHOD'"), entities.filter("entity_type = 'TASK'"), tags]
+    units = views.vectors(spark, d).select("id", vectors.l2_normalise(F.col("v")).alias("v"))
+    known = [signals.ordered_sets(x.join(units.select("id"), "id", "left_semi")) for x in sets]
+    pairs = signals.signal_pairs(units, known, tuple(relations.HYBRID[k] for k in ("embedding", *SIGNAL_SETS)), HYBRID_LEAST, None, dense=True)
+    return pairs.select("a", "b", r6("weight").alias("hybrid"))
 
 
-TABLES["author_sets"] = "SELECT paper_id, list_distinct(list(lower(name))) AS names FROM paper_authors JOIN authors ON author_id = id GROUP BY paper_id"
-TABLES["tag_sets"] = "SELECT paper_id, list_distinct(list(lower(name))) AS names FROM paper_tags JOIN tags ON tag_id = id GROUP BY paper_id"
 SHARED_SQL = " + ".join(f"{w} * CASE WHEN len({x}) + len({y}) > 0 THEN {jaccard_sql(x, y)} ELSE 0 END" for w, (x, y) in zip(signals.WEIGHTS[1:], ((f"coalesce(x{s}.names, [])", f"coalesce(y{s}.names, [])") for s in "at"), strict=True))
 SETS_SQL = " ".join(f"LEFT JOIN {t}_sets {side}{t[0]} ON {side}{t[0]}.paper_id = {c}" for t in ("author", "tag") for side, c in (("x", "a"), ("y", "b")))
 TABLES["hybrid_edges"] = f"""SELECT a, b, round(weight, 6) AS weight FROM (SELECT a, b, {signals.WEIGHTS[0]} * CASE WHEN similarity <= 0.4 THEN 0 ELSE pow((similarity - 0.4) / 0.6, 2) END + {SHARED_SQL} AS weight
@@ -126,27 +117,39 @@ def shared_sets(spark, d):
     """The papers' authors and tags, by lower-cased name."""
     authors = views.paper_authors(spark, d).join(views.authors(spark, d), F.col("author_id") == F.col("id")).select(F.col("paper_id").alias("id"), F.lower("name").alias("value"))
     tags = views.paper_tags(spark, d).join(views.tags(spark, d), F.col("tag_id") == F.col("id")).select(F.col("paper_id").alias("id"), F.lower("name").alias("value"))
-    return signals.ordered_sets(authors), signals.ordered_sets(tags)
+    return [signals.ordered_sets(authors), signals.ordered_sets(tags)]
 
 
 @query("edge_hybrid", "SELECT a, b, weight FROM hybrid_edges")
 def edge_hybrid(spark, d):
     """Pairs of papers with vectors that meet the edge rule: rescaled cosine, shared authors, shared tags."""
     units = views.vectors(spark, d).select("id", vectors.l2_normalise(F.col("v")).alias("v"))
-    return signals.signal_pairs(units, *shared_sets(spark, d), dense=True).withColumn("weight", r6("weight"))
+    return signals.signal_pairs(units, shared_sets(spark, d), dense=True, scale=signals.rescaled).withColumn("weight", r6("weight"))
 
 
 TABLES["centroids"] = "SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY label, i) GROUP BY label"
 
 
-@query("cluster_similarity", """SELECT x.label AS a, y.label AS b, round(0.5 * list_dot_product(x.c, y.c) / (sqrt(list_dot_product(x.c, x.c)) * sqrt(list_dot_product(y.c, y.c))) + 0.3 * CASE WHEN x.label % 3 = y.label % 3 THEN 1 ELSE 0 END + 0.2 * CASE WHEN x.label % 2 = y.label % 2 THEN 1 ELSE 0 END, 6) AS dense,
-  round(CAST(0.6 * CASE WHEN x.label % 3 = y.label % 3 THEN 1 ELSE 0 END + 0.4 * CASE WHEN x.label % 2 = y.label % 2 THEN 1 ELSE 0 END AS DOUBLE), 6) AS sparse FROM centroids x JOIN centroids y ON x.label < y.label""")
+CLUSTER_SETS = {"method": "METHOD", "task": "TASK"}
+for name, kind in CLUSTER_SETS.items():
+    TABLES[f"cluster_{name}"] = f"SELECT label, list_distinct(list(entity_value)) AS v FROM embeddings JOIN paper_entities ON paper_id = vec_id WHERE entity_type = '{kind}' GROUP BY label"
+CLUSTER_JACCARD = [f"coalesce({jaccard_sql(f'x{name[0]}.v', f'y{name[0]}.v')}, 0)" for name in CLUSTER_SETS]
+CLUSTER_JOIN = " ".join(f"LEFT JOIN cluster_{name} {side}{name[0]} ON {side}{name[0]}.label = {side}.label" for name in CLUSTER_SETS for side in "xy")
+
+
+@query("cluster_similarity", f"""SELECT a, b, round(0.5 * cosine + 0.3 * m + 0.2 * t, 6) AS dense, round(0.6 * m + 0.4 * t, 6) AS sparse FROM (SELECT x.label AS a, y.label AS b, list_dot_product(x.c, y.c) / (sqrt(list_dot_product(x.c, x.c)) * sqrt(list_dot_product(y.c, y.c))) AS cosine, {CLUSTER_JACCARD[0]} AS m, {CLUSTER_JACCARD[1]} AS t
+  FROM centroids x JOIN centroids y ON x.label < y.label {CLUSTER_JOIN})""")
 def cluster_similarity(spark, d):
-    """Pairs of clusters, which are few, by centroids and shared methods and tasks."""
-    c = joins.centroids(views.vectors(spark, d), "label")
-    pairs = c.toDF("a", "ca").join(c.toDF("b", "cb"), F.col("a") < F.col("b"))
-    same = lambda m: (F.col("a") % m == F.col("b") % m).cast("double")
-    return pairs.select("a", "b", r6(relations.cluster_similarity(vectors.cosine(F.col("ca"), F.col("cb")), same(3), same(2))).alias("dense"), r6(relations.cluster_similarity(None, same(3), same(2))).alias("sparse"))
+    """Pairs of clusters, which are few, by centroids and by the methods and tasks that their papers share."""
+    v = views.vectors(spark, d)
+    entities = views.paper_entities(spark, d).join(v.select(F.col("id").alias("paper_id"), "label"), "paper_id")
+    of = lambda kind: F.coalesce(F.collect_set(F.when(F.col("entity_type") == kind, F.col("entity_value"))), F.array().cast("array<string>"))
+    sets = entities.groupBy("label").agg(of("METHOD").alias("m"), of("TASK").alias("t"))
+    c = joins.centroids(v, "label").join(sets, "label", "left")
+    pairs = c.toDF("a", "ca", "ma", "ta").join(c.toDF("b", "cb", "mb", "tb"), F.col("a") < F.col("b"))
+    same = lambda x, y: F.coalesce(F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))), F.lit(0.0))
+    m, t = same(F.col("ma"), F.col("mb")), same(F.col("ta"), F.col("tb"))
+    return pairs.select("a", "b", r6(relations.cluster_similarity(vectors.cosine(F.col("ca"), F.col("cb")), m, t)).alias("dense"), r6(relations.cluster_similarity(None, m, t)).alias("sparse"))
 
 
 # --- graph
@@ -162,7 +165,7 @@ def similarity_edges(spark, d):
 def similarity_edges_tfidf(spark, d):
     """The edges of papers without vectors: the same rule over the cosine of their TF-IDF vectors."""
     terms = signals.ordered_vectors(lexical.weighted_terms(saved(words_of(spark, d), "words")))
-    edges = signals.signal_pairs(saved(terms, "term-vectors"), *shared_sets(spark, d))
+    edges = signals.signal_pairs(saved(terms, "term-vectors"), shared_sets(spark, d))
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("RELATED").alias("type"), r6("weight").alias("weight"))
 
 
@@ -373,30 +376,30 @@ def title_words(spark, d):
     return views.papers(spark, d).select("id", F.explode(F.array_distinct(text.token_array(F.col("title")))).alias("word"))
 
 
-def cues_sql(column, cues):
-    return " + ".join(f"CAST(contains(lower({column}), '{c}') AS INT)" for c in cues)
+@query("jaccard", "SELECT a, b, round(jaccard, 6) AS jaccard FROM title_pairs WHERE jaccard >= 0.5 - 1e-12")
+def jaccard(spark, d):
+    """Papers whose titles have half of their words in common."""
+    return relations.set_pairs(title_words(spark, d), "id", "word", 0.5).select("a", "b", r6("jaccard").alias("jaccard"))
 
 
-RELATION = f"""SELECT a, b, jaccard, shared, x.year AS year_a, y.year AS year_b, {cues_sql('x.title', config.METHOD_CUES)} AS mx, {cues_sql('y.title', config.METHOD_CUES)} AS my,
-  ({cues_sql('x.title', config.CONTRADICT_CUES)} + {cues_sql('y.title', config.CONTRADICT_CUES)}) > 0 AS con, ({cues_sql('x.title', config.EXTEND_CUES)} + {cues_sql('y.title', config.EXTEND_CUES)}) > 0 AS ext FROM title_pairs JOIN papers x ON x.id = a JOIN papers y ON y.id = b"""
-TABLES["relation_facts"] = f"SELECT *, CASE WHEN least(mx, my) > 2 THEN least(mx, my) ELSE 0 END AS m FROM ({RELATION})"
+def classifier_sql(x):
+    return f"list_distinct(list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9-]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in config.STOP_WORDS)})))"
 
 
-@query("relationship_rules", """SELECT CASE WHEN year_a >= year_b THEN a ELSE b END AS source, CASE WHEN year_a >= year_b THEN b ELSE a END AS target,
-  CASE WHEN m > 0 THEN 'METHODOLOGY' WHEN con AND jaccard > 0.08 THEN 'CONTRADICTS' WHEN ext AND year_a <> year_b THEN 'EXTENDS' WHEN jaccard >= 0.10 OR shared >= 4 THEN 'SUPPORTS' END AS type,
-  round(CAST(CASE WHEN m > 0 THEN least(0.85, 0.55 + 0.1 * m) WHEN con AND jaccard > 0.08 THEN least(0.75, 0.45 + 2 * jaccard) WHEN ext AND year_a <> year_b THEN least(0.8, 0.5 + 2.5 * jaccard) ELSE least(0.75, 0.4 + 3 * jaccard) END AS DOUBLE), 6) AS confidence FROM relation_facts WHERE m > 0 OR (con AND jaccard > 0.08) OR (ext AND year_a <> year_b) OR jaccard >= 0.10 OR shared >= 4""")
-def relationship_rules(spark, d):
-    """Rules on every pair of papers that they call related by the words of their titles."""
-    return relation_rules(views.papers(spark, d), relations.set_pairs(title_words(spark, d), "id", "word", relations.RELATED_JACCARD, relations.RELATED_SHARED))
+TABLES["rel_papers"] = f"SELECT id, year, list_distinct(list_concat({classifier_sql('title')}, body)) AS words, len(list_intersect(body, {list(views.CONTRADICT_WORDS)})) > 0 AS con, len(list_intersect(body, {list(views.EXTEND_WORDS)})) > 0 AS ext FROM (SELECT id, title, year, {classifier_sql('abstract_text')} AS body FROM papers)"
+TABLES["rel_words"] = f"SELECT id, word, word IN ({', '.join(repr(w) for w in views.METHOD_WORDS)}) AS is_method FROM (SELECT id, unnest(words) AS word FROM rel_papers)"
+TABLES["rel_shared"] = "SELECT x.id AS a, y.id AS b, count(*) AS shared, count(*) FILTER (WHERE x.is_method) AS m FROM rel_words x JOIN rel_words y ON x.word = y.word AND x.id < y.id GROUP BY 1, 2"
+TABLES["rel_facts"] = """SELECT s.a, s.b, shared, m, shared / (len(x.words) + len(y.words) - shared) AS j, x.con OR y.con AS con, x.ext OR y.ext AS ext, x.year AS ya, y.year AS yb, similarity AS s
+  FROM rel_shared s JOIN rel_papers x ON x.id = s.a JOIN rel_papers y ON y.id = s.b LEFT JOIN cosines c ON c.a = s.a AND c.b = s.b WHERE shared / (len(x.words) + len(y.words) - shared) >= 0.05 OR shared >= 3"""
+TABLES["rel_typed"] = """SELECT *, CASE WHEN m > 0 THEN 'METHODOLOGY' WHEN con AND j > 0.08 THEN 'CONTRADICTS' WHEN ext AND ya <> yb THEN 'EXTENDS' WHEN j >= 0.10 OR shared >= 4 OR s >= 0.60 THEN 'SUPPORTS' END AS type,
+  CAST(CASE WHEN m > 0 THEN least(0.85, 0.55 + 0.1 * m) WHEN con AND j > 0.08 THEN least(0.75, 0.45 + 2 * j) WHEN ext AND ya <> yb THEN least(0.8, 0.5 + 2.5 * j) WHEN j >= 0.10 OR shared >= 4 THEN least(0.75, 0.4 + 3 * j) ELSE least(0.70, 0.35 + 0.5 * s) END AS DOUBLE) AS raw FROM rel_facts"""
 
 
-def relation_rules(papers, pairs):
-    p = papers.select("id", "title", "year")
-    x, y = p.select(F.col("id").alias("a"), F.col("title").alias("ta"), F.col("year").alias("year_a")), p.select(F.col("id").alias("b"), F.col("title").alias("tb"), F.col("year").alias("year_b"))
-    m = F.least(relations.cue_count(F.col("ta"), config.METHOD_CUES), relations.cue_count(F.col("tb"), config.METHOD_CUES))
-    either = lambda cues: (relations.cue_count(F.col("ta"), cues) + relations.cue_count(F.col("tb"), cues)) > 0
-    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "jaccard", "shared", F.when(m > 2, m).otherwise(0).alias("methods"), either(config.CONTRADICT_CUES).alias("contradicts"), either(config.EXTEND_CUES).alias("extends"), "year_a", "year_b", F.lit(None).cast("double").alias("neural"))
-    return relations.relationship(rows)
+@query("relationship_rules", """SELECT CASE WHEN ya >= yb THEN a ELSE b END AS source, CASE WHEN ya >= yb THEN b ELSE a END AS target, type, round(CASE WHEN s >= 0.75 THEN least(0.95, raw * 1.15) WHEN s >= 0 AND s < 0.30 THEN raw * 0.70 ELSE raw END + 1e-9, 6) AS confidence FROM rel_typed WHERE type IS NOT NULL""")
+def relationship_rules(spark, d):
+    """Every pair of papers that a rule relates by words of titles and abstracts, and by vectors where there are any."""
+    facts = relations.relationship_facts(views.papers(spark, d), views.vectors(spark, d), views.METHOD_WORDS, views.CONTRADICT_WORDS, views.EXTEND_WORDS)
+    return relations.relationships(saved(spread(facts), "relation-facts")).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
 
 
 TABLES["dup_pairs"] = """SELECT a, b, min(n) AS n FROM (SELECT x.id AS a, y.id AS b, 1 AS n FROM papers x JOIN papers y ON lower(x.doi) = lower(y.doi) AND x.id < y.id WHERE coalesce(x.doi, '') <> ''

@@ -207,6 +207,25 @@ def extract_entities(spark, d):
     return entities.extract(docs(spark, d))
 
 
+PHRASES = [*entities.plain_phrases(), *views.PHRASES]
+
+
+def phrase_sql(kind):
+    """Longest alternatives first; separators are doubled, so that each match can take one on either side."""
+    own = sorted({p.replace("-", " ") for k, p in PHRASES if k == kind}, key=lambda p: (-len(p), p))
+    return f"SELECT id, '{kind}' AS entity_type, unnest(regexp_extract_all(regexp_replace(t, '([ .])', '\\1\\1', 'g'), '(?:^|[ .])({'|'.join(p.replace(' ', '  ') for p in own)})(?:$|[ .])', 1)) AS v FROM phrase_texts"
+
+
+TABLES["phrase_texts"] = r"SELECT doc_id AS id, trim(regexp_replace(regexp_replace(lower(text), '[\s-]+', ' ', 'g'), ' *[^\p{L}\p{N} ]+ *', '.', 'g')) AS t FROM documents"
+
+
+@query("phrase_entities", "SELECT DISTINCT id, entity_type, replace(v, '  ', ' ') AS entity_value FROM (" + " UNION ALL ".join(phrase_sql(k) for k in sorted({k for k, _ in PHRASES})) + ")")
+def phrase_entities(spark, d):
+    """Entities by a dictionary of phrases instead of patterns."""
+    known = spark.createDataFrame(PHRASES, "entity_type string, phrase string")
+    return entities.phrase_entities(docs(spark, d), known, max(len(p.replace("-", " ").split()) for _, p in PHRASES))
+
+
 @query("doc_text", "SELECT id, md5(concat_ws(' ', title, title, title, abstract_text, venue)) AS search_text, md5(concat_ws(' ', title, title, abstract_text)) AS cluster_text FROM papers")
 def doc_text(spark, d):
     p = views.papers(spark, d)

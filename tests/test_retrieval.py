@@ -80,3 +80,37 @@ def test_resampling_in_buckets(spark, monkeypatch):
     zero = spark.createDataFrame([(0.0,), (0.0,)], "x double")
     assert evaluation.permutation_test(zero, 200).first().p == 1.0
     assert evaluation.permutation_test(spark.createDataFrame([(1.0,)] * 12, "x double"), 2000).first().p < 0.01
+
+
+def plain_phrase_entities(text, phrases, most=4):
+    """Clauses, then per type the longest phrase at each place, left to right, without overlap."""
+    import re
+
+    out = set()
+    for clause in re.split(r"[^a-z0-9\s-]+", text.lower()):
+        words = [w for w in re.split(r"[\s-]+", clause) if w]
+        for kind in {k for k, _ in phrases}:
+            own, at = {p.replace("-", " ") for k, p in phrases if k == kind}, 0
+            while at < len(words):
+                hit = next((n for n in range(most, 0, -1) if at + n <= len(words) and " ".join(words[at : at + n]) in own), None)
+                if hit:
+                    out.add((kind, " ".join(words[at : at + hit])))
+                at += hit or 1
+    return out
+
+
+def test_phrases_of_a_dictionary(spark, monkeypatch):
+    import random
+
+    from scriptorium.operators import entities
+
+    rng = random.Random(3)
+    words = ["time", "series", "analysis", "of", "variance", "meta", "deep", "x1"]
+    phrases = [("M", "time series"), ("M", "time series analysis"), ("M", "analysis of variance"), ("M", "meta-analysis"), ("M", "variance"), ("T", "series analysis"), ("T", "x1"), ("T", "deep time series analysis"), ("T", None)]
+    texts = [(i, "".join(rng.choice(words) + rng.choice((" ", " ", " ", "-", ", ", "\n", ". ")) for _ in range(30)).title()) for i in range(60)] + [(100, None), (101, ""), (102, "--")]
+    docs, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(phrases, "entity_type string, phrase string")
+    plain = {(i, k, v) for i, t in texts for k, v in plain_phrase_entities(t or "", [p for p in phrases if p[1]])}
+    assert len(plain) > 100
+    assert {tuple(r) for r in entities.phrase_entities(docs, known).collect()} == plain
+    monkeypatch.setattr(entities, "DICTIONARY", 2)  # too large to be sent: the same by a shuffle
+    assert {tuple(r) for r in entities.phrase_entities(docs, known).collect()} == plain

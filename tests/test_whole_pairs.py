@@ -8,38 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import config
-from scriptorium.functions import text
 from scriptorium.operators import relations, signals
 from scriptorium.plans import QUERIES
-from scriptorium.plans.graph_queries import SETS
-
-
-@pytest.fixture(scope="module")
-def tables(spark, tmp_path_factory):
-    d = tmp_path_factory.mktemp("pairs")
-    rng = np.random.default_rng(3)
-    spark.createDataFrame([(i, rng.normal(size=12).tolist(), i % 3) for i in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
-    words = random.Random(4)
-    titles = [(i, " ".join(words.choice("novel method improves parsing however graph speech vision theory search ranking model".split()) for _ in range(7)), "en", "s", 40) for i in range(40)]
-    spark.createDataFrame(titles, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
-    return str(d)
 
 
 def jaccard_of(x, y):
     return len(x & y) / len(x | y) if x or y else 0.0
 
 
-def jaccard(a, b, moduli):
-    return jaccard_of({a % m for m in moduli}, {b % m for m in moduli})
-
-
-def cosines(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
-    v = np.array([r.embedding for r in rows])
-    v /= np.sqrt((v * v).sum(axis=1, keepdims=True))
-    return {(a, b): float(v[a] @ v[b]) for a, b in itertools.combinations(range(len(v)), 2)}
-
-
 SIGNALS = "id long, value string"
 
 
@@ -65,7 +41,7 @@ def test_edges_of_dense_vectors(spark, tile):
     authors, tags, tables = signal_tables(spark, rng, ids)
     plain = plain_edges(lambda a, b: max(0.0, (v[a] @ v[b] - 0.4) / 0.6) ** 2, authors, tags, ids)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "id long, v array<double>")
-    got = {(r.a, r.b): r.weight for r in signals.signal_pairs(df, *tables, dense=True, tile=tile).collect()}
+    got = {(r.a, r.b): r.weight for r in signals.signal_pairs(df, tables, dense=True, scale=signals.rescaled, tile=tile).collect()}
     assert got == pytest.approx(plain) and len(plain) > 100
 
 
@@ -83,11 +59,11 @@ def test_edges_of_sparse_vectors(spark, seed, tile):
     authors, tags, tables = signal_tables(spark, rng, ids, hot=seed == 2)
     rows = spark.createDataFrame([(i, w, float(x), df[w]) for i, own in weight.items() for w, x in own.items()], "id long, term string, weight double, df long")
     vectors = signals.ordered_vectors(rows)
-    got = {(r.a, r.b): r.weight for r in signals.signal_pairs(vectors, *tables, tile=tile).collect()}
+    got = {(r.a, r.b): r.weight for r in signals.signal_pairs(vectors, tables, tile=tile).collect()}
     assert got == pytest.approx(plain_edges(cosine, authors, tags, ids))
     # a higher threshold, with bounds of its own
     high = {p: w for p, w in plain_edges(cosine, authors, tags, ids).items() if w >= 0.6}
-    found = signals.signal_pairs(vectors, *tables, least=0.6, bounds=(0.6, 0.5, 0.7), tile=tile)
+    found = signals.signal_pairs(vectors, tables, least=0.6, bounds=(0.6, 0.5, 0.7), tile=tile)
     assert {(r.a, r.b): r.weight for r in found.collect()} == pytest.approx(high)
 
 
@@ -97,7 +73,7 @@ def test_high_thresholds_send_few_copies(spark):
     rows = [(i, "all", 0.2, 400) for i in range(400)] + [(i, f"w{i // 2 if i < 40 else 1000 + i}", 1.0, 2 if i < 40 else 1) for i in range(400)]
     vectors = signals.ordered_vectors(spark.createDataFrame(rows, "id long, term string, weight double, df long"))
     none = signals.ordered_sets(spark.createDataFrame([], SIGNALS))
-    assert rng and {(r.a, r.b) for r in signals.signal_pairs(vectors, none, none, least=0.6, bounds=(0.8, 1.0, 1.0), tile=20).collect()} == {(i, i + 1) for i in range(0, 40, 2)}
+    assert rng and {(r.a, r.b) for r in signals.signal_pairs(vectors, [none, none], least=0.6, bounds=(0.8, 0.0, 0.0), tile=20).collect()} == {(i, i + 1) for i in range(0, 40, 2)}
     docs = vectors.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(20)).cast("int"))
     assert signals.routed(docs, [signals.cosine_prefix(F.col("v"), 0.8)], 20).count() < 400 + 80
 
@@ -108,29 +84,72 @@ def test_edge_queries(spark, data):
     assert edges == {(r.a, r.b): r.weight for r in QUERIES["edge_hybrid"](spark, data).collect()} and edges
 
 
-def test_hybrid_similarity_of_every_pair(spark, tables):
-    plain = {p: 0.75 * s + 0.15 * jaccard(*p, SETS["citation"]) + 0.10 * jaccard(*p, SETS["keyword"]) for p, s in cosines(spark, tables).items()}
-    assert {(r.a, r.b): r.edge for r in QUERIES["hybrid_similarity"](spark, tables).collect()} == pytest.approx(plain, abs=2e-6)
-
-
-def test_relationships_of_all_related_pairs(spark, tables):
-    docs = spark.read.parquet(f"{tables}/documents.parquet")
-    tokens = {r.doc_id: set(r.t) for r in docs.select("doc_id", text.token_array(docs["text"].substr(1, 60)).alias("t")).collect()}
-    titles = {r.doc_id: r.text[:60].lower() for r in docs.collect()}
-    cues = lambda i, words: sum(c in titles[i] for c in words)
+def test_any_number_of_signals(spark):
+    """A raw cosine and three sets; and bounds that could lose a pair are refused."""
+    rng, nrng = random.Random(11), np.random.default_rng(11)
+    v = nrng.normal(size=(50, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sets = [{i: {f"v{rng.randrange(20)}" for _ in range(rng.randrange(5))} for i in range(50)} for _ in range(3)]
+    tables = [signals.ordered_sets(spark.createDataFrame([(i, x) for i, own in one.items() for x in own], SIGNALS)) for one in sets]
+    weights = (0.4, 0.3, 0.2, 0.1)
+    plain = {(a, b): weights[0] * float(v[a] @ v[b]) + sum(w * jaccard_of(one[a], one[b]) for w, one in zip(weights[1:], sets, strict=True)) for a, b in itertools.combinations(range(50), 2)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = signals.signal_pairs(df, tables, weights, 0.3, None, dense=True, tile=13)
+    assert {(r.a, r.b): r.weight for r in got.collect()} == pytest.approx({p: w for p, w in plain.items() if w >= 0.3})
+    with pytest.raises(ValueError, match="bounds"):
+        signals.signal_pairs(df, tables, weights, 0.3, (0.5, 0.5, 0.5, 0.5))
+
+
+def plain_relation(a, b, neural):
+    """The rules in their order for papers (id, year, all words, words of the abstract)."""
+    (_, ya, x, bx), (_, yb, y, by) = a, b
+    both, j = x & y, len(x & y) / len(x | y) if x | y else 0.0
+    if j < 0.05 and len(both) < 3:
+        return None
+    m = len(both & set(config.METHOD_WORDS))
+    either = lambda words: bool((bx | by) & set(words))
+    if m:
+        kind, c = "METHODOLOGY", min(0.85, 0.55 + 0.1 * m)
+    elif either(config.CONTRADICT_WORDS) and j > 0.08:
+        kind, c = "CONTRADICTS", min(0.75, 0.45 + 2 * j)
+    elif either(config.EXTEND_WORDS) and ya != yb:
+        kind, c = "EXTENDS", min(0.80, 0.5 + 2.5 * j)
+    elif j >= 0.10 or len(both) >= 4:
+        kind, c = "SUPPORTS", min(0.75, 0.4 + 3 * j)
+    elif neural is not None and neural >= 0.60:
+        kind, c = "SUPPORTS", min(0.70, 0.35 + 0.5 * neural)
+    else:
+        return None
+    if neural is not None and neural >= 0.75:
+        c = min(0.95, c * 1.15)
+    elif neural is not None and 0 <= neural < 0.30:
+        c *= 0.70
+    return kind, c
+
+
+@pytest.mark.parametrize("tile", [23, 1000])
+def test_relationships_of_all_related_pairs(spark, tile):
+    rng, nrng = random.Random(7), np.random.default_rng(7)
+    plain_words = [f"term{i}" for i in range(400)]
+    cues = [*config.METHOD_WORDS[:8], *config.CONTRADICT_WORDS[:3], *config.EXTEND_WORDS[:3]]
+    text = lambda n: " ".join(rng.choice(plain_words) if rng.random() < 0.985 else rng.choice(cues) for _ in range(n))
+    papers = [(i, text(rng.randrange(6)), rng.choice([None, text(rng.randrange(1, 40))]), 2000 + rng.randrange(4)) for i in range(200)]
+    v = {i: x / np.linalg.norm(x) for i, x in zip(range(0, 200, 2), nrng.normal(size=(100, 3)), strict=True)}
+    df = spark.createDataFrame(papers, "id long, title string, abstract_text string, year int")
+    vectors = spark.createDataFrame([(i, (3 * x).tolist()) for i, x in v.items()], "id long, v array<double>")
+    split = lambda t: {w for w in (t or "").split() if len(w) >= 3 and w not in config.STOP_WORDS}
+    own = [(i, y, split(t) | split(b), split(b)) for i, t, b, y in papers]
     plain = {}
-    for a, b in itertools.combinations(tokens, 2):
-        x, y = tokens[a], tokens[b]
-        shared, j = len(x & y), len(x & y) / len(x | y)
-        m = min(cues(a, config.METHOD_CUES), cues(b, config.METHOD_CUES))
-        either = lambda words: cues(a, words) + cues(b, words) > 0  # noqa: B023, E731
-        if j < 0.05 and shared < 3:
-            continue
-        kind = "METHODOLOGY" if m > 2 else "CONTRADICTS" if either(config.CONTRADICT_CUES) and j > 0.08 else "EXTENDS" if either(config.EXTEND_CUES) and a % 25 != b % 25 else "SUPPORTS" if j >= 0.10 or shared >= 4 else None
-        if kind:
-            plain[(a, b) if a % 25 >= b % 25 else (b, a)] = kind
-    got = {(r.source, r.target): r.type for r in QUERIES["relationship_rules"](spark, tables).collect()}
-    assert got == plain
+    for a, b in itertools.combinations(own, 2):
+        found = plain_relation(a, b, float(v[a[0]] @ v[b[0]]) if a[0] in v and b[0] in v else None)
+        if found:
+            plain[(a[0], b[0]) if a[1] >= b[1] else (b[0], a[0])] = found
+    got = {(r.source, r.target): (r.type, r.confidence) for r in relations.relationships(relations.relationship_facts(df, vectors), tile).collect()}
+    assert {p: k for p, (k, _) in got.items()} == {p: k for p, (k, _) in plain.items()}
+    assert {p: c for p, (_, c) in got.items()} == pytest.approx({p: c for p, (_, c) in plain.items()})
+    assert {k for k, _ in plain.values()} == set(relations.KINDS) and len(plain) > 300
+    alone = relations.relationships(relations.relationship_facts(df), tile).collect()
+    assert {r.type for r in alone} <= set(relations.KINDS)
 
 
 def test_set_pairs_by_shared_values(spark):

@@ -11,3 +11,47 @@ def test_rescaled_cosines_of_all_pairs(spark, data):
     n = spark.read.parquet(f"{data}/embeddings.parquet").count()
     rows = QUERIES["neural_rescale"](spark, data)
     assert rows.count() == n * (n - 1) // 2 and rows.filter("weight = 0").count()
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """600 papers: 300 with one title, others alike in part; dois and years shared by some."""
+    words = [(i, w) for i in range(600) for w in (["a", "b", "c", "d"] if i % 2 else [f"x{i % 40}", "y", f"z{i % 3}", "a"])]
+    papers = [(i, None if i % 5 == 0 else f"10.1/{'A' if i % 7 else 'a'}{i % 90}", None if i % 31 == 0 else 2000 + i % 4) for i in range(600)]
+    return spark.createDataFrame(words, "id long, word string"), spark.createDataFrame(papers, "id long, doi string, year int"), words, papers
+
+
+def plain_pairs(words, papers, least):
+    sets = {}
+    for i, w in words:
+        sets.setdefault(i, set()).add(w)
+    for (a, da, ya), (b, db, yb) in itertools.combinations(papers, 2):
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        yield a, b, round(j, 9), "DOI" if da and db and da.lower() == db.lower() else "TITLE" if j >= least and ya and ya == yb else None
+
+
+def test_copies_are_paired_without_shuffling_pairs(spark, copies):
+    from scriptorium.operators import relations
+
+    words, papers, w, p = copies
+    found = relations.set_pairs(words, "id", "word", 0.5)
+    assert sorted((r.a, r.b, round(r.jaccard, 9)) for r in found.collect()) == [(a, b, j) for a, b, j, _ in plain_pairs(w, p, 0.5) if j >= 0.5]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Deduplicate" not in plan and plan.index("Generate explode") < plan.index("Repartition")  # pairs are made after the last shuffle
+
+
+def test_duplicates_of_classes(spark, copies):
+    from scriptorium.operators import relations
+
+    words, papers, w, p = copies
+    near = spark.createDataFrame([(0, 1, 0.95), (1, 3, 0.99), (10, 500, 0.91), (2, 4, 0.5)], "a long, b long, similarity double")
+    plain = {(a, b): rule for a, b, _, rule in plain_pairs(w, p, 0.85) if rule}
+    for a, b in ((0, 1), (1, 3), (10, 500)):
+        plain.setdefault((a, b), "VECTOR")
+    got = [(r.a, r.b, r.rule) for r in relations.duplicate_pairs(papers, words, near).collect()]
+    assert sorted(got) == sorted((a, b, rule) for (a, b), rule in plain.items())
+    anchor = {}
+    for i in range(600):
+        anchor[i] = min((a for a in range(i) if (a, i) in plain and anchor[a] == a), default=i)
+    found = relations.duplicate_groups(near.filter("similarity >= 0.9"), papers, *relations.duplicate_classes(papers, words))
+    assert {r.id: r.anchor for r in found.collect()} == anchor

@@ -206,18 +206,32 @@ def type_counts(gaps: DataFrame) -> DataFrame:
     return kinds.join(gaps.groupBy("gap_type").agg(F.count("*").alias("n")), "gap_type", "left").select("gap_type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def method_links(c: Context) -> DataFrame:
+def method_links(c: Context, first: int | None = None) -> DataFrame:
     """(a, b, methods): papers that share a method and no edge. Pairs come from the methods that both have.
 
-    The papers of a frequent method are dealt over keys of METHOD_PIECE papers each, so that no task holds them all.
+    The papers of a frequent method are dealt over keys of METHOD_PIECE papers each, so that no task holds them all. With
+    `first`, the result is the first so many pairs in the order of a, b: then only the papers of smallest ids are paired
+    with all others, ever more of them until there are so many pairs.
     """
     m = c.entities.filter(F.col("entity_type") == "METHOD").select("paper_id", F.col("entity_value").alias("m")).distinct()
+    known = c.edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if first is not None:
+        m = saved(m, "methods")
+        ids, taken = m.select(F.col("paper_id").alias("a")).distinct(), 4
+        while True:
+            lowest = ids.orderBy("a").limit(taken)
+            left = F.broadcast(m.select(F.col("paper_id").alias("a"), "m").join(F.broadcast(lowest), "a", "left_semi"))  # `taken` papers
+            pairs = m.select(F.col("paper_id").alias("b"), "m").join(left, "m").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("methods"))
+            near = known.join(F.broadcast(lowest), "a", "left_semi")
+            best = saved(pairs.join(near, ["a", "b"], "left_anti").select("a", "b", "methods").orderBy("a", "b").limit(first), "method-links")
+            if best.count() == first or lowest.count() < taken:
+                return best
+            taken *= 8
     pieces = m.groupBy("m").agg(F.ceil(F.count("*") / METHOD_PIECE).cast("int").alias("pieces"))
     m = m.join(pieces, "m")
     left = m.select(F.col("paper_id").alias("a"), "m", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     right = m.select(F.col("paper_id").alias("b"), "m", F.pmod(F.xxhash64("paper_id"), F.col("pieces")).cast("int").alias("piece"))
     pairs = left.join(right, ["m", "piece"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("methods"))
-    known = c.edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(known, ["a", "b"], "left_anti")
 
 

@@ -178,7 +178,7 @@ def gap_summary(spark, d):
 @query("method_links", "SELECT a, b, methods FROM (SELECT p.paper_id AS a, q.paper_id AS b, count(*) AS methods FROM g_entity p JOIN g_entity q ON p.entity_type = 'METHOD' AND q.entity_type = 'METHOD' AND p.entity_value = q.entity_value AND p.paper_id < q.paper_id GROUP BY 1, 2) m WHERE NOT EXISTS (SELECT 1 FROM g_link WHERE least(g_link.a, g_link.b) = m.a AND greatest(g_link.a, g_link.b) = m.b) ORDER BY a, b LIMIT 20")
 def method_links(spark, d):
     """The first twenty pairs, as the report has them."""
-    return gaps.method_links(context(spark, d)).orderBy("a", "b").limit(20)
+    return gaps.method_links(context(spark, d), 20).orderBy("a", "b").limit(20)
 
 
 @query("opportunity_score", f"SELECT event_id, CAST(round({SCORE}, 6) AS DOUBLE) AS score FROM (SELECT event_id, ({list(gaps.BOOST)})[CAST(event_id % 5 + 1 AS INT)] AS gap_type, event_id % 100 / 100.0 AS confidence, CASE WHEN event_id % 10 <> 9 THEN event_id % 10 / 10.0 END AS coverage, CASE WHEN event_id % 6 <> 5 THEN event_id % 6 / 6.0 END AS evidence, event_id % 25 AS supporting, CASE WHEN event_id % 7 <> 6 THEN event_id % 7 / 7.0 END AS venue, (['GROWING', 'STABLE', 'DECLINING', 'DORMANT', NULL])[CAST(event_id % 5 + 1 AS INT)] AS trend FROM events)")

@@ -55,3 +55,76 @@ def test_duplicates_of_classes(spark, copies):
         anchor[i] = min((a for a in range(i) if (a, i) in plain and anchor[a] == a), default=i)
     found = relations.duplicate_groups(near.filter("similarity >= 0.9"), papers, *relations.duplicate_classes(papers, words))
     assert {r.id: r.anchor for r in found.collect()} == anchor
+
+
+def test_shared_counts_by_bits_and_by_search(monkeypatch):
+    import numpy as np
+
+    from scriptorium.operators import graph
+
+    rng = np.random.default_rng(4)
+    for spread in (300, 10_000_000):  # as bits, and by search
+        sets = [[np.unique(rng.integers(0, spread, rng.integers(0, 60))) for _ in range(20)] for _ in range(2)]
+        for side in sets:
+            side[0] = np.union1d(side[0], [1, 2, 3])
+        rows = [(np.repeat(np.arange(20), [len(x) for x in side]), np.concatenate(side)) for side in sets]
+        p, q = (np.array([x.ravel()[i] for i in range(400) if len(sets[0][i // 20]) and len(sets[1][i % 20])]) for x in np.indices((20, 20)))
+        monkeypatch.setattr(graph, "TABLE_BITS", 1 << 15)
+        assert graph.shared_counts(*rows, p, q).tolist() == [len(np.intersect1d(sets[0][a], sets[1][b])) for a, b in zip(p, q)]
+
+
+def test_common_neighbours_in_tiles(spark):
+    from scriptorium.operators import graph
+
+    kinds = ("RELATED", "EXTENDS", "SUPPORTS")
+    edges = [(a, b, kinds[(a * b) % 3]) for a, b in itertools.combinations(range(60), 2) if (a * 7 + b * 11) % 5 < 2]
+    edges += [(1, 2, "EXTENDS"), (1, 2, "SUPPORTS"), (1, 2, "RELATED")]  # a pair counts once
+    around = {v: set() for v in range(60)}
+    for a, b, t in edges:
+        if t != "RELATED":
+            around[a].add(b), around[b].add(a)
+    found = graph.common_neighbours(spark.createDataFrame(edges, "src long, dst long, type string"), tile_links=100)
+    plain = {(a, b, len(around[a] & around[b])) for a, b, _ in edges if around[a] & around[b]}
+    assert sorted(map(tuple, found.collect())) == sorted(plain)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no row for a neighbour of an edge
+
+
+def test_first_method_links(spark):
+    from scriptorium.operators import gaps
+
+    entities = [(p, "METHOD", f"m{(p * 7 + k) % 9}") for p in range(80) for k in range(p % 3 + 1) if p > 5 or p == 2]
+    links = [(2, b) for b in range(80) if b % 4] + [(50, 6)]
+    c = gaps.Context(None, spark.createDataFrame(entities, "paper_id long, entity_type string, entity_value string"), None, spark.createDataFrame(links, "a long, b long"), 2000)
+    whole = sorted(map(tuple, gaps.method_links(c).collect()))
+    for n in (5, 200, 10_000):
+        assert [tuple(r) for r in gaps.method_links(c, n).orderBy("a", "b").collect()] == whole[:n]
+
+
+def test_relevance_searches_texts_once_for_a_word(spark):
+    from scriptorium.operators import entities
+
+    papers = spark.createDataFrame([(1, "Deep Nets", "on deep LEARNING of nets", 2001), (2, None, "net", 2002), (3, "", None, 2003)], "id long, title string, abstract_text string, year int")
+    queries = spark.createDataFrame([(7, ["deep", "net", "deep"]), (8, ["learning"]), (9, [])], "id long, words array<string>")
+    found = entities.relevance_scores(papers, queries, ("year",))
+    assert sorted(map(tuple, found.collect())) == [(7, 1, 100.0, 2001), (7, 2, 100 / 3, 2002), (7, 3, 0.0, 2003), (8, 1, 100.0, 2001), (8, 2, 0.0, 2002), (8, 3, 0.0, 2003)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_found_in_runs():
+    from scriptorium.operators import entities
+
+    words = ["net", "a-b", "deep", "x", "é", "o w", "2"]
+    texts = ["networks a-bc é2", "", "to way x", "D" * 5, "deepnet" * 30]
+    assert entities.word_finder(words)(texts).tolist() == [[float(w in t) for w in words] for t in texts]
+
+
+def test_author_boosts_of_a_frequent_word(spark, monkeypatch):
+    from scriptorium.operators import entities
+
+    monkeypatch.setattr(entities, "BOOST_PIECE", 8)
+    names = {i: ["ana" if i % 3 else "bo", f"s{i % 40}"] for i in range(120)}
+    rows = list(names.items())
+    found = entities.author_boosts(spark.createDataFrame([(i, [*w, "ana"]) for i, w in rows], "query_id long, q array<string>"), spark.createDataFrame(rows, "author_id long, w array<string>"))
+    plain = [(i, j, min(40.0, 15.0 * sum(x in w for x in [*v, "ana"]))) for i, v in rows for j, w in rows]
+    assert sorted(map(tuple, found.collect())) == [r for r in plain if r[2]]

@@ -128,3 +128,16 @@ def test_author_boosts_of_a_frequent_word(spark, monkeypatch):
     found = entities.author_boosts(spark.createDataFrame([(i, [*w, "ana"]) for i, w in rows], "query_id long, q array<string>"), spark.createDataFrame(rows, "author_id long, w array<string>"))
     plain = [(i, j, min(40.0, 15.0 * sum(x in w for x in [*v, "ana"]))) for i, v in rows for j, w in rows]
     assert sorted(map(tuple, found.collect())) == [r for r in plain if r[2]]
+
+
+def test_norms_of_any_vocabulary_need_no_table_of_terms(spark):
+    from scriptorium.operators import lexical
+
+    words = {1: ["a", "b", "a"], 2: ["b", "c"], 3: [], 4: ["a"] * 3000}
+    hashed = lexical.hashed_terms(spark.createDataFrame(list(words.items()), "id long, words array<string>"))
+    dfs = hashed.selectExpr("explode(array_distinct(h)) AS t").groupBy("t").count().withColumnRenamed("count", "df")
+    found = lexical.joined_norms(hashed, dfs, 4)
+    df = {"a": 2, "b": 2, "c": 1}
+    weigh = lambda w: sum((w.count(t) / len(w) * max(lexical.config.IDF_FLOOR, __import__("math").log(4 / (1 + df[t])))) ** 2 for t in set(w)) ** 0.5
+    assert {r.id: r.norm for r in found.collect()} == pytest.approx({i: weigh(w) for i, w in words.items() if w})
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # terms are counted in the document's array

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scriptorium.llm.common import low_hash, saved, small_batches
+from scriptorium.llm.common import low_hash, returned, saved, small_batches
 from scriptorium.llm.words import batch_word_hashes
 
 #: Bounds of the fit: labelled rows, and their distinct terms in sum.
@@ -167,7 +167,7 @@ class Index:
         edges = np.searchsorted(row, np.arange(0, self.n + step, step))
         for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             own = np.arange(i * step, min(self.n, (i + 1) * step))
-            near = self.nearest(row[lo:hi] - i * step, term[lo:hi], count[lo:hi], len(own), own)
+            near = self.nearest(row[lo:hi].astype(np.int64) - i * step, term[lo:hi], count[lo:hi], len(own), own)
             v.append(self.votes(*near[:3], len(own)))
         v = np.clip(np.concatenate(v), 1e-4, 1 - 1e-4)
         x, y = np.c_[np.log(v / (1 - v)), np.ones(len(v))], self.toxic
@@ -193,6 +193,8 @@ def frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
         term, count = np.append(used, VOCABULARY), np.append(df[used], n)
         for i in range(0, len(term), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(term[i : i + (1 << 16)], pa.int32()), pa.array(count[i : i + (1 << 16)], pa.int64())], names=["term", "n"])
+        del df, used, term, count
+        returned()
 
     sums = docs.select(F.coalesce(text_col, F.lit(""))).mapInArrow(tasks, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = sums.toArrow()  # VOCABULARY + 1 rows at most
@@ -255,19 +257,22 @@ def sampled(sample: DataFrame, df: np.ndarray, n: int) -> dict:
     return {"row": row.astype(np.int16), "term": term.astype(np.int32), "count": count.astype(np.int32), "toxic": toxic, "df": df.astype(small), "n": n, "ids": ids}
 
 
-def built(given: dict) -> Index:
-    return Index(given["row"].astype(np.int64), given["term"].astype(np.int64), given["count"].astype(np.int64), given["toxic"], given["df"].astype(float), given["n"])
+def restored(given: dict, curve: tuple[float, float] | None = None) -> tuple[Index, list]:
+    """The index and the ids of its examples; built once in a worker, which then holds them in place of the sample.
 
-
-def restored(given: dict, curve: tuple[float, float]) -> tuple[Index, list]:
-    """The index and the ids of its examples; built once in a worker, which then holds them in place of the sample."""
+    Without a curve it is fitted here. The sample stays in its small types: wide copies of it would be the larger part.
+    """
     if "model" not in given:
-        index = built(given)
-        index.a, index.b = curve
-        ids = given["ids"]
+        index, ids = Index(*(given[k] for k in ("row", "term", "count", "toxic", "df", "n"))), given["ids"]
+        if curve is None:
+            index.calibrate(given["row"], given["term"], given["count"])
         given.clear()
         given["model"] = index, ids
-    return given["model"]
+        returned()
+    index, ids = given["model"]
+    if curve is not None:
+        index.a, index.b = curve
+    return index, ids
 
 
 def calibrated(spark, shared) -> tuple[float, float]:
@@ -275,8 +280,7 @@ def calibrated(spark, shared) -> tuple[float, float]:
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in it:
-            index, given = built(shared.value), shared.value
-            index.calibrate(given["row"].astype(np.int64), given["term"].astype(np.int64), given["count"].astype(np.int64))
+            index, _ = restored(shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([index.a]), pa.array([index.b])], names=["a", "b"])
 
     return tuple(spark.range(0, 1, 1, 1).mapInArrow(fit, "a double, b double").first())
@@ -315,6 +319,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                         near[t].append({"doc_id": ids[e], "similarity": c, "toxic": int(index.toxic[e])})
                 evidence += near
             yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, shape)], names=[*b.schema.names[:width], "score", "predicted", "evidence"])
+        returned()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return kept.mapInArrow(score, f"{ddl}, score double, predicted int, evidence array<struct<doc_id:{id_type.simpleString()},similarity:double,toxic:int>>")

@@ -145,3 +145,17 @@ def test_every_label_keeps_a_vector_and_entries_bound_the_fit(spark, corpus, mon
 def test_small_table(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     assert toxicity.op10_toxicity(docs, labels).count() == docs.count()
+
+
+def test_a_worker_holds_the_index_in_place_of_the_sample(spark, corpus):
+    """Also the worker that fits the curve: it builds the index once, and wide copies of the sample are not kept beside it."""
+    docs, labels, _ = corpus
+    sample, counts = toxicity.examples(docs, labels, "doc_id", "text"), toxicity.frequencies(docs, "text")
+    given = toxicity.sampled(sample, *counts)
+    wide = toxicity.Index(*(given[k].astype(np.int64) for k in ("row", "term", "count")), given["toxic"], given["df"].astype(float), given["n"])
+    wide.calibrate(*(given[k].astype(np.int64) for k in ("row", "term", "count")))
+    index, ids = toxicity.restored(given)
+    assert set(given) == {"model"} and (index.a, index.b) == (wide.a, wide.b) != (1.0, 0.0)
+    assert toxicity.restored(given, (2.0, -1.0))[0] is index and (index.a, index.b) == (2.0, -1.0) and len(ids) == index.n
+    for name in ("weight", "forward", "posting", "value", "terms", "start", "order"):
+        assert np.array_equal(getattr(index, name), getattr(wide, name))

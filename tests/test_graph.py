@@ -73,6 +73,26 @@ def test_components_bridges_and_betweenness(spark):
     assert got == pytest.approx(expected)
 
 
+def test_betweenness_in_arrays_equals_that_by_joins(spark, monkeypatch):
+    path = [(40 + i, 41 + i, "RELATED", 1.0, 1.0) for i in range(9)]
+    df = spark.createDataFrame([*random_graph(20, 40, 3), *path, (5, 5, "RELATED", 1.0, 1.0), (41, 40, "RELATED", 1.0, 1.0)], EDGE)
+    found = lambda **how: {(r.src, r.dst): r.betweenness for r in frontiers.edge_betweenness(df, **how).collect()}
+    assert found() == pytest.approx(found(links=0))
+    monkeypatch.setattr(frontiers, "CELLS", 90)  # sources in parts, nodes in stretches
+    monkeypatch.setattr(frontiers, "GATHERED", 12)
+    assert found() == pytest.approx({**found(links=0)})
+
+
+def test_path_shares_of_many_equal_paths():
+    """A hundred nodes between two ends: each of their links carries a hundredth of the path, and those among neighbours."""
+    n = 102
+    near = [list(range(1, 101)), *[[0, 101]] * 100, list(range(1, 101))]
+    start = np.append(0, np.cumsum([len(x) for x in near]))
+    share = frontiers.path_shares(start, np.concatenate(near), np.arange(n))
+    # ordered pairs: the two ends 1/100, its own node with each end 1, and half of each pair with another node, both ways
+    assert share == pytest.approx(np.full(400, 1 / 100 + 1 + 99 / 2))
+
+
 def test_orphans_fall_when_edges_are_added(spark):
     nodes = spark.createDataFrame([(i,) for i in range(30)], "id long")
     few, many = random_graph(30, 10), random_graph(30, 40)

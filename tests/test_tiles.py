@@ -42,3 +42,23 @@ def test_pagerank_in_blocks(spark, monkeypatch, tiles):
     nodes = spark.createDataFrame([(i,) for i in ids], "id long")
     found = graph.pagerank(nodes, spark.createDataFrame(edges, "src long, dst long, type string, weight double"), iterations=4)
     assert {r.id: r.rank for r in found.collect()} == pytest.approx({i: r / max(rank.values()) for i, r in rank.items()})
+
+
+@pytest.mark.parametrize(("by", "tile_terms"), [("min", 60), ("sum", 1 << 20)])
+def test_shared_terms_in_tiles(spark, by, tile_terms):
+    from scriptorium.operators import cluster
+
+    rng = random.Random(2)
+    # equal weights, that half a millionth among them, and terms beyond the letters
+    weight = {i: {t: rng.choice((0.0000125, 0.25, 0.5)) for t in rng.sample([*"abcdefghij", "é", "😀", "￿", ""], rng.randrange(12))} for i in range(40)}
+    pairs = [(a, b) for a in range(42) for b in range(a + 1, 42) if rng.random() < 0.4]
+    score = lambda x, y: round((min(x, y) if by == "min" else x + y) + 1e-12, 6)
+    plain = []
+    for a, b in pairs:
+        both = {t: score(x, weight[b][t]) for t, x in weight.get(a, {}).items() if t in weight.get(b, {})}
+        if both:
+            plain.append((a, b, sorted(both, key=lambda t: (-both[t], t.encode()))[:3]))
+    rows = spark.createDataFrame([(i, t, w) for i, own in weight.items() for t, w in own.items()], "id long, term string, weight double")
+    met = cluster.shared_lists(rows, spark.createDataFrame(pairs * 2, "a long, b long"), 3, by, tile_terms)
+    assert sorted(map(tuple, met.collect())) == sorted(plain)
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()  # no row for a term of a pair

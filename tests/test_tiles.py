@@ -62,3 +62,32 @@ def test_shared_terms_in_tiles(spark, by, tile_terms):
     met = cluster.shared_lists(rows, spark.createDataFrame(pairs * 2, "a long, b long"), 3, by, tile_terms)
     assert sorted(map(tuple, met.collect())) == sorted(plain)
     assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()  # no row for a term of a pair
+
+
+def test_dense_signals_in_strips(spark, monkeypatch):
+    from scriptorium.operators import signals
+
+    monkeypatch.setattr(signals, "CELLS", 70)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(40, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sets = {i: {f"s{(i * k) % 7}" for k in range(i % 4)} for i in range(40)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    rows = signals.ordered_sets(spark.createDataFrame([(i, s) for i, own in sets.items() for s in own], "id long, value string"))
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    plain = {(a, b): w for a in range(40) for b in range(a + 1, 40) if (w := 0.6 * v[a] @ v[b] + 0.4 * jaccard(sets[a], sets[b])) >= 0.3}
+    got = {(r.a, r.b): r.weight for r in signals.signal_pairs(df, [rows], (0.6, 0.4), 0.3, None, dense=True).collect()}
+    assert got == pytest.approx(plain)
+
+
+def test_nearest_clusters_in_strips(spark, monkeypatch):
+    from scriptorium.operators import cluster
+
+    monkeypatch.setattr(cluster, "CELLS", 70)
+    x, n = np.random.default_rng(7).normal(size=(50, 3)), np.arange(50) % 5 + 1
+    df = spark.createDataFrame([(i, int(n[i]), x[i].tolist()) for i in range(50)], "id long, n long, v array<double>")
+    d = n[:, None] * n / (n[:, None] + n) * ((x[:, None] - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    got = {r.id: (r.best.nn, r.best.d) for r in cluster.nearest_clusters(df.filter("id % 2 = 0"), df).collect()}
+    assert {i: nn for i, (nn, _) in got.items()} == {i: int(d[i].argmin()) for i in range(0, 50, 2)}
+    assert {i: far for i, (_, far) in got.items()} == pytest.approx({i: d[i].min() for i in range(0, 50, 2)})

@@ -62,40 +62,61 @@ def jaccard_prefix(v: Column, least: float) -> Column:
     return F.slice(v, 1, F.size(v) - F.ceil(F.size(v) * least - 1e-9).cast("int") + 1)
 
 
+def by_key(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(keys, starts, rows, values) of sparse rows (row, key, value), in the order of the keys: made once for all that
+    they are multiplied with."""
+    row, key, value = rows
+    order = np.argsort(key, kind="stable")
+    keys, counts = np.unique(key, return_counts=True)
+    return keys, np.append(0, np.cumsum(counts)), row[order], value[order]
+
+
+#: A block's sparse rows as by_key() has them; values that are all 1 are left out.
+PACKED = "struct<keys:binary,counts:binary,rows:binary,values:binary>"
+
+
+def packed_rows(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict[str, bytes]:
+    """PACKED of sparse rows (row, key, value) of at most 65,536 rows."""
+    keys, starts, row, values = by_key(rows)
+    values = b"" if (values == 1).all() else values.tobytes()
+    return {"keys": keys.tobytes(), "counts": np.diff(starts).astype(np.int32).tobytes(), "rows": row.astype(np.uint16).tobytes(), "values": values}
+
+
+def unpacked_rows(b: dict[str, bytes]) -> tuple[np.ndarray, ...]:
+    starts, row = np.append(0, np.cumsum(np.frombuffer(b["counts"], np.int32))), np.frombuffer(b["rows"], np.uint16)
+    values = np.frombuffer(b["values"]) if b["values"] else np.broadcast_to(1.0, len(row))
+    return np.frombuffer(b["keys"], np.int64), starts, row, values
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
 def products(left: tuple, right: tuple, shape: tuple[int, int]) -> np.ndarray:
-    """Inner products of sparse rows (row, key, value), frequent keys as matrices and the others one by one."""
+    """Inner products of sparse rows of by_key(), frequent keys as matrices and the others one by one."""
     out = np.zeros(shape)
-    (lr, lk, lv), (rr, rk, rv) = left, right
-    if not len(lk) or not len(rk):
-        return out
-    keys, at = np.unique(np.concatenate([lk, rk]), return_inverse=True)
-    lk, rk = at[: len(lk)], at[len(lk) :]
-    n_left, n_right = np.bincount(lk, minlength=len(keys)), np.bincount(rk, minlength=len(keys))
+    _, i, j = np.intersect1d(left[0], right[0], assume_unique=True, return_indices=True)
+    starts, others = left[1][i], right[1][j]
+    n_left, n_right = left[1][i + 1] - starts, right[1][j + 1] - others
     both = n_left * n_right
     dense = np.flatnonzero(both >= DENSE_LEAST)
     dense = dense[np.argsort(-both[dense], kind="stable")[:DENSE_TERMS]]
     if len(dense):
-        place = np.full(len(keys), -1)
-        place[dense] = np.arange(len(dense))
         x, y = np.zeros((shape[0], len(dense))), np.zeros((shape[1], len(dense)))
-        for m, r, k, v in ((x, lr, lk, lv), (y, rr, rk, rv)):
-            own = place[k] >= 0
-            m[r[own], place[k[own]]] = v[own]
+        for m, rows, values, start, many in ((x, *left[2:], starts[dense], n_left[dense]), (y, *right[2:], others[dense], n_right[dense])):
+            own = _ranges(start, many)
+            m[rows[own], np.repeat(np.arange(len(dense)), many)] = values[own]
         out += x @ y.T
-        n_left[dense] = 0
-    order = np.argsort(lk, kind="stable")
-    lr, lv = lr[order], lv[order]
-    starts = np.searchsorted(lk[order], np.arange(len(keys)))
-    own = n_left[rk] > 0
-    rr, rk, rv = rr[own], rk[own], rv[own]
-    ends = np.cumsum(n_left[rk])
-    at = 0
-    while at < len(rk):
+    rest = np.ones(len(both), bool)
+    rest[dense] = False
+    starts, others, n_left, n_right = starts[rest], others[rest], n_left[rest], n_right[rest]
+    entry, key = _ranges(others, n_right), np.repeat(np.arange(len(n_right)), n_right)
+    ends, at = np.cumsum(n_left[key]), 0
+    while at < len(entry):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PRODUCTS, side="right")))
-        times = n_left[rk[at:stop]]
-        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        l = np.repeat(starts[rk[at:stop]], times) + inside
-        out += np.bincount(lr[l] * shape[1] + np.repeat(rr[at:stop], times), lv[l] * np.repeat(rv[at:stop], times), out.size).reshape(shape)
+        times = n_left[key[at:stop]]
+        one, other = _ranges(starts[key[at:stop]], times), np.repeat(entry[at:stop], times)
+        out += np.bincount(left[2][one].astype(np.int64) * shape[1] + right[2][other], left[3][one] * right[3][other], out.size).reshape(shape)
         at = stop
     return out
 
@@ -109,14 +130,14 @@ def _sparse(rows: pa.Table, name: str) -> tuple:
 
 def _cosines(left: pa.Table, right: pa.Table, dense: bool) -> np.ndarray:
     if not dense:
-        return products(_sparse(left, "v"), _sparse(right, "v"), (left.num_rows, right.num_rows))
+        return products(by_key(_sparse(left, "v")), by_key(_sparse(right, "v")), (left.num_rows, right.num_rows))
     x, y = (np.stack(t.column("d").to_numpy()) if t.num_rows else np.zeros((0, 0)) for t in (left, right))
     return x @ y.T
 
 
 def _jaccards(left: pa.Table, right: pa.Table, name: str) -> np.ndarray:
     x, y = _sparse(left, name), _sparse(right, name)
-    shared = products(x, y, (left.num_rows, right.num_rows))
+    shared = products(by_key(x), by_key(y), (left.num_rows, right.num_rows))
     union = np.bincount(x[0], minlength=left.num_rows)[:, None] + np.bincount(y[0], minlength=right.num_rows)[None] - shared
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 

@@ -91,3 +91,15 @@ def test_nearest_clusters_in_strips(spark, monkeypatch):
     got = {r.id: (r.best.nn, r.best.d) for r in cluster.nearest_clusters(df.filter("id % 2 = 0"), df).collect()}
     assert {i: nn for i, (nn, _) in got.items()} == {i: int(d[i].argmin()) for i in range(0, 50, 2)}
     assert {i: far for i, (_, far) in got.items()} == pytest.approx({i: d[i].min() for i in range(0, 50, 2)})
+
+
+def test_papers_are_packed_in_blocks_of_few_tiles(spark):
+    from scriptorium.operators import relations
+
+    rows = [(i, "alpha beta", f"gamma word{i} word{i % 7}", 2000) for i in range(90)]
+    facts = relations.relationship_facts(spark.createDataFrame(rows, "id long, title string, abstract_text string, year int").coalesce(2))
+    blocks = relations.packed_papers(facts, 10, 3).collect()
+    assert sorted(i for b in blocks for i in np.frombuffer(b.id, np.int64)) == list(range(90))
+    assert max(b.n for b in blocks) == 10 and {b.tile for b in blocks} == {0, 1, 2}
+    # the blocks of 10 all meet, in one tile
+    assert relations.relationships(facts, 10).count() == 90 * 89 / 2

@@ -103,3 +103,22 @@ def test_papers_are_packed_in_blocks_of_few_tiles(spark):
     assert max(b.n for b in blocks) == 10 and {b.tile for b in blocks} == {0, 1, 2}
     # the blocks of 10 all meet, in one tile
     assert relations.relationships(facts, 10).count() == 90 * 89 / 2
+
+
+def test_sparse_signals_in_blocks(spark, monkeypatch):
+    from scriptorium.operators import signals
+
+    rng = random.Random(4)
+    docs = {i: {f"t{rng.randrange(30)}": rng.random() + 0.1 for _ in range(rng.randrange(1, 9))} for i in range(60)}
+    df = {t: sum(t in v for v in docs.values()) for v in docs.values() for t in v}
+    vectors = signals.ordered_vectors(spark.createDataFrame([(i, t, w, df[t]) for i, v in docs.items() for t, w in v.items()], "id long, term string, weight double, df long"))
+    sets = [signals.ordered_sets(spark.createDataFrame([(i, f"s{(i * k) % 7}") for i in range(60) for k in range(i % n)], "id long, value string")) for n in (3, 4)]
+    found, packed = [], []
+    whole = signals.packed_pairs
+    monkeypatch.setattr(signals, "packed_pairs", lambda *x: packed.append(x[-1]) or whole(*x))
+    for wide in (2, -1):
+        monkeypatch.setattr(signals, "WIDE", wide)
+        found.append({(r.a, r.b): r.weight for r in signals.signal_pairs(vectors, sets, tile=7).collect()})
+    # all 60 papers in one tile, in blocks of 7
+    assert packed == [1] and len(found[0]) > 300
+    assert found[1] == pytest.approx(found[0])

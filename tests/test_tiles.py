@@ -122,3 +122,16 @@ def test_sparse_signals_in_blocks(spark, monkeypatch):
     # all 60 papers in one tile, in blocks of 7
     assert packed == [1] and len(found[0]) > 300
     assert found[1] == pytest.approx(found[0])
+
+
+def test_two_hops_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    rng = random.Random(5)
+    ids = rng.sample(range(-50, 10**12), 70)
+    # repeated links, loops, ends that are no centre, centres without links
+    links = [(rng.choice(ids[:60]), rng.choice(ids[:60])) for _ in range(60)] * 2 + [(ids[0], ids[0])]
+    near = {i: {b for a, b in links if a == i} | {a for a, b in links if b == i} for i in ids}
+    plain = sorted((i, j) for i in ids[20:] for j in {i} | near[i] | {x for u in near[i] for x in near[u]})
+    met = graph.ego(spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(i,) for i in ids[20:] * 2], "id long"))
+    assert sorted(map(tuple, met.collect())) == plain
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()  # no row for a path of two links

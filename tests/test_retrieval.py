@@ -114,3 +114,24 @@ def test_phrases_of_a_dictionary(spark, monkeypatch):
     assert {tuple(r) for r in entities.phrase_entities(docs, known).collect()} == plain
     monkeypatch.setattr(entities, "DICTIONARY", 2)  # too large to be sent: the same by a shuffle
     assert {tuple(r) for r in entities.phrase_entities(docs, known).collect()} == plain
+
+
+def test_rag_context_falls_back_and_marks_cut_excerpts(spark, tmp_path):
+    import duckdb
+    from oracle import rows_of_spark, rows_of_sql
+
+    from scriptorium.plans import ORACLE_SQL, QUERIES
+
+    filler = " ".join(f"word{i}" for i in range(400))
+    docs = [(i, f"delta echo {i}" if i < 4 else f"{filler} golf" if i == 4 else None if i == 5 else f"kilo lima {i}", "en", "s", 9) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "delta echo"), (2, "nothing shared"), (3, "golf"), (4, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = QUERIES["rag_context"](spark, str(tmp_path))
+    assert rows_of_spark(rows) == rows_of_sql(con, ORACLE_SQL["rag_context"])
+    got = {(r.query_id, r.id): r for r in rows.collect()}
+    assert {k for k in got if k[0] in (2, 4)} == {(q, i) for q in (2, 4) for i in range(15)}  # none near: the first fifteen
+    assert got[2, 4].excerpt == f"{filler} golf"[:800] + "..." and got[2, 5].excerpt == "" and got[1, 0].excerpt == "delta echo 0"

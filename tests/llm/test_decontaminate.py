@@ -130,3 +130,48 @@ def recall(spark, d):
 def test_recall_against_brute_force(spark, data):
     found, plain, both = recall(spark, data)
     assert both == found and plain and both >= 0.9 * plain
+
+
+def test_space_is_fitted_on_every_passage(spark, documents, rng):
+    """Against the plain sum over all windows and items, in several tasks and pieces."""
+    texts = [sentence(rng, n) for n in (5, 16, 17, 40, 300, 1, 2000, 0)] * 3
+    docs = documents(list(enumerate(texts))).repartition(3)
+    items = [decontaminate.batch_word_hashes([sentence(rng, n)])[0] for n in (9, 64, 33)]
+    df, strides, windows = decontaminate.statistics(docs, "text")
+    idf = np.log((1 + strides) / (1 + df)).astype(np.float32)
+    a = []
+    for t in texts:
+        words = (decontaminate.batch_word_hashes([t])[0] & decontaminate.BUCKET).astype(int)
+        for at in range(0, max(len(words) - decontaminate.STRIDE, min(len(words), 1)), decontaminate.STRIDE):
+            a.append((words[at : at + decontaminate.WINDOW], 1.0))
+    assert len(a) == windows
+    items = [(w & decontaminate.BUCKET).astype(np.int32) for w in items]
+    a += [(w, np.sqrt(windows / len(items))) for w in items]
+    dense = np.zeros((len(a), decontaminate.VOCABULARY))
+    for row, (w, weight) in zip(dense, a, strict=True):
+        np.add.at(row, w, idf[w] * weight / np.sqrt((idf[w] ** 2).sum()))
+    used = dense.any(axis=0)
+    exact = np.append(np.linalg.svd(dense[:, used], compute_uv=False), np.zeros(decontaminate.RANK))[: decontaminate.RANK]
+    _, values = decontaminate.latent_space(spark, docs.select("text"), items, idf, windows)
+    assert np.all(values <= exact * 1.001 + 1e-3) and np.all(values[:32] >= exact[:32] * 0.94)
+
+
+def test_pieces_of_a_batch_add_up(rng, monkeypatch):
+    _, _, flat, strides = decontaminate.batch_tokens([sentence(rng, n) for n in (5, 0, 16, 17, 40, 300, 1, 200, 9)])
+    weights = np.append(np.random.default_rng(1).random(decontaminate.VOCABULARY), 0).astype(np.float32)
+    omega = np.random.default_rng(2).standard_normal((decontaminate.VOCABULARY + 1, 5)).astype(np.float32) * weights[:, None]
+    plain, gram = np.zeros((decontaminate.VOCABULARY + 1, 5)), np.zeros((5, 5))
+    for at in range(len(strides)):
+        own = flat[strides[:at].sum() * 16 : strides[: at + 1].sum() * 16]
+        for i in range(0, max(len(own) - 16, min(len(own), 1)), 16):
+            w = own[i : i + 32]
+            b = omega[w].sum(axis=0) / np.sqrt((weights[w] ** 2).sum())
+            np.add.at(plain, w, b / np.sqrt((weights[w] ** 2).sum()))
+            gram += np.outer(b, b)
+    for pieces, few in ((4096, 24), (7, 1), (1, 10**6)):
+        monkeypatch.setattr(decontaminate, "FIT_STRIDES", pieces)
+        monkeypatch.setattr(decontaminate, "FEW_TERMS", few)
+        total = np.zeros(plain.shape, np.float32)
+        decontaminate.add_windows(total, decontaminate.text_windows(flat, strides, omega, weights**2))
+        assert np.allclose(total, plain, atol=1e-4)
+        assert np.allclose(decontaminate.window_gram(decontaminate.text_windows(flat, strides, omega, weights**2)), gram, rtol=1e-4, atol=1e-4)

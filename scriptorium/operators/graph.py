@@ -450,9 +450,78 @@ def roles(nodes: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
     return r.select("id", role.alias("role"))
 
 
+#: Nodes of the forests of a task, which begins new ones beyond.
+FOREST_NODES = 1 << 18
+
+
+class _Forest:
+    """Edges that join parts of a graph, as they come. Most others are told by the parts as they were a while ago."""
+
+    def __init__(self):
+        self.parent, self.ids, self.parts, self.late = {}, np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def root(self, v: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    def add(self, a: np.ndarray, b: np.ndarray, known: set) -> np.ndarray:
+        """Which of the edges join parts, leaving out those in `known`."""
+        keep, maybe = np.zeros(len(a), bool), np.ones(len(a), bool)
+        if len(self.ids):
+            at, to = (np.minimum(np.searchsorted(self.ids, x), len(self.ids) - 1) for x in (a, b))
+            maybe = (self.ids[at] != a) | (self.ids[to] != b) | (self.parts[at] != self.parts[to])
+        for k in np.flatnonzero(maybe).tolist():
+            v, w = int(a[k]), int(b[k])
+            if (min(v, w), max(v, w)) not in known:
+                keep[k] = v == w and v not in self.parent
+                x, y = self.root(v), self.root(w)
+                if x != y:
+                    self.parent[x], keep[k] = y, True
+        self.late += int(maybe.sum())
+        if self.late > len(self.parent) // 4 + 4096:
+            ids = np.sort(np.fromiter(self.parent, np.int64, len(self.parent)))
+            self.ids, self.parts, self.late = ids, np.array([self.root(v) for v in ids.tolist()], np.int64), 0
+        return keep
+
+
+def certificate(edges: DataFrame, forests: int) -> DataFrame:
+    """(src, dst): edges with the same components as all and, with two forests, the same bridges; ids are whole numbers.
+
+    Each task keeps a spanning forest of its edges and, with two, one of those that are left. Of the edges across any cut
+    it so keeps all, or that many at least. What it keeps is in proportion to its nodes, whatever its edges.
+    """
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+    def tasks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, known = _Forest(), _Forest(), set()
+        for b in it:
+            whole = pa.compute.and_(b.column(0).is_valid(), b.column(1).is_valid())
+            if b.num_rows and not pa.compute.all(whole).as_py():
+                yield pa.RecordBatch.from_arrays(b.filter(pa.compute.invert(whole)).columns, schema=schema)
+                b = b.filter(whole)
+            src, dst = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            keep = one.add(src, dst, set())
+            if forests > 1:
+                known.update(zip(np.minimum(src, dst)[keep].tolist(), np.maximum(src, dst)[keep].tolist(), strict=True))
+                rest = np.flatnonzero(~keep & (src != dst))
+                keep[rest[two.add(src[rest], dst[rest], known)]] = True
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], schema=schema)
+            if len(one.parent) > FOREST_NODES:
+                one, two, known = _Forest(), _Forest(), set()
+
+    if any(f.dataType.simpleString() not in ("bigint", "int") for f in edges.select("src", "dst").schema):
+        return edges.select("src", "dst")
+    kinds = {c: edges.schema[c].dataType for c in ("src", "dst")}
+    found = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).mapInArrow(tasks, "src long, dst long")
+    return found.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, by spreading minima until nothing changes."""
-    step = saved(both_ways(edges).distinct(), "component-edges")
+    step = saved(both_ways(certificate(edges, 1)).distinct(), "component-edges")
     labels = saved(step.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "components")
     while True:
         heard = step.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))

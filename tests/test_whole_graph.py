@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from scriptorium.operators import graph
+from scriptorium.operators import frontiers, graph
 from scriptorium.plans import QUERIES
 from scriptorium.plans import adapters as views
 
@@ -94,3 +94,43 @@ def test_communities_take_all_coauthors(spark, tables):
     found = {r.id: r.community for r in QUERIES["lpa_communities"](spark, tables).collect()}
     assert set(found) == {1, 2, 3, 9}
     assert found == {r.id: r.community for r in graph.communities(graph.coauthor_edges(views.paper_authors(spark, tables))).collect()}
+
+
+@pytest.mark.parametrize("nodes,links", [(40, 45), (60, 55), (30, 200), (25, 25)])
+def test_certificates_have_all_components_and_bridges(spark, nodes, links, monkeypatch):
+    """Many more links than nodes leave a task as few; equal, reversed and looped ones and such without an end too."""
+    rng = np.random.default_rng(links)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, nodes, (links, 2))]
+    rows += [(b, a) for a, b in rows[::3]] + rows[::4] + [(nodes + 5, nodes + 5), (nodes + 7, nodes + 8)]
+    around = {v: set() for v in range(nodes + 9)}
+    for a, b in rows:
+        around[a].add(b)
+        around[b].add(a)
+    parts = {v: min(reached(around, v)) for v in around if around[v]}
+    bridges = set()
+    for a, b in {(min(e), max(e)) for e in rows if e[0] != e[1]}:
+        without = {v: n - ({b} if v == a else {a} if v == b else set()) for v, n in around.items()}
+        if b not in reached(without, a):
+            bridges.add((a, b))
+    for partitions in (1, 3):
+        df = spark.createDataFrame(rows, "src long, dst long").repartition(partitions)
+        assert {r.id: r.component for r in graph.components(df).collect()} == parts
+        assert {tuple(r) for r in frontiers.true_bridges(df).collect()} == bridges
+    assert graph.certificate(df.coalesce(1), 2).count() <= 2 * (nodes + 9)
+    assert graph.certificate(spark.createDataFrame([(None, 1), (1, 2)], "src long, dst long"), 2).count() == 2
+
+
+def test_forests_tell_most_edges_at_once(monkeypatch):
+    """The parts of a while ago, and those of now, give the same edges."""
+    rng = np.random.default_rng(5)
+    forest, seen = graph._Forest(), {}
+    find = lambda v: v if seen.setdefault(v, v) == v else find(seen[v])
+    for _ in range(40):
+        a, b = rng.integers(0, 3000, (2, 2000))
+        kept = forest.add(a, b, set())
+        for v, w, k in zip(a.tolist(), b.tolist(), kept.tolist(), strict=True):
+            new = v not in seen and v == w
+            x, y = find(v), find(w)
+            seen[x] = y
+            assert k == (x != y or new)
+    assert len(forest.ids) and forest.late < 4096 + 3000

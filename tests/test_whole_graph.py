@@ -134,3 +134,19 @@ def test_forests_tell_most_edges_at_once(monkeypatch):
             seen[x] = y
             assert k == (x != y or new)
     assert len(forest.ids) and forest.late < 4096 + 3000
+
+
+def test_two_hops_in_strips(spark):
+    """A block is read in strips, whatever its neighbours, and gives the same bits as at once."""
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(-50, 50, n)) for n in (1, 9, 40, 2, 70, 5)]
+    packed = [graph.packed_rising(x) for x in lists]
+    whole = lambda x: np.array(x, np.int64).tobytes()
+    block = graph._Near({"id": whole(range(6)), "centre": b"\1" * 6, "counts": whole([len(x) for x in lists]), "sizes": whole([len(x) for x in packed]), "near": b"".join(packed)})
+    seen, old = {}, graph.STRIP
+    for graph.STRIP in (old, 20, 1):
+        parts = list(block.strips())
+        assert [x.tolist() for _, _, x in parts] == [np.concatenate(lists[rows]).tolist() for rows, _, _ in parts]
+        seen[graph.STRIP] = len(parts), *(x.tolist() for x in block.table())
+    graph.STRIP = old
+    assert seen[old][0] == 1 < seen[20][0] < seen[1][0] == 6 and seen[old][1:] == seen[20][1:] == seen[1][1:]
